@@ -32,6 +32,7 @@ def _nfkd_base(ch: str) -> str:
 # one-character table skip the rare step.
 _COMMON_GAPS = "‘“”„–—•…€«»°·´"
 _NON_ASCII = r"[^\x00-\x7F]"
+_NOT_ASCII = r"(?![\x00-\x7F])"
 
 
 @lru_cache(maxsize=1)
@@ -82,7 +83,7 @@ def _fold_non_ascii(text: Column) -> Column:
         text = F.replace(text, F.lit(letter), F.lit(digraph))
     text = F.translate(text, "".join(single) + deleted, "".join(single.values()))
     # Ligatures, fractions, unit signs: one loop over a literal table, entered only if a member
-    # occurs at all. The look-behinds keep the wide classes off the ASCII characters.
+    # occurs at all. The look-aheads keep the wide classes off the ASCII characters.
     table = json_literal(
         [{"k": k, "v": v} for k, v in multi.items()], "array<struct<k:string,v:string>>"
     )
@@ -90,8 +91,8 @@ def _fold_non_ascii(text: Column) -> Column:
     def rare(t: Column) -> Column:
         loop = F.aggregate(table, t, lambda acc, x: F.replace(acc, x["k"], x["v"]))
         return F.when(
-            t.rlike(f"{_NON_ASCII}(?<![{_COMMON_GAPS}])"),
-            F.when(t.rlike(f"{_NON_ASCII}(?<=[{_char_class(''.join(multi))}])"), loop).otherwise(t),
+            t.rlike(f"{_NOT_ASCII}[^{_COMMON_GAPS}]"),
+            F.when(t.rlike(f"{_NOT_ASCII}[{_char_class(''.join(multi))}]"), loop).otherwise(t),
         ).otherwise(t)
 
     return _let(text, rare)
@@ -112,7 +113,7 @@ def normalize(text: Column) -> Column:
     folded = F.when(low.rlike(_NON_ASCII), _fold_non_ascii(low)).otherwise(
         F.replace(low, F.lit("'"), F.lit(""))
     )
-    # No upper case is left, so \\W and "_" together are everything outside [a-z0-9].
+    # No upper case is left, so \W and "_" together are everything outside [a-z0-9].
     gaps = F.regexp_replace(F.replace(folded, F.lit("_"), F.lit(" ")), r"\W+", " ")
     return F.trim(gaps)
 

@@ -176,8 +176,9 @@ def match_by_join(
 
 
 # Word edges where letters, digits and "_" of any script count as word characters and combining
-# marks do not.
-_WORD = r"[\p{L}\p{N}_]"
+# marks do not. The last member is a letter beyond the BMP: it adds nothing to the class but makes
+# the look-behinds step over whole surrogate pairs.
+_WORD = "[\\p{L}\\p{N}_\U00010400]"
 _EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _GAP = r"[\s\x1C-\x1F\x85\p{Z}\-]+"
 
