@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _two_sided_p(t: float, df: float) -> float:
@@ -35,7 +36,7 @@ def _two_sided_p(t: float, df: float) -> float:
     return 1.0 - tail if swap else tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else _two_sided_p(a, b) for a, b in zip(t, df)], dtype="float64"

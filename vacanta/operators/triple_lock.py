@@ -224,26 +224,21 @@ def intensive_occupations(intensity: DataFrame, config: RuleConfig = RuleConfig(
         Window.unboundedPreceding, Window.currentRow
     )
     levels = per_level.withColumn("before", F.sum("level_ads").over(earlier) - F.col("level_ads"))
-    within = Window.partitionBy("intensity").orderBy("occupation").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return (
+    within = Window.partitionBy("intensity").orderBy("occupation")
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (
         above.join(levels.select("intensity", "before"), "intensity")
-        .withColumn("covered", F.col("before") + F.sum("g1_ads").over(within))
+        .withColumn("covered", F.col("before") + F.sum("g1_ads").over(running))
+        .withColumn("first", (F.col("before") == 0) & (F.row_number().over(within) == 1))
         .withColumn("total_g1_ads", total)
-        .where(
-            (F.col("covered") - F.col("g1_ads") < F.col("total_g1_ads") * config.coverage)
-            | (F.col("covered") == F.col("g1_ads"))
-            & (F.col("total_g1_ads") == 0)
-            & (F.row_number().over(Window.partitionBy("intensity").orderBy("occupation")) == 1)
-        )
-        .select(
-            "occupation",
-            "g1_ads",
-            "total_ads",
-            "intensity",
-            F.try_divide("covered", "total_g1_ads").alias("cumulative_coverage"),
-        )
+    )
+    uncovered = F.col("covered") - F.col("g1_ads") < F.col("total_g1_ads") * config.coverage
+    return ranked.where(uncovered | ((F.col("total_g1_ads") == 0) & F.col("first"))).select(
+        "occupation",
+        "g1_ads",
+        "total_ads",
+        "intensity",
+        F.try_divide("covered", "total_g1_ads").alias("cumulative_coverage"),
     )
 
 
