@@ -92,6 +92,16 @@ def _extra_hits(text: Column, dictionary: Dictionary) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated once per row.
+
+    The optimizer copies the definition of a projected column into every filter and projection
+    above that uses it, which would repeat the text scan for each use. It does not look through a
+    generator, and one over a single-element array adds no rows.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def match_keywords(
     ads: DataFrame,
     dictionary: Dictionary,
@@ -107,8 +117,9 @@ def match_keywords(
     spellings = sum(len(dictionary.variants(lang)) for lang in ("en", *LOCAL_LANGUAGES))
     if spellings > MAX_LITERAL_SPELLINGS:
         return match_by_join(ads, dictionary, text, language, normalized)
-    ads = ads.withColumn("_norm", F.col(text) if normalized else normalize(F.col(text)))
-    norm = F.col("_norm")
+    if not normalized:
+        ads = with_once(ads, "_norm", normalize(F.col(text)))
+    norm = F.col(text if normalized else "_norm")
     per_language = None
     for lang in LOCAL_LANGUAGES:
         hits = _independent_hits(norm, dictionary, lang)
@@ -117,7 +128,7 @@ def match_keywords(
     hits = per_language.otherwise(_independent_hits(norm, dictionary, None))
     if dictionary.extra_patterns:
         hits = F.array_sort(F.array_distinct(F.concat(hits, _extra_hits(norm, dictionary))))
-    return ads.withColumn("matches", hits).drop("_norm")
+    return with_once(ads, "matches", hits).drop("_norm")
 
 
 def match_by_join(
@@ -237,7 +248,7 @@ def match_longest_first(
     hits = F.array_sort(F.concat(english, local.otherwise(_no_hits())))
     if prefilter:
         hits = F.when(passes_prefilter(F.col(text), dictionary), hits)
-    return ads.withColumn("matches", F.coalesce(hits, _no_hits()))
+    return with_once(ads, "matches", F.coalesce(hits, _no_hits()))
 
 
 def keywords(matches: Column | None = None) -> Column:
@@ -254,10 +265,14 @@ def keywords_of_group(group: int, matches: Column | None = None) -> Column:
 def classify_group(matched: DataFrame) -> DataFrame:
     """Best (lowest) group of all matches as a string, "NA" without any, and its keywords."""
     best = F.array_min(F.transform("matches", lambda m: m["group"]))
-    triggers = keywords(F.filter("matches", lambda m: m["group"] == best))
-    return matched.withColumn("group", F.coalesce(best.cast("string"), F.lit("NA"))).withColumn(
-        "matched_group_keywords", triggers
-    )
+    out = with_once(matched, "_best", best)
+    triggers = keywords(F.filter("matches", lambda m: m["group"] == F.col("_best")))
+    return out.withColumns(
+        {
+            "group": F.coalesce(F.col("_best").cast("string"), F.lit("NA")),
+            "matched_group_keywords": triggers,
+        }
+    ).drop("_best")
 
 
 def simple_score(matched: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def sample_per_group(
     df: DataFrame, group: str, key: str, n: int = 5, seed: int = 42, text: str | None = None
 ) -> DataFrame:
     """A fixed random sample of ``n`` rows per group, the same on every run."""
-    draw = F.xxhash64(F.col(key), F.lit(seed))
+    draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     window = Window.partitionBy(group).orderBy(draw, key)
     out = df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
     return out if text is None else out.withColumn("preview", preview(F.col(text)))
