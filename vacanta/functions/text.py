@@ -103,19 +103,26 @@ def json_literal(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
 
 
-def normalize(text: Column) -> Column:
-    """Fold case, accents, umlaut spellings, hyphens and punctuation to ``[a-z0-9 ]``.
+def fold(text: Column) -> Column:
+    """Fold case, umlaut spellings, accents and compatibility forms; drop apostrophes.
 
-    Apostrophes vanish, every other run of characters outside ``[a-z0-9]`` becomes one space,
-    null becomes the empty string. Pure ASCII text skips the folding tables.
+    What is outside ``[a-z0-9]`` afterwards only separates words: no upper case and no "_" is
+    left, so those characters are exactly ``\\W``. Pure ASCII text skips the folding tables.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     folded = F.when(low.rlike(_NON_ASCII), _fold_non_ascii(low)).otherwise(
         F.replace(low, F.lit("'"), F.lit(""))
     )
-    # No upper case is left, so \W and "_" together are everything outside [a-z0-9].
-    gaps = F.regexp_replace(F.replace(folded, F.lit("_"), F.lit(" ")), r"\W+", " ")
-    return F.trim(gaps)
+    return F.replace(folded, F.lit("_"), F.lit(" "))
+
+
+def normalize(text: Column) -> Column:
+    """Fold case, accents, umlaut spellings, hyphens and punctuation to ``[a-z0-9 ]``.
+
+    Apostrophes vanish, every other run of characters outside ``[a-z0-9]`` becomes one space,
+    null becomes the empty string.
+    """
+    return F.trim(F.regexp_replace(fold(text), r"\W+", " "))
 
 
 def normalize_py(text: str | None) -> str:

@@ -20,7 +20,7 @@ from vacanta.functions.patterns import (
     prefilter_literals,
     prefix_tree_pattern,
 )
-from vacanta.functions.text import json_literal, normalize
+from vacanta.functions.text import fold, json_literal, normalize
 
 MATCH_TYPE = T.ArrayType(
     T.StructType(
@@ -58,11 +58,11 @@ def _lookup(found: Column, table: dict[str, list[tuple[str, str, int | None]]])
 
 
 def _independent_hits(text: Column, dictionary: Dictionary, language: str | None) -> Column:
-    """Hits of every keyword searched on its own in normalised ``text``, in one pass.
+    """Hits of every keyword searched on its own in folded ``text``, in one pass.
 
-    Normalised text is words and single spaces, so two spellings found at the same word are a word
-    sequence and a longer one starting with it. It is enough to find the longest spelling at each
-    word (a look-ahead, so matches may overlap) and add all spellings it starts with.
+    Spellings are word sequences. Of two found at the same word the longer one starts with the
+    shorter one, so it is enough to find the longest spelling at each word (a look-ahead, as
+    matches may overlap) and add all spellings it starts with.
     """
     scope = dictionary.scope(language)
     if not scope:
@@ -78,9 +78,14 @@ def _independent_hits(text: Column, dictionary: Dictionary, language: str | None
         )
         for spelling in scope
     }
-    pattern = rf"\b(?=({prefix_tree_pattern(scope)})\b)"
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    return F.when(F.size(found) > 0, _lookup(found, table)).otherwise(_no_hits())
+    # Any gap between words counts, so the text need not be rewritten word by word first.
+    pattern = rf"(?<!\w)(?=({prefix_tree_pattern(scope, gap=_WORD_GAP)})(?!\w))"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    spelling = F.array_distinct(F.transform(found, lambda s: F.regexp_replace(s, _WORD_GAP, " ")))
+    return F.when(F.size(found) > 0, _lookup(spelling, table)).otherwise(_no_hits())
+
+
+_WORD_GAP = r"\W+"
 
 
 def _extra_hits(text: Column, dictionary: Dictionary) -> Column:
@@ -111,14 +116,16 @@ def match_keywords(
 ) -> DataFrame:
     """Match each keyword independently on word boundaries of the normalised text.
 
-    Scope per ad: the English forms plus the forms of its own language. The normalised text is
+    Scope per ad: the English forms plus the forms of its own language. The folded text is
     computed once per ad and dropped again.
     """
     spellings = sum(len(dictionary.variants(lang)) for lang in ("en", *LOCAL_LANGUAGES))
     if spellings > MAX_LITERAL_SPELLINGS:
         return match_by_join(ads, dictionary, text, language, normalized)
     if not normalized:
-        ads = with_once(ads, "_norm", normalize(F.col(text)))
+        # Extra patterns are written for normalised text, the keyword patterns need less.
+        prepared = normalize if dictionary.extra_patterns else fold
+        ads = with_once(ads, "_norm", prepared(F.col(text)))
     norm = F.col(text if normalized else "_norm")
     per_language = None
     for lang in LOCAL_LANGUAGES:
