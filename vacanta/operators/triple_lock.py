@@ -247,7 +247,7 @@ def flag_rules(
     groups: DataFrame,
     intensive: DataFrame,
     config: RuleConfig = RuleConfig(),
-    text: str = "text",
+    makers: str = "makers",
     occupation: str = "occupation",
 ) -> DataFrame:
     """Apply the ad rules to ads with ``matches``; ads without a match keep all defaults.
@@ -256,6 +256,9 @@ def flag_rules(
     intensive occupation; "copilot" does not count in aviation. Rule 3: enough keywords of groups
     2 and 3 with one of group 2. Copilot rule: "Copilot" beside its makers. A pair without a
     rating counts as group 3. The rated pairs and the occupations come in as scalar subqueries.
+
+    ``makers`` is a boolean column: whether the text names them (`COPILOT_CONTEXT`). It is taken
+    while matching, so the text itself need not be carried along.
     """
     pair = F.concat_ws("\u0001", "lang", "keyword")
     sets = groups.agg(
@@ -295,9 +298,7 @@ def flag_rules(
     if config.enforce_occupation:
         rule2 = rule2 & in_dense
     has_match = F.size("matches") > 0
-    copilot = F.when(
-        F.array_contains("matched_keywords", "Copilot"), F.col(text).rlike(COPILOT_CONTEXT)
-    ).otherwise(False)
+    copilot = F.array_contains("matched_keywords", "Copilot") & F.coalesce(makers, F.lit(False))
     out = out.withColumns(
         {
             "flag_rule_1": has_match & (n1 >= config.min_g1),
