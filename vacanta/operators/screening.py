@@ -50,7 +50,8 @@ def outlier_firm_years(
     return (
         counts.join(stats, [year, size])
         .withColumn("upper", upper)
-        .where(F.col("n_postings") > F.col("upper"))
+        # Equal counts in a class give a bound of exactly n: rounding must not decide there.
+        .where(F.col("n_postings") - F.col("upper") > 1e-9 * F.col("n_postings"))
         .select(firm, size, year, "n_postings", "upper")
     )
 

@@ -25,12 +25,10 @@ def prepare(ads: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFram
     """
     c = config.columns
     flat = flatten_and_filter(ads, config).withColumn("year", F.year(c.date))
-    tie = F.xxhash64(*[x for x in ("url", "title", c.content) if x in flat.columns])
+    tie = [x for x in ("url",) if x in flat.columns]
     unique = dedup_within_year(
-        flat.withColumn("_tie", tie).withColumn("_row", F.monotonically_increasing_id()),
-        c.job_id,
-        [c.date, "_tie", "_row"],
-    ).drop("_tie", "_row")
+        flat.withColumn("_row", F.monotonically_increasing_id()), c.job_id, [c.date, *tie, "_row"]
+    ).drop("_row")
     unique = stage(unique, "deduplicated")
     outliers = outlier_firm_years(
         unique, dict(config.size_alpha), config.fallback_alpha, "_firm_id", "_size_id"

@@ -128,5 +128,5 @@ POSTS = """posts AS (
   FROM orders LEFT JOIN customer ON c_custkey = o_custkey)"""
 
 LINES = """lines AS (
-  SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 41 <> 0 THEN l_partkey END AS k,
+  SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_partkey % 41 <> 0 THEN l_partkey END AS k,
          l_shipdate AS created, year(l_shipdate) AS year, l_returnflag FROM lineitem)"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacanta.sources.io import write_by
+from vacanta.sources.staging import stage
 
 
 def stale_partitions(source: DataFrame, done: DataFrame | None, partition: str) -> DataFrame:
@@ -28,10 +29,10 @@ def process_stale(
 ) -> None:
     """Run a row-preserving job on stale partitions only and replace their output.
 
-    The partition filter is a semi join on the partition column, which Spark turns into partition
-    pruning on both counts and reads.
+    The list of stale partitions is staged before anything is written, as it is derived from the
+    output that is about to be replaced.
     """
-    stale = stale_partitions(source, done, partition).select(partition)
+    stale = stage(stale_partitions(source, done, partition).select(partition), "stale")
     write_by(job(source.join(stale, partition, "left_semi")), target, partition)
 
 
