@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -180,9 +181,17 @@ def layer_of(
 
 def dictionary_frame(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
     """A dictionary as rows: keyword, group, source, validated, matched English text."""
-    rows = [(k.keyword, k.group, k.source, k.validated, k.forms.get("en")) for k in dictionary.keywords]
+    kws = dictionary.keywords
     return spark.createDataFrame(
-        rows, "keyword string, group int, source string, validated boolean, matched_text string"
+        pa.table(
+            {
+                "keyword": pa.array([k.keyword for k in kws], pa.string()),
+                "group": pa.array([k.group for k in kws], pa.int32()),
+                "source": pa.array([k.source for k in kws], pa.string()),
+                "validated": pa.array([k.validated for k in kws], pa.bool_()),
+                "matched_text": pa.array([k.forms.get("en") for k in kws], pa.string()),
+            }
+        )
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,7 +159,11 @@ def match_by_join(
         for spelling, kws in dictionary.variants(bucket).items()
         for kw in kws
     ]
-    forms = spark.createDataFrame(rows, "spelling string, bucket string, keyword string, group int")
+    columns = dict(zip(("spelling", "bucket", "keyword", "group"), zip(*rows)))
+    types = {"group": pa.int32()}
+    forms = spark.createDataFrame(
+        pa.table({n: pa.array(v, types.get(n, pa.string())) for n, v in columns.items()})
+    )
     longest = max((s.count(" ") + 1 for s, *_ in rows), default=1)
     words = F.split(F.col(text) if normalized else normalize(F.col(text)), " ")
 

@@ -107,17 +107,12 @@ def drop_secondary_tag(tags: Column, tag_id: int, strict_ids: bool = True) -> Co
     number, met before any other tag, also leaves the array unchanged; without, such ids are
     ignored.
     """
-    ids = F.transform(tags, lambda t: t["id"].try_cast("int"))
-    is_other = F.transform(ids, lambda i: F.coalesce(i != tag_id, F.lit(False)))
-    has_other = F.exists(is_other, lambda b: b)
-    usable = has_other
+    rest = F.filter(tags, lambda t: ~t["id"].try_cast("int").eqNullSafe(F.lit(tag_id)))
     if strict_ids:
-        first_other = F.array_position(is_other, F.lit(True))
-        unparsable = F.transform(ids, lambda i: i.isNull())
-        first_bad = F.array_position(unparsable, F.lit(True))
-        usable = has_other & ((first_bad == 0) | (first_bad > first_other))
-    kept = F.filter(tags, lambda t: ~t["id"].try_cast("int").eqNullSafe(F.lit(tag_id)))
-    return F.when((F.size(tags) > 1) & usable, kept).otherwise(tags)
+        beside = F.get(rest, F.lit(0))["id"].try_cast("int").isNotNull()
+    else:
+        beside = F.exists(rest, lambda t: t["id"].try_cast("int").isNotNull())
+    return F.when((F.size(tags) > 1) & beside, rest).otherwise(tags)
 
 
 def drop_ambiguous(df: DataFrame, array: str, most: int = 5) -> DataFrame:

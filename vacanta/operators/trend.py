@@ -108,19 +108,26 @@ def keyword_trend(keywords: DataFrame, counts: DataFrame, config: TrendConfig =
     )
 
 
-def keyword_g1(trend: DataFrame, config: TrendConfig = TrendConfig()) -> DataFrame:
-    """Keywords absent in the pre-period in all languages and present recently."""
-    out = trend.groupBy("keyword").agg(
+def _presence() -> list[Column]:
+    return [
         F.sum("pre_total").alias("pre_total"),
         F.sum("recent_total").alias("recent_total"),
         F.sum("y_val").alias("y_val_all_langs"),
-    )
+    ]
+
+
+def _with_g1(per_keyword: DataFrame, config: TrendConfig) -> DataFrame:
     zero = F.col("pre_total") == 0
-    return out.withColumn("zero_pre", zero).withColumn(
+    return per_keyword.withColumn("zero_pre", zero).withColumn(
         "is_g1", zero & (F.col("recent_total") >= config.min_recent_hits)
     )
 
 
+def keyword_g1(trend: DataFrame, config: TrendConfig = TrendConfig()) -> DataFrame:
+    """Keywords absent in the pre-period in all languages and present recently."""
+    return _with_g1(trend.groupBy("keyword").agg(*_presence()), config)
+
+
 def qualifies(c: float | Column, config: TrendConfig = TrendConfig()) -> Column:
     """Validation-year count reaches c times the benchmark and the floor, in one language."""
     return (F.col("y_val") >= F.lit(c) * F.col("B")) & (F.col("y_val") >= config.min_hits)
@@ -133,11 +140,8 @@ def keyword_status(
 
     A language that qualifies makes the whole keyword group 2; group 1 keywords are excluded.
     """
-    g1 = keyword_g1(trend, config)
-    g2 = trend.groupBy("keyword").agg(
-        *[F.bool_or(qualifies(c, config)).alias(f"g2_{i}") for i, c in enumerate(cs)]
-    )
-    out = g1.join(g2, "keyword")
+    g2 = [F.bool_or(qualifies(c, config)).alias(f"g2_{i}") for i, c in enumerate(cs)]
+    out = _with_g1(trend.groupBy("keyword").agg(*_presence(), *g2), config)
     return out.withColumns({f"g2_{i}": F.col(f"g2_{i}") & ~F.col("is_g1") for i in range(len(cs))})
 
 
@@ -168,9 +172,8 @@ def keyword_stats_wide(trend: DataFrame, config: TrendConfig = TrendConfig()) ->
             F.max(F.when(here, F.col("y_val"))).alias(f"y_val_{lang}"),
             F.max(F.when(here, ratio)).alias(f"multiple_{lang}"),
         ]
-    wide = trend.groupBy("keyword").agg(*cells)
-    return keyword_g1(trend, config).select("keyword", "zero_pre", "y_val_all_langs", "is_g1").join(
-        wide, "keyword"
+    return _with_g1(trend.groupBy("keyword").agg(*_presence(), *cells), config).drop(
+        "pre_total", "recent_total"
     )
 
 

@@ -11,18 +11,16 @@ from vacanta.operators.dictionary import dictionary_frame, layer_of
 from vacanta.operators.match import match_keywords, match_longest_first, signatures
 from vacanta.operators.reports import keyword_time_series
 from vacanta.operators.trend import (
-    C_GRID,
     keyword_breakeven,
     keyword_counts,
     keyword_g1,
     keyword_g2_at_c,
     keyword_stats_wide,
-    keyword_status,
     keyword_trend,
 )
 from vacanta.plans import sql
 from vacanta.plans.catalog_text import RAW_HITS, matched
-from vacanta.plans.pipeline import calibrate
+from vacanta.plans.pipeline import calibrate, calibrate_signatures
 from vacanta.plans.registry import query
 from vacanta.plans.views import TEST_DICTIONARY, ads
 from vacanta.sources.staging import stage
@@ -101,14 +99,9 @@ def v7_grid_sweep(spark, sf_dir):
     """Full keyword pool and the pool without one source, from the same staged signatures."""
     sigs = stage(signatures(matched(spark, sf_dir), "year"), "signatures")
     dropped = tuple(k.keyword for k in TEST_DICTIONARY.keywords if k.source == "LLM")
-    out = None
-    for run, excluded in (("full", ()), ("no_layer3", dropped)):
-        kws = _dict(spark).where(~F.col("keyword").isin(*excluded)) if excluded else _dict(spark)
-        status = keyword_status(keyword_trend(kws, keyword_counts(sigs, "year", excluded=excluded)))
-        counted = sw.with_status_counts(sigs, status, len(C_GRID), excluded)
-        part = sw.grid_sweep(counted, status).withColumn("run", F.lit(run))
-        out = part if out is None else out.unionByName(part)
-    return out
+    full = calibrate_signatures(sigs, _dict(spark))["sweep"].withColumn("run", F.lit("full"))
+    part = calibrate_signatures(sigs, _dict(spark), dropped)["sweep"].withColumn("run", F.lit("no_layer3"))
+    return full.unionByName(part)
 
 
 @query(
@@ -243,7 +236,8 @@ def _layered(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = TEST_DICTIONARY.extended(_CANDIDATES)
     sigs = stage(signatures(match_keywords(ads(spark, sf_dir), words), "year"), "signatures")
     names = dictionary_frame(spark, words)
-    g1 = keyword_g1(keyword_trend(names, keyword_counts(sigs, "year"))).where("is_g1").select("keyword")
+    trend = keyword_trend(names, keyword_counts(sigs, "year"))
+    g1 = keyword_g1(trend).where("is_g1").select("keyword")
     layer = layer_of(F.col("keyword"), F.col("source"), ("Hest",), ("Ones",), _CANDIDATES)
     return sigs, names.select("keyword", layer.alias("layer")), g1
 
@@ -287,7 +281,8 @@ def _raw_signatures(spark, sf_dir) -> DataFrame:
 
 
 def _groups(spark, sigs: DataFrame) -> DataFrame:
-    return tl.dhs_groups(_dict(spark), keyword_counts(sigs, "year"), RULES)
+    groups = tl.dhs_groups(_dict(spark), keyword_counts(sigs, "year"), RULES)
+    return stage(groups.coalesce(1), "groups")
 
 
 _R = f"WITH {RAW_HITS}, hits AS (SELECT * FROM rhits WHERE pre)"
@@ -333,7 +328,7 @@ def keyword_counts_monthly(spark, sf_dir):
 )
 def dhs_groups(spark, sf_dir):
     sigs = signatures(_raw_matched(spark, sf_dir), "year")
-    return _groups(spark, sigs).select(
+    return tl.dhs_groups(_dict(spark), keyword_counts(sigs, "year"), RULES).select(
         "keyword", "lang", "baseline", "slope", "y_pred", "y_actual", "ratio", "dhs", "own_group", "en_group", "group"
     )
 

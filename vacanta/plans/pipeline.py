@@ -62,8 +62,24 @@ def calibrate(
     The corpus collapses to match signatures, which are staged; all tables come from those.
     """
     sigs = stage(signatures(matched, "year"), "signatures")
+    return calibrate_signatures(sigs, keywords, excluded, cs, ks, config)
+
+
+def calibrate_signatures(
+    sigs: DataFrame,
+    keywords: DataFrame,
+    excluded: tuple[str, ...] = (),
+    cs: tuple[float, ...] = C_GRID,
+    ks: tuple[int, ...] = K_GRID,
+    config: TrendConfig = TrendConfig(),
+) -> dict[str, DataFrame]:
+    """Same from staged signatures, for runs with different keyword pools over one corpus.
+
+    The trend has a few rows per keyword and is staged too: every status lookup reads it again.
+    """
     names = keywords.where(~F.col("keyword").isin(*excluded)) if excluded else keywords
     trend = keyword_trend(names, keyword_counts(sigs, "year", excluded=excluded), config)
+    trend = stage(trend.coalesce(1), "trend")
     status = keyword_status(trend, cs, config)
     counted = with_status_counts(sigs, status, len(cs), excluded)
     sweep = grid_sweep(counted, status, cs, ks, config)
