@@ -83,7 +83,7 @@ def _independent_hits(text: Column, dictionary: Dictionary, language: str | None
     pattern = rf"(?<!\w)(?=({prefix_tree_pattern(scope, gap=_WORD_GAP)})(?!\w))"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     spelling = F.array_distinct(F.transform(found, lambda s: F.regexp_replace(s, _WORD_GAP, " ")))
-    return F.when(F.size(found) > 0, _lookup(spelling, table)).otherwise(_no_hits())
+    return _lookup(spelling, table)
 
 
 _WORD_GAP = r"\W+"
@@ -224,10 +224,7 @@ def _longest_first_hits(text: Column, dictionary: Dictionary, language: str) ->
     spelling = F.array_distinct(
         F.transform(found, lambda s: F.lower(F.regexp_replace(s, _GAP, " ")))
     )
-    return F.when(
-        F.size(found) > 0,
-        _lookup(spelling, {s: [(language, k, groups[k])] for s, k in table.items()}),
-    ).otherwise(_no_hits())
+    return _lookup(spelling, {s: [(language, k, groups[k])] for s, k in table.items()})
 
 
 def passes_prefilter(text: Column, dictionary: Dictionary, min_length: int = 4) -> Column:

@@ -61,36 +61,24 @@ def grid_sweep(
 
     ``counted`` comes from :func:`with_status_counts` and includes ads without any match.
     """
-    now = counted.where(F.col("year") == config.validation)
     cells = [(i, c, k) for i, c in enumerate(cs) for k in ks]
-    ads = now.agg(
-        F.coalesce(F.sum("n_ads"), F.lit(0)).alias("total"),
-        *[_ads(flagged(f"n_g2_{i}", k)).alias(f"f_{i}_{k}") for i, _, k in cells],
-    )
-    sizes = status.agg(
-        F.struct(
-            F.count_if("is_g1").alias("g1"),
-            *[F.count_if(f"g2_{i}").alias(f"g2_{i}") for i in range(len(cs))],
-        ).alias("s")
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(float(c)).alias("c"),
-                F.lit(k).alias("k"),
-                F.col("s")[f"g2_{i}"].alias("n_g2_keywords"),
-                F.col("s")["g1"].alias("n_g1_keywords"),
-                F.col(f"f_{i}_{k}").alias("flagged_ads"),
-                F.col("total").alias("total_ads"),
-            )
-            for i, c, k in cells
-        ]
+    flagged_ads = [
+        F.expr(f"coalesce(sum(if(n_g1 >= 1 OR n_g2_{i} >= {k}, n_ads, 0)), 0) AS f_{i}_{k}")
+        for i, _, k in cells
+    ]
+    sizes = [F.expr(f"count_if(g2_{i}) AS s_{i}") for i in range(len(cs))]
+    sizes = status.agg(F.struct(F.expr("count_if(is_g1) AS s_g1"), *sizes).alias("s")).scalar()
+    rows = ", ".join(
+        f"struct({c}D AS c, {k} AS k, s.s_{i} AS n_g2_keywords, s.s_g1 AS n_g1_keywords, "
+        f"f_{i}_{k} AS flagged_ads, total AS total_ads)"
+        for i, c, k in cells
     )
-    share = F.coalesce(F.try_divide(100.0 * F.col("flagged_ads"), F.col("total_ads")), F.lit(0.0))
     return (
-        ads.withColumn("s", sizes.scalar())
-        .select(F.inline(rows))
-        .withColumn("flagged_share_pct", share)
+        counted.where(F.col("year") == config.validation)
+        .agg(F.expr("coalesce(sum(n_ads), 0) AS total"), *flagged_ads)
+        .withColumn("s", sizes)
+        .select(F.expr(f"inline(array({rows}))"))
+        .withColumn("flagged_share_pct", F.expr("coalesce(try_divide(100D * flagged_ads, total_ads), 0D)"))
     )
 
 

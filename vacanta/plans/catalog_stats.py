@@ -20,7 +20,7 @@ from vacanta.operators.trend import (
 )
 from vacanta.plans import sql
 from vacanta.plans.catalog_text import RAW_HITS, matched
-from vacanta.plans.pipeline import calibrate, calibrate_signatures
+from vacanta.plans.pipeline import Calibration, calibrate
 from vacanta.plans.registry import query
 from vacanta.plans.views import TEST_DICTIONARY, ads
 from vacanta.sources.staging import stage
@@ -41,8 +41,12 @@ def _trend(spark, sf_dir) -> DataFrame:
     return keyword_trend(_dict(spark), _counts(spark, sf_dir))
 
 
-def _calibrated(spark, sf_dir, excluded=()) -> dict[str, DataFrame]:
-    return calibrate(matched(spark, sf_dir), _dict(spark), excluded)
+def _staged(spark, sf_dir) -> DataFrame:
+    return stage(signatures(matched(spark, sf_dir), "year"), "signatures")
+
+
+def _calibrated(spark, sf_dir) -> Calibration:
+    return calibrate(_staged(spark, sf_dir), _dict(spark))
 
 
 @query(
@@ -97,10 +101,10 @@ _NO_LLM = "(SELECT keyword FROM dict WHERE source <> 'LLM')"
 )
 def v7_grid_sweep(spark, sf_dir):
     """Full keyword pool and the pool without one source, from the same staged signatures."""
-    sigs = stage(signatures(matched(spark, sf_dir), "year"), "signatures")
+    sigs = _staged(spark, sf_dir)
     dropped = tuple(k.keyword for k in TEST_DICTIONARY.keywords if k.source == "LLM")
-    full = calibrate_signatures(sigs, _dict(spark))["sweep"].withColumn("run", F.lit("full"))
-    part = calibrate_signatures(sigs, _dict(spark), dropped)["sweep"].withColumn("run", F.lit("no_layer3"))
+    full = calibrate(sigs, _dict(spark)).sweep().withColumn("run", F.lit("full"))
+    part = calibrate(sigs, _dict(spark), dropped).sweep().withColumn("run", F.lit("no_layer3"))
     return full.unionByName(part)
 
 
@@ -111,7 +115,7 @@ def v7_grid_sweep(spark, sf_dir):
       max(p) FILTER (k = 4) AS "4", max(p) FILTER (k = 5) AS "5" FROM s GROUP BY c""",
 )
 def v7_grid_matrix(spark, sf_dir):
-    return sw.grid_matrix(_calibrated(spark, sf_dir)["sweep"])
+    return sw.grid_matrix(_calibrated(spark, sf_dir).sweep())
 
 
 @query(
@@ -123,7 +127,7 @@ def v7_grid_matrix(spark, sf_dir):
     FROM d JOIN f USING (c) GROUP BY c""",
 )
 def elbow_k(spark, sf_dir):
-    return _calibrated(spark, sf_dir)["elbow"]
+    return sw.elbow_k(_calibrated(spark, sf_dir).sweep())
 
 
 @query(
@@ -171,7 +175,7 @@ _AT = 1
 )
 def v7_newly_flagged(spark, sf_dir):
     run = _calibrated(spark, sf_dir)
-    counted, status = run["counted"], run["status"]
+    counted, status = run.counted, run.status
     totals = sw.newly_flagged(counted, _AT, 2)
     row = totals.agg(F.first(F.struct("*"))).scalar()
     out = sw.newly_flagged_drivers(counted, status, _AT, 2).withColumn("_t", row)
@@ -185,7 +189,7 @@ def v7_newly_flagged(spark, sf_dir):
     FROM kwad JOIN adc USING (ad_id) WHERE c = 1.05 GROUP BY keyword""",
 )
 def keyword_flagged_counts(spark, sf_dir):
-    return sw.keyword_flagged_counts(_calibrated(spark, sf_dir)["counted"], _AT, (2, 3))
+    return sw.keyword_flagged_counts(_calibrated(spark, sf_dir).counted, _AT, (2, 3))
 
 
 @query(
@@ -204,8 +208,8 @@ def keyword_flagged_counts(spark, sf_dir):
 )
 def keyword_report(spark, sf_dir):
     run = _calibrated(spark, sf_dir)
-    flagged = sw.keyword_flagged_counts(run["counted"], _AT, (2,))
-    out = sw.keyword_report(keyword_breakeven(run["trend"]), keyword_g1(run["trend"]), flagged, _dict(spark))
+    flagged = sw.keyword_flagged_counts(run.counted, _AT, (2,))
+    out = sw.keyword_report(keyword_breakeven(run.trend), keyword_g1(run.trend), flagged, _dict(spark))
     return out.select(
         "keyword", "matched_text", "is_g1", "block", "y_val_all_langs", "recent_total", "best_lang",
         "breakeven_c", "flagged_k2", F.coalesce("would_cut", F.lit(False)).alias("would_cut"), "position",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacanta.functions.patterns import Dictionary
 from vacanta.operators.dedup import dedup_within_year
-from vacanta.operators.match import classify_group, match_keywords, signatures
+from vacanta.operators.match import classify_group, match_keywords
 from vacanta.operators.prepare import allow_languages, flatten_and_filter
 from vacanta.operators.screening import drop_outlier_firm_years, outlier_firm_years
-from vacanta.operators.sweep import elbow_k, grid_sweep, with_status_counts
+from vacanta.operators.sweep import grid_sweep, with_status_counts
 from vacanta.operators.trend import C_GRID, K_GRID, TrendConfig, keyword_counts, keyword_status, keyword_trend
 from vacanta.schema import PrepareConfig
 from vacanta.sources.io import write_by
@@ -49,45 +51,34 @@ def run(ads: DataFrame, dictionary: Dictionary, target: str, config: PrepareConf
     write_by(classify(prepare(ads, config), dictionary, config), target, "year")
 
 
-def calibrate(
-    matched: DataFrame,
-    keywords: DataFrame,
-    excluded: tuple[str, ...] = (),
-    cs: tuple[float, ...] = C_GRID,
-    ks: tuple[int, ...] = K_GRID,
-    config: TrendConfig = TrendConfig(),
-) -> dict[str, DataFrame]:
-    """Keyword statistics and the (c, k) sweep from one pass over matched ads.
+@dataclass(frozen=True)
+class Calibration:
+    """Keyword statistics of one pool, and the signatures counted by them."""
 
-    The corpus collapses to match signatures, which are staged; all tables come from those.
-    """
-    sigs = stage(signatures(matched, "year"), "signatures")
-    return calibrate_signatures(sigs, keywords, excluded, cs, ks, config)
+    trend: DataFrame
+    status: DataFrame
+    counted: DataFrame
+    cs: tuple[float, ...]
+    config: TrendConfig
 
+    def sweep(self, ks: tuple[int, ...] = K_GRID) -> DataFrame:
+        return grid_sweep(self.counted, self.status, self.cs, ks, self.config)
 
-def calibrate_signatures(
+
+def calibrate(
     sigs: DataFrame,
     keywords: DataFrame,
     excluded: tuple[str, ...] = (),
     cs: tuple[float, ...] = C_GRID,
-    ks: tuple[int, ...] = K_GRID,
     config: TrendConfig = TrendConfig(),
-) -> dict[str, DataFrame]:
-    """Same from staged signatures, for runs with different keyword pools over one corpus.
+) -> Calibration:
+    """Rate the keywords of a pool from staged match signatures (year, matches, n_ads).
 
-    The trend has a few rows per keyword and is staged too: every status lookup reads it again.
+    The corpus is read once for any number of pools. The trend has a few rows per keyword and is
+    staged too, as every status lookup reads it again.
     """
     names = keywords.where(~F.col("keyword").isin(*excluded)) if excluded else keywords
     trend = keyword_trend(names, keyword_counts(sigs, "year", excluded=excluded), config)
     trend = stage(trend.coalesce(1), "trend")
     status = keyword_status(trend, cs, config)
-    counted = with_status_counts(sigs, status, len(cs), excluded)
-    sweep = grid_sweep(counted, status, cs, ks, config)
-    return {
-        "signatures": sigs,
-        "trend": trend,
-        "status": status,
-        "counted": counted,
-        "sweep": sweep,
-        "elbow": elbow_k(sweep, ks),
-    }
+    return Calibration(trend, status, with_status_counts(sigs, status, len(cs), excluded), cs, config)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,11 +63,18 @@ def reconcile(source: DataFrame, exported: DataFrame) -> DataFrame:
     )
 
 
+def _from_latin1(text: Column) -> Column:
+    """Windows-1252 text that was read as ISO-8859-1: the two differ in 0x80 to 0x9F only."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    pairs = [(a, b) for a, b in pairs if b]
+    return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
 def read_isco_titles(spark: SparkSession, path: str, version: str = "ISCO-08") -> DataFrame:
-    """code, title from the Western-European-encoded classification structure."""
-    raw = spark.read.option("header", True).option("encoding", "windows-1252").csv(path)
+    """code, title from the Windows-1252 classification structure."""
+    raw = spark.read.option("header", True).option("encoding", "iso-8859-1").csv(path)
     return raw.where(F.col("ISCO_version") == version).select(
-        F.col("unit").cast("int").alias("code"), F.trim("description").alias("title")
+        F.col("unit").cast("int").alias("code"), F.trim(_from_latin1(F.col("description"))).alias("title")
     )
 
 
