@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacanta.functions.numbers import round_even
+
 
 def two_hop(
     first: DataFrame,
@@ -55,7 +57,7 @@ def unmatched_rate(tags: DataFrame, first: DataFrame, second: DataFrame, tag: st
     rows = F.col("n") * F.coalesce(F.col("k"), F.lit(1))
     return per_tag.join(known, tag, "left").agg(
         F.sum(rows).alias("n_rows"),
-        F.round(
+        round_even(
             F.try_divide(100.0 * F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)), F.sum(rows)), 2
         ).alias("pct_unmatched"),
     )

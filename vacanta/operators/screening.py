@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacanta.functions.numbers import round_even
 from vacanta.functions.text import preview
 
 # Standard normal quantile per two-sided significance.
@@ -107,7 +108,7 @@ def flag_diagnostics(df: DataFrame, flag: str, cell: str, min_coded: int = 50) -
     )
 
     def pct(part: str, whole: str, digits: int) -> Column:
-        return F.round(F.try_divide(100.0 * F.col(part), F.col(whole)), digits)
+        return round_even(F.try_divide(100.0 * F.col(part), F.col(whole)), digits)
 
     wide = wide.withColumns(
         {
@@ -127,7 +128,7 @@ def match_rate(joined: DataFrame, matched: str) -> DataFrame:
     """Percentage of rows a left join left without a partner."""
     return joined.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.round(100.0 * F.avg(F.col(matched).isNull().cast("double")), 2).alias("pct_unmatched"),
+        round_even(100.0 * F.avg(F.col(matched).isNull().cast("double")), 2).alias("pct_unmatched"),
     )
 
 

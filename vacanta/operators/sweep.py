@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacanta.functions.numbers import round_even
 from vacanta.operators.match import keywords
 from vacanta.operators.trend import C_GRID, K_GRID, TrendConfig
 
@@ -167,7 +168,7 @@ def layer_sweep(
         enough = F.col("n_other") >= k
         cells.append(_ads(enough).alias(f"A_{k}"))
         cells += [_ads(enough & (F.size(F.col(n)) > 0)).alias(f"{n}_{k}") for n in names.values()]
-    pct = lambda n: F.round(F.try_divide(100.0 * F.col(n), F.col("A_total")), 1)
+    pct = lambda n: round_even(F.try_divide(100.0 * F.col(n), F.col("A_total")), 1)
     rows = F.array(
         *[
             F.struct(
@@ -238,10 +239,10 @@ def keyword_report(
         .withColumn("block", block)
         .withColumn("matched_text", F.when(F.col("matched_text") != F.col("keyword"), F.col("matched_text")).otherwise(""))
         .withColumn("breakeven_c", F.when(~F.col("is_g1"), F.col("breakeven_c")))
-        .withColumn("would_cut", (F.col("block") == 1) & (F.round("breakeven_c", 2) <= max_c))
+        .withColumn("would_cut", (F.col("block") == 1) & (round_even(F.col("breakeven_c"), 2) <= max_c))
     )
     within = [
-        F.when(F.col("block") == 1, F.round("breakeven_c", 2)),
+        F.when(F.col("block") == 1, round_even(F.col("breakeven_c"), 2)),
         F.when(F.col("block") < 3, -F.col("y_val_all_langs")),
         F.col("keyword"),
     ]

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacanta.functions.numbers import round_even
 from vacanta.functions.patterns import LANGUAGES
 
 # Calibration grids.
@@ -163,12 +164,12 @@ def multiple() -> Column:
 
 def keyword_stats_wide(trend: DataFrame, config: TrendConfig = TrendConfig()) -> DataFrame:
     """One row per keyword: benchmark, count and multiple per language, rounded to 2 places."""
-    ratio = F.when(F.col("B") > 0, F.round(F.col("y_val") / F.col("B"), 2))
+    ratio = F.when(F.col("B") > 0, round_even(F.col("y_val") / F.col("B"), 2))
     cells = []
     for lang in config.languages:
         here = F.col("lang") == lang
         cells += [
-            F.max(F.when(here, F.round("B", 2))).alias(f"B_{lang}"),
+            F.max(F.when(here, round_even(F.col("B"), 2))).alias(f"B_{lang}"),
             F.max(F.when(here, F.col("y_val"))).alias(f"y_val_{lang}"),
             F.max(F.when(here, ratio)).alias(f"multiple_{lang}"),
         ]

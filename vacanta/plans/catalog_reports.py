@@ -283,8 +283,8 @@ def top_bottom_query(spark, sf_dir):
     SELECT metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (SELECT n_rows::DOUBLE AS n_rows, n_missing::DOUBLE AS n_missing,
       n_true::DOUBLE AS n_true, n_false::DOUBLE AS n_false, n_cells::DOUBLE AS n_cells, n_cells_below::DOUBLE AS n_cells_below,
       coded_in_dropped_cells::DOUBLE AS coded_in_dropped_cells, total_coded::DOUBLE AS total_coded,
-      round(100.0 * n_missing / n_rows, 2) AS pct_missing, round(100.0 * n_true / n_rows, 2) AS pct_true,
-      round(100.0 * n_false / n_rows, 2) AS pct_false, round(100.0 * n_cells_below / n_cells, 1) AS pct_cells_below FROM w)
+      round_even(100.0 * n_missing / n_rows, 2) AS pct_missing, round_even(100.0 * n_true / n_rows, 2) AS pct_true,
+      round_even(100.0 * n_false / n_rows, 2) AS pct_false, round_even(100.0 * n_cells_below / n_cells, 1) AS pct_cells_below FROM w)
       ON COLUMNS(*) INTO NAME metric VALUE value)""",
 )
 def wfh_diagnostics(spark, sf_dir):
@@ -414,7 +414,7 @@ def crosswalk_many_many(spark, sf_dir):
 @query(
     "crosswalk_match_rate",
     f"""{_MM}, j AS (SELECT xk.mid FROM tags t LEFT JOIN xk USING (tag))
-    SELECT count(*) AS n_rows, round(100.0 * avg(CAST(mid IS NULL AS INT)), 2) AS pct_unmatched FROM j""",
+    SELECT count(*) AS n_rows, round_even(100.0 * avg(CAST(mid IS NULL AS INT)), 2) AS pct_unmatched FROM j""",
 )
 def crosswalk_match_rate(spark, sf_dir):
     return unmatched_rate(*_mm(spark, sf_dir), "tag")

@@ -134,8 +134,8 @@ def elbow_k(spark, sf_dir):
     "keyword_stats_wide",
     f"""{_T} SELECT keyword, any_value(g1.zero_pre) AS zero_pre, any_value(g1.y_val_all_langs) AS y_val_all_langs,
       any_value(g1.is_g1) AS is_g1, {", ".join(
-        f'''max(round(b, 2)) FILTER (lang = '{la}') AS "B_{la}", max(y_val) FILTER (lang = '{la}') AS y_val_{la},
-        max(CASE WHEN b > 0 THEN round(y_val / b, 2) END) FILTER (lang = '{la}') AS multiple_{la}'''
+        f'''max(round_even(b, 2)) FILTER (lang = '{la}') AS "B_{la}", max(y_val) FILTER (lang = '{la}') AS y_val_{la},
+        max(CASE WHEN b > 0 THEN round_even(y_val / b, 2) END) FILTER (lang = '{la}') AS multiple_{la}'''
         for la in ("en", "de", "fr", "it"))}
     FROM trend JOIN g1 USING (keyword) GROUP BY keyword""",
 )
@@ -202,8 +202,8 @@ def keyword_flagged_counts(spark, sf_dir):
         coalesce(flagged_k2, 0) AS flagged_k2
       FROM dict d JOIN g1 USING (keyword) JOIN be USING (keyword) LEFT JOIN fl USING (keyword))
     SELECT keyword, matched_text, is_g1, CAST(block AS BIGINT) AS block, y_val_all_langs, recent_total, best_lang,
-      round(be_c, 6) AS breakeven_c, flagged_k2, block = 1 AND round(be_c, 2) <= 5 AS would_cut,
-      row_number() OVER (PARTITION BY block ORDER BY CASE WHEN block = 1 THEN round(be_c, 2) END,
+      round(be_c, 6) AS breakeven_c, flagged_k2, block = 1 AND round_even(be_c, 2) <= 5 AS would_cut,
+      row_number() OVER (PARTITION BY block ORDER BY CASE WHEN block = 1 THEN round_even(be_c, 2) END,
         CASE WHEN block < 3 THEN -y_val_all_langs END, keyword) AS position FROM r""",
 )
 def keyword_report(spark, sf_dir):
@@ -252,8 +252,8 @@ def _layered(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
       SELECT k, count(*) FILTER (n >= k) AS "A_total", count(*) FILTER (n >= k AND b) AS "B_layer12",
         count(*) FILTER (n >= k AND c) AS "C_layer3a", count(*) FILTER (n >= k AND d) AS "D_layer3b"
       FROM other CROSS JOIN ks GROUP BY k)
-    SELECT *, round(100.0 * "B_layer12" / "A_total", 1) AS "B_pct_of_A", round(100.0 * "C_layer3a" / "A_total", 1) AS "C_pct_of_A",
-      round(100.0 * "D_layer3b" / "A_total", 1) AS "D_pct_of_A" FROM s""",
+    SELECT *, round_even(100.0 * "B_layer12" / "A_total", 1) AS "B_pct_of_A", round_even(100.0 * "C_layer3a" / "A_total", 1) AS "C_pct_of_A",
+      round_even(100.0 * "D_layer3b" / "A_total", 1) AS "D_pct_of_A" FROM s""",
 )
 def layer_sweep(spark, sf_dir):
     return sw.layer_sweep(*_layered(spark, sf_dir))

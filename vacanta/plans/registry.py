@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacanta.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,7 +33,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; ``sql`` is the same result as plain SQL over the tables."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: comparable(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: comparable(fn(tune(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return fn
