@@ -74,18 +74,18 @@ def main() -> None:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--plain", action="store_true", help="a session without any settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-        .getOrCreate()
-    )
+    builder = SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false")
+    if not args.plain:
+        builder = (
+            builder.config("spark.sql.shuffle.partitions", "8")
+            .config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", "8g")
+            .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        )
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
