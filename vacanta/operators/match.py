@@ -33,7 +33,7 @@ MATCH_TYPE = T.ArrayType(
     )
 )
 # Above this many spellings a literal pattern stops paying off and the join takes over.
-MAX_LITERAL_SPELLINGS = 20_000
+MAX_LITERAL_SPELLINGS = 5_000
 
 
 def _hit(bucket: str, keyword: str, group: int | None) -> Column:
@@ -207,10 +207,13 @@ _GAP = r"[\s\x1C-\x1F\x85\p{Z}\-]+"
 
 
 def _longest_first_pattern(spellings: Iterable[str]) -> str:
-    """Any spelling between word edges; the start edge is one look-behind, tried before the tree."""
+    """Any spelling between word edges.
+
+    The start edge is tried before the tree, and on most characters the plain ASCII test settles it.
+    """
     words = [s for s in spellings if s[0] == "_" or s[0].isalnum()]
     others = [s for s in spellings if s not in set(words)]
-    starts = [(rf"(?<!{_WORD})", words), (rf"(?<={_WORD})", others)]
+    starts = [(rf"(?<!\w)(?<!{_WORD})", words), (rf"(?<={_WORD})", others)]
     branches = [e + f"(?:{prefix_tree_pattern(part, gap=_GAP)})" for e, part in starts if part]
     return f"(?iu)(?:{'|'.join(branches)}){_EDGE}"
 
@@ -255,9 +258,15 @@ def match_longest_first(
         cond = F.col(language) == lang
         local = F.when(cond, hits) if local is None else local.when(cond, hits)
     hits = F.array_sort(F.concat(english, local.otherwise(_no_hits())))
-    if prefilter:
-        hits = F.when(passes_prefilter(F.col(text), dictionary), hits)
-    return with_once(ads, "matches", F.coalesce(hits, _no_hits()))
+    if not prefilter:
+        return with_once(ads, "matches", hits)
+    # The literal test looks at every character, so it is left to the few ads with a hit.
+    passed = F.when(
+        F.size("_hits") > 0,
+        F.when(passes_prefilter(F.col(text), dictionary), F.col("_hits")),
+    )
+    out = with_once(ads, "_hits", hits)
+    return with_once(out, "matches", F.coalesce(passed, _no_hits())).drop("_hits")
 
 
 def keywords(matches: Column | None = None) -> Column:
