@@ -326,8 +326,8 @@ _CONFIG = PrepareConfig(
     FROM kept LEFT JOIN best USING (id) GROUP BY ALL""",
 )
 def prepare_and_classify(spark, sf_dir):
-    """Relational sources to wide postings, cleaned, screened and classified."""
-    wide = wide_postings(*_relational(spark, sf_dir))
+    """Relational sources exported as wide postings, then cleaned, screened and classified."""
+    wide = stage(wide_postings(*_relational(spark, sf_dir)), "export")
     out = classify(prepare(wide, _CONFIG), TEST_DICTIONARY, _CONFIG)
     return out.groupBy("year", "detected_language", "group").agg(F.count(F.lit(1)).alias("n"))
 
@@ -448,7 +448,7 @@ def keyword_layer_dedup(spark, sf_dir):
     SELECT language, grp AS "group", count(*) AS n FROM u GROUP BY ALL""",
 )
 def stream_classify(spark, sf_dir):
-    """Postings arrive as yearly files, are read in two batches, deduplicated and classified.
+    """Postings arrive as files, are read in two batches, deduplicated and classified.
 
     The delay covers the whole period, so each text is kept once.
     """
@@ -457,9 +457,9 @@ def stream_classify(spark, sf_dir):
         "ad_id", "text", "language",
         F.concat("language", F.lit(":"), F.md5("text")).alias("copy"),
         F.make_timestamp("year", "month", F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("created"),
-        "year",
     )
-    arriving.repartition("year").write.parquet(source)
-    run = run_available(spark, source, arriving.schema, target, marks, TEST_DICTIONARY, "copy", "created", "4000 days", 4)
+    arriving.write.parquet(source)
+    half = -(-len(spark.read.parquet(source).inputFiles()) // 2)
+    run = run_available(spark, source, arriving.schema, target, marks, TEST_DICTIONARY, "copy", "created", "4000 days", half)
     run.awaitTermination()
     return spark.read.parquet(target).groupBy("language", "group").agg(F.count(F.lit(1)).alias("n"))

@@ -240,7 +240,7 @@ def _layered(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = TEST_DICTIONARY.extended(_CANDIDATES)
     sigs = stage(signatures(match_keywords(ads(spark, sf_dir), words), "year"), "signatures")
     names = dictionary_frame(spark, words)
-    trend = keyword_trend(names, keyword_counts(sigs, "year"))
+    trend = stage(keyword_trend(names, keyword_counts(sigs, "year")).coalesce(1), "trend")
     g1 = keyword_g1(trend).where("is_g1").select("keyword")
     layer = layer_of(F.col("keyword"), F.col("source"), ("Hest",), ("Ones",), _CANDIDATES)
     return sigs, names.select("keyword", layer.alias("layer")), g1

@@ -22,8 +22,9 @@ from vacanta.sources.staging import stage
 def prepare(ads: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
     """Wide postings to clean ones: filter, keep the first copy per year, drop outlier firm-years.
 
-    Languages are restricted last. The de-duplicated table is staged, as the outlier statistics
-    and the removal both read it.
+    Languages are restricted last. The outlier statistics need a few narrow columns of the
+    de-duplicated table; they are derived from a second, column-pruned pass, which is far less than
+    writing and reading all texts once more.
     """
     c = config.columns
     flat = flatten_and_filter(ads, config).withColumn("year", F.year(c.date))
@@ -31,7 +32,6 @@ def prepare(ads: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFram
     unique = dedup_within_year(
         flat.withColumn("_row", F.monotonically_increasing_id()), c.job_id, [c.date, *tie, "_row"]
     ).drop("_row")
-    unique = stage(unique, "deduplicated")
     outliers = outlier_firm_years(
         unique, dict(config.size_alpha), config.fallback_alpha, "_firm_id", "_size_id"
     )
