@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacanta.llm import queries_bpe, queries_chat, queries_decontaminate
+from vacanta.llm import queries_bpe, queries_chat, queries_decontaminate, queries_language
 
-_MODULES = (queries_chat, queries_bpe, queries_decontaminate)
+_MODULES = (queries_chat, queries_bpe, queries_decontaminate, queries_language)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
