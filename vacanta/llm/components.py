@@ -2,8 +2,8 @@
 
 Every round replaces links by links to the smallest neighbour, which halves the depth of the trees
 about each time, and is written to the shared folder, so that no lineage grows and a lost executor
-costs no more than its tasks. Aggregation is partial before every shuffle; a hot node's links meet
-only in a join, which adaptive execution splits.
+costs no more than its tasks. Aggregation is partial before every shuffle, and its result is staged, so
+that a hot node's links meet only in a join that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node, and no other, to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(stage(lowest, "lowest"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+    lowest = stage(down.groupBy("a").agg(F.min("b").alias("m")), "lowest")
     moved = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
     return moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
 
@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = stage(_small_star(_large_star(edges)), "links")
+        edges = stage(_small_star(stage(_large_star(edges), "links")), "links")
         now = state(edges)
         if now == before:
             break
