@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacanta.llm import queries_bpe, queries_chat, queries_decontaminate, queries_html, queries_language, queries_minhash, queries_quality, queries_urls
+from vacanta.llm import queries_bpe, queries_chat, queries_decontaminate, queries_forest, queries_html, queries_language, queries_minhash, queries_quality, queries_urls
 
-_MODULES = (queries_chat, queries_bpe, queries_decontaminate, queries_html, queries_language, queries_minhash, queries_quality, queries_urls)
+_MODULES = (queries_chat, queries_bpe, queries_decontaminate, queries_forest, queries_html, queries_language, queries_minhash, queries_quality, queries_urls)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
