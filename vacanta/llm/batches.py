@@ -6,7 +6,7 @@ one text into the next. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,13 +122,11 @@ def schema_with(df: DataFrame, fields: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in fields] + [T.StructField(n, t) for n, t in fields.items()])
 
 
-def map_blocks(function: Callable[[pa.RecordBatch], pa.RecordBatch], text: str, most: int = BLOCK_BYTES):
-    """A function for mapInArrow that works on blocks of at most ``most`` bytes of the column ``text``."""
+def numbered(df: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """``df`` with columns c0, c1, ..., which no operator's output can clash with, and the new name of ``text``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), f"c{df.columns.index(text)}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index(text)
-            for start, end in blocks(batch.column(at), most):
-                yield function(batch.slice(start, end - start))
 
-    return run
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``numbered`` under their first names."""
+    return df.select([F.col(f"c{i}").alias(name) for i, name in enumerate(like.columns)])

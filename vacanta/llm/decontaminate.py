@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacanta.llm.batches import appended, blocks, flat, schema_with, word_hashes
+from vacanta.llm.batches import appended, blocks, flat, numbered, restored, schema_with, word_hashes
 
 WINDOW = 13
 #: Most bytes of benchmark text that are sent to the tasks at once (one item may be longer).
@@ -222,10 +222,12 @@ def _pass(bench: Benchmark, text: str):
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+def find_benchmark(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES, text: str = "text"
+) -> DataFrame:
     """``docs`` with n_words, hits (spans of hit words) and matches (maximal verbatim matches per item).
 
-    ``docs`` has a column text, ``benchmark`` item_id and text.
+    ``text`` names the texts of ``docs``; ``benchmark`` has item_id and text.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -235,7 +237,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
         bench = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], window)
         types = {f"_{n}": t for n, t in FIELDS.items()}
-        out = out.mapInArrow(_pass(bench, "text"), schema_with(out, types))
+        out = out.mapInArrow(_pass(bench, text), schema_with(out, types))
     out = out.select(*docs.columns, "_n_words", "_hits", "_matches").drop(*FIELDS)
     return out.withColumnsRenamed({f"_{n}": n for n in FIELDS}).withColumn("hits", merged_hits("hits") if n_blocks > 1 else F.col("hits"))
 
@@ -263,6 +265,6 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
-    kept = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col("text"))
-    found = judged(find_benchmark(kept, benchmark, window), share)
-    return found.where(~F.col("contaminated")).select("_row.*")
+    renamed, text = numbered(docs, "text")
+    found = judged(find_benchmark(renamed, benchmark, window, text=text), share)
+    return restored(found.where(~F.col("contaminated")), docs)

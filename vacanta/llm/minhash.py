@@ -316,7 +316,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per group of ``docs``, and all rows with a null id, with the columns of ``docs``."""
-    found = near_duplicates(docs, key, text, similarity).where("kept and id is not null").select(F.col("id").alias("_kept_id"))
-    kept = docs.join(found, F.col(key) == F.col("_kept_id"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    """One row per group of ``docs``, and all rows with a null id, with the columns of ``docs``.
+
+    Of rows that share the kept id one stays, whichever Spark finds first.
+    """
+    gone = stage(near_duplicates(docs, key, text, similarity).where(~F.col("kept")).select(F.col("id").alias("_gone")), "gone")
+    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
