@@ -19,6 +19,7 @@ whole whatever its length, without recursion.
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -203,13 +204,19 @@ class Page:
             total[self.parent[i]] += density[i]
         return density, total
 
+    def _articles(self) -> list[int]:
+        """Articles that lie in no other article."""
+        out: list[int] = []
+        for i, name in enumerate(self.tag):
+            if name == "article" and not self.dropped[i] and (not out or i >= self.end[out[-1]]):
+                out.append(i)
+        return out
+
     def main_node(self) -> int:
         """Root of the article's subtree."""
         density, total = self.densities()
         n = len(self.tag)
         best = max(range(n), key=lambda i: (total[i], -i))
-        if total[best] <= 0:
-            return 0
         path = [best]
         while self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
@@ -218,6 +225,18 @@ class Page:
         article = max((k for k, i in enumerate(path) if self.tag[i] == "article"), default=None)
         if article is not None:
             return path[article]
+        # A short article can have less density than the page around it: descend to one that holds most of the text.
+        articles = [i for i in self._articles() if best <= i < self.end[best]]
+        if articles:
+            size = [0] * (n + 1)
+            for owner, piece in self.parts:
+                if piece and not self.dropped[owner]:
+                    size[owner + 1] += len(" ".join(piece.split()))
+            size = list(itertools.accumulate(size))
+            of = lambda i: size[self.end[i]] - size[i]
+            largest = max(articles, key=of)
+            if 2 * of(largest) >= of(best) > 0:
+                return largest
         # The nearest step at which nothing beside the path is as dense as the threshold.
         children: dict[int, list[int]] = {}
         for i in range(1, n):

@@ -41,6 +41,7 @@ BLOCKED_HOSTS = (
     "spam-farm.example.org", "blog.spam-farm.example.com", "link-spam.example.net", "spamhub.example.com",
     "ads-track.example.com", "m.ads-track.example.net", "track-clicks.example.org", "adserver-track.example.com",
     "cheap-loans.example.com", "win-money-fast.example.net", "free-viagra.example.org", "malware-download.example.com",
+    "diet-pills.example.net", "pillshop.example.org", "online-bets.example.net", "casino24.example.org",
 )
 ALLOWED_HOSTS = (
     "www.example.com", "blog.example.org", "m.example.net", "news.example.com", "weather.example.org", "docs.example.net",
@@ -48,7 +49,7 @@ ALLOWED_HOSTS = (
     "university.example.org", "museum.example.com", "recipes.example.net", "travel-notes.example.com", "forum.example.org",
     "wiki.example.net", "shop.example.com", "blog.thonnd.example.com", "m.erin.example.net", "therha.example.org",
     "www.tionsh.example.com", "ththre.example.net", "blog.enung.example.org", "www.queaire.example.com", "m.cionte.example.net",
-    "therat.example.org", "stadt-archiv.example.com",
+    "therat.example.org", "stadt-archiv.example.com", "bookshop.example.org", "shop.garden.example.net", "video-archive.example.org", "track-and-field.example.org",
 )
 LABELLED_PATHS = ("/en/12", "/fr/345.html", "/de/6789/", "/es/1011", "/", "/en/about", "/de/impressum.html", "/es/blog/2")
 
