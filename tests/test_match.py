@@ -1,6 +1,9 @@
+import itertools
 import re
+from string import ascii_lowercase
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from test_text import plain
@@ -14,6 +17,7 @@ from vacanta.functions.patterns import (
 from vacanta.operators.match import (
     candidates,
     classify_group,
+    forms_table,
     match_by_join,
     match_keywords,
     match_longest_first,
@@ -124,7 +128,11 @@ def brute_force(words, text, language):
     return out
 
 
-@pytest.mark.parametrize("matcher", [match_keywords, match_by_join])
+def by_join(ads, words, **options):
+    return match_by_join(ads, forms_table(ads.sparkSession, words), **options)
+
+
+@pytest.mark.parametrize("matcher", [match_keywords, by_join])
 def test_one_pass_equals_search_per_keyword(spark, sf_dir, matcher):
     rows = matcher(ads(spark, sf_dir), TEST_DICTIONARY).collect()
     assert len(rows) == 200
@@ -135,7 +143,7 @@ def test_one_pass_equals_search_per_keyword(spark, sf_dir, matcher):
 
 def test_join_handles_texts_shorter_than_a_phrase(spark):
     words = Dictionary((kw("a b c"), kw("a")))
-    assert found(spark, words, ["a", "", None, "a b c"], match_by_join) == [
+    assert found(spark, words, ["a", "", None, "a b c"], by_join) == [
         {("en", "a")}, set(), set(), {("en", "a"), ("en", "a b c")},
     ]
 
@@ -160,3 +168,36 @@ def test_text_is_scanned_once(spark, sf_dir):
     plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
     # Lists per language, each written once.
     assert plan.count("regexp_extract_all") == 4
+
+
+def test_ten_thousand_spellings_classify_as_one_by_one(spark):
+    """One matcher at any size: null and repeated ids keep their own hits, on either way."""
+    names = [f"{a}{b}{'s' if i % 7 == 0 else ''} {c}" for i, (a, b, c) in enumerate(itertools.product(ascii_lowercase, ascii_lowercase, ("x", "ys", "s zz", "model", "models", "q", "r", "t")))]
+    words = Dictionary(tuple(Keyword(n, 1 + i % 3, "St", {"en": n, "fr": f"{n} fr", "de": f"{n} de"}) for i, n in enumerate(names)))
+    assert sum(len(words.variants(lang)) for lang in ("en", "fr", "de")) > 10_000
+    rows = [
+        (1, "aa x and ab model", "en"), (1, "nothing", "en"), (None, "zz models fr", "fr"), (None, "aas x", "fr"), (None, None, "en"), (2, "ca s zz ca s zzs", "de"),
+        (3, "ab  models; ac-ys", "en"), (3, "ab  models; ac-ys", "en"), (4, "ss xs", "fr"),
+    ]
+    ads = spark.createDataFrame(rows, "ad_id int, text string, language string")
+    from vacanta.plans.pipeline import classify
+    from vacanta.schema import ColumnMap, PrepareConfig
+
+    config = PrepareConfig(columns=ColumnMap(job_id="ad_id", content="text"))
+    for out in (match_keywords(ads, words), by_join(ads, words), classify(ads.withColumn("detected_language", F.col("language")), words, config)):
+        got = sorted((str(r.ad_id), r.text or "", sorted(map(str, r.matches))) for r in out.collect())
+        expected = sorted((str(i), t or "", sorted(str(Row(bucket=b, keyword=k, group=g)) for b, k, g in brute_force(words, t, lang))) for i, t, lang in rows)
+        assert got == expected
+
+
+def test_join_refuses_a_stream(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("'a' AS text", "'en' AS language")
+    with pytest.raises(ValueError, match="stream"):
+        match_by_join(stream, forms_table(spark, Dictionary((kw("a"),))))
+
+
+def test_words_that_end_in_s_need_it(spark):
+    words = Dictionary((kw("business"), kw("busines"), kw("s"), kw("gas law"), kw("ga laws x")))
+    texts = ["business", "busines", "busine", "s", "ss", "gas law", "ga law", "gas laws", "ga laws x", "businesss"]
+    for text, hits in zip(texts, found(spark, words, texts, match_keywords), strict=True):
+        assert hits == {(b, k) for b, k, _ in brute_force(words, text, "en")}, text

@@ -1,8 +1,9 @@
 """Keyword dictionary and the patterns derived from it.
 
-A dictionary is a parameter, not data: at most a few hundred keywords a user lists. It is turned
-into one prefix-tree pattern per language, so a text is read once however many keywords there are.
-Dictionaries too large for a literal pattern go through a join (`operators.match.match_by_join`).
+A dictionary is a parameter, not data: keywords a user lists. It is turned into one prefix-tree
+pattern per language, so a text is read once however many keywords there are. Optional plurals are
+part of the pattern and not spelled out. A table of forms that is data itself can be matched by a
+join (`operators.match.match_by_join`).
 """
 
 from __future__ import annotations
@@ -74,10 +75,11 @@ class Keyword:
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Keywords with their forms, counterpart forms and optional extra patterns.
+    """Keywords with their forms, counterpart forms, exact forms and optional extra patterns.
 
-    ``extra_patterns`` maps a keyword to a regular expression tried on the normalised text of
-    every ad, on top of its forms; its hits count as English ones.
+    ``exact_forms`` maps a keyword to an English form that takes no plural. ``extra_patterns`` maps
+    a keyword to a regular expression tried on the normalised text of every ad, on top of its
+    forms; its hits count as English ones.
     """
 
     keywords: tuple[Keyword, ...]
@@ -85,6 +87,7 @@ class Dictionary:
         default_factory=lambda: DEFAULT_EXTRA_FORMS
     )
     extra_patterns: Mapping[str, str] = field(default_factory=dict)
+    exact_forms: Mapping[str, str] = field(default_factory=dict)
 
     def __len__(self) -> int:
         return len(self.keywords)
@@ -96,38 +99,76 @@ class Dictionary:
     def extended(self, names: Iterable[str], source: str = "new") -> Dictionary:
         """Add English-only candidates. They are matched exactly, without a plural."""
         new = tuple(Keyword(n, None, source, {}, False) for n in names)
-        patterns = {n.keyword: rf"\b{normalize_py(n.keyword)}\b" for n in new}
         return replace(
             self,
             keywords=self.keywords + new,
-            extra_patterns={**self.extra_patterns, **patterns},
+            exact_forms={**self.exact_forms, **{n.keyword: n.keyword for n in new}},
         )
 
-    def variants(self, language: str) -> dict[str, list[Keyword]]:
-        """Every spelling that counts in ``language`` (or as English) with its keywords."""
-        out: dict[str, list[Keyword]] = defaultdict(list)
+    def _forms(self, language: str) -> list[tuple[Keyword, str, bool]]:
+        """(keyword, normalised form, whether plurals count) in ``language``."""
+        out = []
         for kw in self.keywords:
             english = normalize_py(kw.forms.get("en"))
             form = english if language == "en" else normalize_py(kw.forms.get(language))
+            if language == "en" and kw.keyword in self.exact_forms:
+                out.append((kw, normalize_py(self.exact_forms[kw.keyword]), False))
             if not form or (language != "en" and form == english):
                 continue
-            spellings = plural_variants(form, language)
-            extra = self.extra_forms.get(language, {}).get(kw.keyword, ())
-            spellings += [normalize_py(f) for f in extra]
-            for s in dict.fromkeys(spellings):
-                if s:
-                    out[s].append(kw)
+            out.append((kw, form, True))
+            out += [(kw, normalize_py(f), False) for f in self.extra_forms.get(language, {}).get(kw.keyword, ())]
+        return [x for x in out if x[1]]
+
+    def variants(self, language: str) -> dict[str, list[Keyword]]:
+        """Every spelling that counts in ``language`` (or as English) with its keywords."""
+        out: dict[str, list[Keyword]] = defaultdict(list)
+        for kw, form, plural in self._forms(language):
+            for spelling in plural_variants(form, language) if plural else [form]:
+                if kw not in out[spelling]:
+                    out[spelling].append(kw)
         return dict(out)
 
-    def scope(self, language: str | None) -> dict[str, list[tuple[str, Keyword]]]:
-        """Spelling to (bucket, keyword) pairs for ads of ``language``: English plus local forms."""
-        out: dict[str, list[tuple[str, Keyword]]] = defaultdict(list)
+    def scope(self, language: str | None) -> dict[str, list[Entry]]:
+        """Entries for ads of ``language``, English and local, by the stems of their words."""
+        out: dict[str, list[Entry]] = defaultdict(list)
         for bucket in ("en", language) if language in LOCAL_LANGUAGES else ("en",):
-            for spelling, kws in self.variants(bucket).items():
-                out[spelling] += [(bucket, kw) for kw in kws]
+            for kw, form, plural in self._forms(bucket):
+                words = form.split(" ")
+                free = plural_words(words, bucket) if plural else set()
+                fixed = sum(1 << i for i in range(len(words)) if i not in free)
+                ends = sum(1 << i for i, w in enumerate(words) if w != stem(w)) & fixed
+                out[" ".join(map(stem, words))].append(Entry(bucket, kw.keyword, kw.group, fixed, ends))
         return dict(out)
 
 
+@dataclass(frozen=True)
+class Entry:
+    """A form of a keyword. Bit i of ``ends`` tells whether word i ends in "s", where ``fixed`` has the bit."""
+
+    bucket: str
+    keyword: str
+    group: int | None
+    fixed: int
+    ends: int
+
+
+def stem(word: str) -> str:
+    """A word without the "s" at its end; "s" alone stays."""
+    return word[:-1] if len(word) > 1 and word.endswith("s") else word
+
+
+def plural_words(words: list[str], language: str) -> set[int]:
+    """Places of the words that may take a plural "s" (see :func:`plural_variants`)."""
+    if language == "en":
+        places = {len(words) - 1}
+    elif language == "fr":
+        inert = FRENCH_INVARIANT_WORDS
+        places = {i for i, w in enumerate(words) if w not in inert and not (i and words[i - 1] in inert)}
+    else:
+        places = set()
+    return {i for i in places if not words[i].endswith("s")}
+
+
 def plural_variants(form: str, language: str) -> list[str]:
     """All accepted spellings of a normalised form.
 
@@ -135,22 +176,8 @@ def plural_variants(form: str, language: str) -> list[str]:
     invariant nor follows an invariant word. A word ending in "s" takes none. Others: exact.
     """
     words = form.split(" ")
-    if language == "en":
-        options = [[w] for w in words[:-1]] + [_with_s(words[-1])]
-    elif language == "fr":
-        options = [
-            [w]
-            if w in FRENCH_INVARIANT_WORDS or (i and words[i - 1] in FRENCH_INVARIANT_WORDS)
-            else _with_s(w)
-            for i, w in enumerate(words)
-        ]
-    else:
-        options = [[w] for w in words]
-    return [" ".join(choice) for choice in product(*options)]
-
-
-def _with_s(word: str) -> list[str]:
-    return [word] if word.endswith("s") else [word, word + "s"]
+    free = plural_words(words, language)
+    return [" ".join(choice) for choice in product(*[[w, w + "s"] if i in free else [w] for i, w in enumerate(words)])]
 
 
 def prefix_tree_pattern(strings: Iterable[str], gap: str | None = None) -> str:
@@ -180,6 +207,33 @@ def prefix_tree_pattern(strings: Iterable[str], gap: str | None = None) -> str:
     return render(tree)
 
 
+def stem_tree_pattern(stems: Iterable[str], gap: str) -> str:
+    """Regular expression for word sequences with any of the given stems that prefers the longest one.
+
+    Every word is its stem and an optional "s". A stem that ends in "s" itself needs that "s": its
+    word without it has another stem. So a word of a text fits one branch only.
+    """
+    tree: dict = {}
+    for sequence in stems:
+        node = tree
+        for i, word in enumerate(sequence.split(" ")):
+            if i:
+                node = node.setdefault((2, gap), {})
+            for ch in word:
+                node = node.setdefault((0, re.escape(ch)), {})
+            node = node.setdefault((1, "s" if word.endswith("s") and len(word) > 1 else "s?"), {})
+        node[(3, "")] = {}
+
+    def render(node: dict) -> str:
+        branches = [part + render(child) for (kind, part), child in sorted(node.items()) if kind < 3]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return f"(?:{body})?" if (3, "") in node else body
+
+    return render(tree)
+
+
 def longest_first_table(
     dictionary: Dictionary, language: str
 ) -> dict[str, str]:

@@ -7,10 +7,11 @@ own language.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import zlib
+from collections.abc import Callable, Iterable
+from dataclasses import asdict
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,7 @@ from vacanta.functions.patterns import (
     longest_first_table,
     prefilter_literals,
     prefix_tree_pattern,
+    stem_tree_pattern,
 )
 from vacanta.functions.text import fold, json_literal, normalize
 
@@ -32,10 +34,6 @@ MATCH_TYPE = T.ArrayType(
         ]
     )
 )
-# Above this many spellings a literal pattern stops paying off and the join takes over.
-MAX_LITERAL_SPELLINGS = 5_000
-
-
 def _hit(bucket: str, keyword: str, group: int | None) -> Column:
     return F.struct(
         F.lit(bucket).alias("bucket"),
@@ -48,42 +46,60 @@ def _no_hits() -> Column:
     return F.array().cast(MATCH_TYPE)
 
 
-def _lookup(found: Column, table: dict[str, list[tuple[str, str, int | None]]]) -> Column:
-    """Union of the table entries of all found spellings, sorted and without repeats."""
-    entries = {
-        spelling: [{"bucket": b, "keyword": k, "group": g} for b, k, g in hits]
-        for spelling, hits in table.items()
-    }
-    mapping = json_literal(entries, f"map<string,{MATCH_TYPE.simpleString()}>")
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda s: mapping[s]))))
+#: Entries per map of a literal table: Spark searches a map from its start.
+_PER_MAP = 8
+
+
+def _table(entries: dict[str, list[dict]], value: str) -> Callable[[Column], Column]:
+    """Look-up in a literal table: an array of small maps, chosen by a checksum of the key."""
+    n = max(1, len(entries) // _PER_MAP)
+    maps: list[dict[str, list[dict]]] = [{} for _ in range(n)]
+    for key, found in entries.items():
+        maps[zlib.crc32(key.encode()) % n][key] = found
+    literal = json_literal(maps, f"array<map<string,array<{value}>>>")
+    return lambda key: F.get(literal, (F.crc32(key) % n).cast("int"))[key]
+
+
+def _distinct(hits: Column) -> Column:
+    """Union of hit lists, sorted and without repeats."""
+    return F.array_sort(F.array_distinct(F.flatten(hits)))
 
 
 def _independent_hits(text: Column, dictionary: Dictionary, language: str | None) -> Column:
     """Hits of every keyword searched on its own in folded ``text``, in one pass.
 
-    Spellings are word sequences. Of two found at the same word the longer one starts with the
-    shorter one, so it is enough to find the longest spelling at each word (a look-ahead, as
-    matches may overlap) and add all spellings it starts with.
+    Forms are word sequences. Of two found at the same word the longer one starts with the shorter
+    one, so it is enough to find the longest one at each word (a look-ahead, as matches may
+    overlap) and add all forms it starts with. The pattern takes an optional "s" at every word;
+    which of the forms allow the endings that were found is told by their bits.
     """
     scope = dictionary.scope(language)
     if not scope:
         return _no_hits()
-    table = {
-        spelling: sorted(
-            {
-                (bucket, kw.keyword, kw.group)
-                for end in range(1, spelling.count(" ") + 2)
-                for bucket, kw in scope.get(" ".join(spelling.split(" ")[:end]), ())
-            },
-            key=str,
-        )
-        for spelling in scope
-    }
+    table = {}
+    for stems in scope:
+        words = stems.split(" ")
+        found = {e for end in range(1, len(words) + 1) for e in scope.get(" ".join(words[:end]), ())}
+        table[stems] = [asdict(e) for e in sorted(found, key=str)]
+    entries = _table(table, "struct<bucket:string,keyword:string,group:int,fixed:int,ends:int>")
     # Any gap between words counts, so the text need not be rewritten word by word first.
-    pattern = rf"(?<!\w)(?=({prefix_tree_pattern(scope, gap=_WORD_GAP)})(?!\w))"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    spelling = F.array_distinct(F.transform(found, lambda s: F.regexp_replace(s, _WORD_GAP, " ")))
-    return _lookup(spelling, table)
+    pattern = rf"(?<!\w)(?=({stem_tree_pattern(scope, gap=_WORD_GAP)})(?!\w))"
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+    def hits(sequence: Column) -> Column:
+        words = F.split(sequence, _WORD_GAP)
+        has_s = lambda w: (F.length(w) > 1) & F.endswith(w, F.lit("s"))
+        stems = F.array_join(F.transform(words, lambda w: F.when(has_s(w), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)), " ")
+        ends = F.aggregate(
+            F.transform(words, lambda w, i: F.when(has_s(w), F.call_function("shiftleft", F.lit(1), i)).otherwise(F.lit(0))),
+            F.lit(0), lambda a, b: a + b,
+        )
+        # Endings and look-up once per sequence, not once per entry.
+        one = F.array(F.struct(ends.alias("ends"), F.coalesce(entries(stems), F.array()).alias("entries")))
+        accepted = F.transform(one, lambda x: F.filter(x["entries"], lambda e: x["ends"].bitwiseAND(e["fixed"]) == e["ends"]))
+        return F.transform(F.flatten(accepted), lambda e: F.struct(e["bucket"].alias("bucket"), e["keyword"].alias("keyword"), e["group"].alias("group")))
+
+    return _distinct(F.transform(found, hits))
 
 
 _WORD_GAP = r"\W+"
@@ -118,11 +134,8 @@ def match_keywords(
     """Match each keyword independently on word boundaries of the normalised text.
 
     Scope per ad: the English forms plus the forms of its own language. The folded text is
-    computed once per ad and dropped again.
+    computed once per ad and dropped again. The way is the same for a dictionary of any size.
     """
-    spellings = sum(len(dictionary.variants(lang)) for lang in ("en", *LOCAL_LANGUAGES))
-    if spellings > MAX_LITERAL_SPELLINGS:
-        return match_by_join(ads, dictionary, text, language, normalized)
     if not normalized:
         # Extra patterns are written for normalised text, the keyword patterns need less.
         prepared = normalize if dictionary.extra_patterns else fold
@@ -139,63 +152,52 @@ def match_keywords(
     return with_once(ads, "matches", hits).drop("_norm")
 
 
+def forms_table(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
+    """All spellings of a dictionary as a table for :func:`match_by_join`."""
+    rows = [
+        (spelling, bucket, kw.keyword, kw.group)
+        for bucket in ("en", *LOCAL_LANGUAGES)
+        for spelling, kws in dictionary.variants(bucket).items()
+        for kw in kws
+    ]
+    return spark.createDataFrame(rows, "spelling string, bucket string, keyword string, group int")
+
+
 def match_by_join(
     ads: DataFrame,
-    dictionary: Dictionary,
+    forms: DataFrame,
     text: str = "text",
     language: str = "language",
     normalized: bool = False,
-    ad_id: str = "ad_id",
 ) -> DataFrame:
-    """Same result as :func:`match_keywords` for dictionaries of any size.
+    """Result of :func:`match_keywords` for a table of forms that is data itself, of any size.
 
-    Word sequences up to the longest spelling are joined with a table of spellings; the sequences
-    of an ad are made distinct before they are shuffled, and only hits are grouped back.
+    ``forms``: spelling (normalised), bucket, keyword, group. Word sequences up to the longest
+    spelling are joined with it; the sequences of a text are made distinct before they are
+    shuffled, and only hits are grouped back. Hits depend on text and language alone, so they are
+    grouped and joined by a digest of the two: ids may be missing or repeated. Batch only.
     """
-    spark = ads.sparkSession
-    rows = [
-        (spelling, bucket, kw.keyword, kw.group)
-        for bucket in ("en", *LOCAL_LANGUAGES)
-        for spelling, kws in dictionary.variants(bucket).items()
-        for kw in kws
-    ]
-    columns = dict(zip(("spelling", "bucket", "keyword", "group"), zip(*rows)))
-    types = {"group": pa.int32()}
-    forms = spark.createDataFrame(
-        pa.table({n: pa.array(v, types.get(n, pa.string())) for n, v in columns.items()})
-    )
-    longest = max((s.count(" ") + 1 for s, *_ in rows), default=1)
-    words = F.split(F.col(text) if normalized else normalize(F.col(text)), " ")
+    if ads.isStreaming:
+        raise ValueError("match_by_join groups over the whole table and does not run on a stream; use match_keywords")
+    longest = forms.agg(F.max(F.size(F.split("spelling", " ")))).first()[0] or 1
+    norm = F.col(text) if normalized else normalize(F.col(text))
+    digest = F.sha2(F.concat_ws("\0", F.coalesce(F.col(language), F.lit("")), F.coalesce(F.col(text), F.lit(""))), 256)
 
     def sequences_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
 
-    sequences = F.array_distinct(
-        F.flatten(F.array(*[sequences_of(n) for n in range(1, longest + 1)]))
-    )
+    sequences = F.array_distinct(F.flatten(F.array(*[sequences_of(n) for n in range(1, longest + 1)])))
     found = (
-        ads.select(F.col(ad_id), F.col(language).alias("_lang"), words.alias("_words"))
-        .select(ad_id, "_lang", F.explode(sequences).alias("spelling"))
-        .join(forms, "spelling")
+        ads.select(digest.alias("_key"), F.col(language).alias("_lang"), F.split(norm, " ").alias("_words"))
+        .select("_key", "_lang", F.explode(sequences).alias("spelling"))
+        .join(forms.select("spelling", "bucket", "keyword", "group"), "spelling")
         .where((F.col("bucket") == "en") | (F.col("bucket") == F.col("_lang")))
-        .groupBy(ad_id)
-        .agg(
-            F.array_sort(F.collect_set(F.struct("bucket", "keyword", "group"))).alias("_hits")
-        )
-    )
-    out = ads.join(found, ad_id, "left").withColumn(
-        "matches", F.coalesce(F.col("_hits"), _no_hits())
+        .groupBy("_key")
+        .agg(F.array_sort(F.collect_set(F.struct("bucket", "keyword", "group"))).alias("_hits"))
     )
-    if dictionary.extra_patterns:
-        norm = F.col(text) if normalized else normalize(F.col(text))
-        out = out.withColumn(
-            "matches",
-            F.array_sort(
-                F.array_distinct(F.concat(F.col("matches"), _extra_hits(norm, dictionary)))
-            ),
-        )
-    return out.drop("_hits")
+    out = ads.withColumn("_key", digest).join(found, "_key", "left")
+    return out.withColumn("matches", F.coalesce(F.col("_hits"), _no_hits())).drop("_hits", "_key")
 
 
 # Word edges where letters, digits and "_" of any script count as word characters and combining
@@ -227,7 +229,8 @@ def _longest_first_hits(text: Column, dictionary: Dictionary, language: str) ->
     spelling = F.array_distinct(
         F.transform(found, lambda s: F.lower(F.regexp_replace(s, _GAP, " ")))
     )
-    return _lookup(spelling, {s: [(language, k, groups[k])] for s, k in table.items()})
+    entries = {s: [{"bucket": language, "keyword": k, "group": groups[k]}] for s, k in table.items()}
+    return _distinct(F.transform(spelling, _table(entries, MATCH_TYPE.elementType.simpleString())))
 
 
 def passes_prefilter(text: Column, dictionary: Dictionary, min_length: int = 4) -> Column:
