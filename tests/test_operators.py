@@ -15,7 +15,8 @@ from vacanta.operators.prepare import (
     parse_timestamp,
 )
 from vacanta.operators.regression import _two_sided_p
-from vacanta.operators.screening import outlier_firm_years
+from vacanta.operators.nest import Child, nest_children
+from vacanta.operators.screening import outlier_firm_years, sample_per_group
 from vacanta.operators.strategies import newly_flagged_drivers, corroborated
 from vacanta.operators.trend import TrendConfig, keyword_breakeven, keyword_g1, keyword_status, keyword_trend, ols
 from vacanta.schema import ad_schema, has_field
@@ -181,6 +182,21 @@ def test_dictionary_from_files(spark, tmp_path):
 def test_layers(spark):
     df = spark.createDataFrame([("GitHub Copilot", "LLM"), ("LLM", "H&L"), ("T5", "new"), ("x", "St"), ("y", "LLM")], "k string, s string")
     assert [r[0] for r in df.select(layer_of(F.col("k"), F.col("s"))).collect()] == ["3a", "3b", "3b", "1+2", "3a"]
+    with pytest.raises(Exception, match="no layer for source"):
+        spark.createDataFrame([("z", "blog")], "k string, s string").select(layer_of(F.col("k"), F.col("s"))).collect()
+
+
+def test_sample_cuts_repeated_keys_and_keeps_null_groups(spark):
+    df = spark.createDataFrame([("a", 1, "x")] * 9 + [(None, k, "y") for k in range(7)], "g string, k int, t string")
+    out = sample_per_group(df, "g", "k", 3)
+    assert sorted((str(r.g), r.t) for r in out.collect()) == [("None", "y")] * 3 + [("a", "x")] * 3
+
+
+def test_orphans_join_no_parent(spark):
+    parent = spark.createDataFrame([(1,), (None,)], "id int")
+    child = spark.createDataFrame([(1, "a"), (None, "b")], "p int, v string")
+    out = nest_children(parent, "id", [Child(child, "p", F.col("v"), "vs")])
+    assert sorted((str(r.id), r.vs) for r in out.collect()) == [("1", ["a"]), ("None", [])]
 
 
 def test_two_hop_prefers_newest_catalogue(spark):

@@ -2,8 +2,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from vacanta.plans import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
+# Results that are rightly empty on the smallest tables, where no year, firm or keyword stands out.
+MAY_BE_EMPTY = set()
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +17,16 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, con, sf_dir, name):
     problem = compare(spark, con, name, QUERIES[name], ORACLES.get(name), sf_dir)
-    assert problem is None or problem == "no rows on either side", problem
+    assert problem is None or (name in MAY_BE_EMPTY and problem == "no rows on either side"), problem
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_the_entry_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

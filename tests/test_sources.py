@@ -1,9 +1,12 @@
+import datetime
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from vacanta.operators import triple_lock as tl
 from vacanta.operators.match import classify_group, match_keywords
+from vacanta.operators.prepare import text_date_bounds
 from vacanta.plans.views import TEST_DICTIONARY, ads
 from vacanta.sources import io
 from vacanta.sources.incremental import process_stale, stale_partitions, with_language
@@ -26,13 +29,38 @@ def test_stage_round_trip(spark):
     assert all(spark.conf.get("spark.checkpoint.dir") in f for f in staged.inputFiles())
 
 
-def test_ingest_keeps_existing_target_and_skips_bad_lines(spark, tmp_path):
-    src = tmp_path / "a.ndjson"
-    src.write_text('{"x": 1}\nnot json\n{"x": 2}\n')
-    target = str(tmp_path / "out")
-    assert io.ingest_ndjson(spark, str(src), target, "x int").count() == 2
-    src.write_text('{"x": 1}\n')
-    assert io.ingest_ndjson(spark, str(src), target, "x int").count() == 2
+def test_ingest_takes_new_files_and_keeps_bad_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.ndjson").write_text('{"x": 1}\nnot json\n{"x": 2}\n')
+    target, pattern = str(tmp_path / "out"), str(tmp_path / "in/*.ndjson")
+    assert io.ingest_ndjson(spark, pattern, target, "x int").count() == 2
+    (tmp_path / "in/b.ndjson").write_text('{"x": 3}\n')
+    (tmp_path / "in/c.ndjson").write_text("{oops\n")
+    (tmp_path / "in/d.ndjson").write_text("")
+    for _ in range(2):
+        assert sorted(r.x for r in io.ingest_ndjson(spark, pattern, target, "x int").collect()) == [1, 2, 3]
+    told = {r.file[-8]: (r.n_rows, r.n_bad) for r in io.ingested_files(spark, target).collect()}
+    assert told == {"a": (2, 1), "b": (1, 0), "c": (0, 1), "d": (0, 0)}
+    assert sorted(r.line for r in io.bad_lines(spark, target).collect()) == ["not json", "{oops"]
+
+
+def test_shards_of_two_integer_types(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.createDataFrame([(1,)], "x int").write.parquet(a)
+    spark.createDataFrame([(2**40, "y")], "x bigint, y string").write.parquet(b)
+    out = io.scan_shards(spark, a, b)
+    assert out.schema.simpleString() == "struct<x:bigint,y:string>"
+    assert {r.x: r.y for r in out.collect()} == {1: None, 2**40: "y"}
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv", "json"])
+def test_reports_in_every_kind(spark, tmp_path, kind):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "n int, names array<string>")
+    io.write_report(df, str(tmp_path / "r"), kind)
+    back = spark.read.option("header", True).format(kind).load(str(tmp_path / "r"))
+    assert sorted(int(r.n) for r in back.collect()) == [1, 2]
+    with pytest.raises(ValueError, match="unknown"):
+        io.write_report(df, str(tmp_path / "x"), "xlsx")
 
 
 def test_dynamic_overwrite_leaves_other_partitions(spark, tmp_path):
@@ -73,7 +101,7 @@ def test_stream_equals_batch_and_resumes(spark, sf_dir, tmp_path):
 
     def arrive(df):
         df.coalesce(1).write.mode("append").parquet(source)
-        run_available(spark, source, made.schema, target, marks, TEST_DICTIONARY, "copy", "created", "5000 days").awaitTermination()
+        run_available(spark, source, made.schema, target, marks, TEST_DICTIONARY, "copy", "created").awaitTermination()
         return spark.read.parquet(target)
 
     first = arrive(made.where("year <= 2020")).count()
@@ -83,3 +111,42 @@ def test_stream_equals_batch_and_resumes(spark, sf_dir, tmp_path):
     want = sorted((r.copy, r.group, r.matched_group_keywords) for r in batch.select("copy", "group", "matched_group_keywords").collect())
     got = sorted((r.copy, r.group, r.matched_group_keywords) for r in out.select("copy", "group", "matched_group_keywords").collect())
     assert got == want
+
+
+def test_stream_keeps_null_keys_and_late_postings(spark, tmp_path):
+    source, target, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    schema = "id int, text string, language string, copy string, created timestamp"
+
+    def arrive(rows):
+        df = spark.createDataFrame([(i, "tion", "en", k, datetime.datetime(2024, m, d)) for i, k, m, d in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(source)
+        run_available(spark, source, df.schema, target, marks, TEST_DICTIONARY, "copy", "created").awaitTermination()
+        return {r.id for r in spark.read.parquet(target).collect()}
+
+    assert arrive([(1, None, 6, 1), (2, None, 6, 1), (3, "a", 6, 2), (4, "a", 6, 1)]) == {1, 2, 4}
+    assert arrive([(5, "b", 1, 1), (6, "a", 1, 1), (7, None, 1, 1), (8, "c", 6, 3)]) == {1, 2, 4, 5, 7, 8}
+    told = sorted((r.n_read, r.n_written, r.n_duplicates, r.n_late) for r in spark.read.parquet(f"{target}-report").collect())
+    assert told == [(4, 1, 1, 2), (4, 3, 1, 0)]
+
+
+def test_old_counts_are_refused_and_recounted(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    ads = spark.createDataFrame([(2024, 1, "en", "x", [("en", "k", 1)])], "year int, month int, language string, text string, matches array<struct<bucket:string,keyword:string,`group`:int>>")
+    old = tl.monthly_counts(ads).withColumn("format_version", F.lit(tl.COUNTS_FORMAT_VERSION - 1))
+    old.write.parquet(path)
+    with pytest.raises(Exception, match="old format"):
+        tl.check_counts_version(spark.read.parquet(path)).select("year", "n").collect()
+    assert tl.reusable_counts(ads, path).select("n").first().n == 1
+    assert spark.read.parquet(path).first().format_version == tl.COUNTS_FORMAT_VERSION
+    tl.reusable_counts(ads.where("false"), path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_date_bounds_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "ads")
+    spark.createDataFrame([("2024-01-05 10:00:00 UTC", 1), ("2024-02-01 00:00:00", 2), ("2023-12-31 23:59:59.5", 3)], "tst_created string, x int").write.parquet(path)
+    df = text_date_bounds(spark.read.parquet(path), "tst_created", "2024-01-01", "2024-01-31")
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(tst_created,2023-12-31)" in plan and "LessThan(tst_created,2024-02-03)" in plan
+    assert {r.x for r in df.collect()} == {1, 2, 3}
+    assert text_date_bounds(df, "x", "2024-01-01", None) is df

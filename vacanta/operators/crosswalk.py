@@ -41,13 +41,11 @@ def many_to_many(
 ) -> DataFrame:
     """Distinct (id, code) over a many-to-many crosswalk; tags without a mid code drop out.
 
-    ``first`` is limited to mid codes that ``second`` knows.
+    The two maps are joined first, so the tag table meets each (tag, code) once and is not
+    multiplied by the mid codes.
     """
-    known = first.join(second.select(mid), mid, "left_semi").select(tag, mid).distinct()
-    return (
-        tags.select(id, tag).distinct().join(known, tag).join(second.select(mid, code).distinct(), mid)
-        .select(id, code).distinct()
-    )
+    codes = first.select(tag, mid).join(second.select(mid, code), mid).select(tag, code).distinct()
+    return tags.select(id, tag).distinct().join(codes, tag).select(id, code).distinct()
 
 
 def unmatched_rate(tags: DataFrame, first: DataFrame, second: DataFrame, tag: str, mid: str = "mid") -> DataFrame:

@@ -170,12 +170,13 @@ def layer_of(
     force_3b: tuple[str, ...] = FORCE_3B,
     new_3b: tuple[str, ...] = NEW_3B_CANDIDATES,
 ) -> Column:
-    """Layer of a keyword: hand-set ones first, then by source list."""
+    """Layer of a keyword: hand-set ones first, then by source list. An unknown source is an error."""
     return (
         F.when(keyword.isin(*force_3a), "3a")
         .when(keyword.isin(*force_3b, *new_3b), "3b")
         .when(source.isin("St", "H&L"), "1+2")
         .when(source == "LLM", "3a")
+        .otherwise(F.raise_error(F.concat(F.lit("no layer for source "), F.coalesce(source, F.lit("null")))).cast("string"))
     )
 
 

@@ -32,7 +32,8 @@ def nest_children(parent: DataFrame, key: str, children: list[Child]) -> DataFra
     out = parent
     for c in children:
         collect = F.collect_set if c.distinct else F.collect_list
-        arrays = c.table.groupBy(F.col(c.key).alias(key)).agg(
+        # Children without a key have no parent; together they would be one large array.
+        arrays = c.table.where(F.col(c.key).isNotNull()).groupBy(F.col(c.key).alias(key)).agg(
             F.array_sort(collect(c.value)).alias(c.name)
         )
         empty = F.array().cast(arrays.schema[c.name].dataType)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,21 @@ def date_range(df: DataFrame, column: str, start: str | None, end: str | None) -
     return df
 
 
+def text_date_bounds(df: DataFrame, column: str, start: str | None, end: str | None) -> DataFrame:
+    """A wider date range on timestamps stored as text, which reaches the file scan.
+
+    "YYYY-MM-DD HH:MM:SS" sorts by time as text. The range is a day wider on either side, so the
+    exact filter on the parsed time decides. Columns of another type and open ends are left alone.
+    """
+    if column not in df.columns or df.schema[column].dataType.simpleString() != "string":
+        return df
+    if start:
+        df = df.where(F.col(column) >= str(date.fromisoformat(start[:10]) - timedelta(days=1)))
+    if end:
+        df = df.where(F.col(column) < str(date.fromisoformat(end[:10]) + timedelta(days=3)))
+    return df
+
+
 def half_open(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
     ts = F.col(column)
     return df.where((ts >= F.to_timestamp(F.lit(start))) & (ts < F.to_timestamp(F.lit(end))))
@@ -89,7 +106,7 @@ def allow_languages(df: DataFrame, languages: tuple[str, ...] | None, source: st
 def flatten_and_filter(ads: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
     """Flatten, then country, date, recruiter and size filters."""
     c = config.columns
-    out = flatten_company(ads, c)
+    out = flatten_company(text_date_bounds(ads, c.date, config.date_start, config.date_end), c)
     if config.country:
         out = any_element(out, c.locations, "country", config.country)
     out = date_range(out, c.date, config.date_start, config.date_end)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacanta.sources.staging import stage
+
 
 def _two_sided_p(t: float, df: float) -> float:
     """Two-sided p-value of Student's t by the continued fraction of the incomplete beta."""
@@ -63,7 +65,8 @@ def share_exposure_ols(cells: DataFrame, share: str, exposure: str) -> DataFrame
 
 
 def top_bottom(cells: DataFrame, share: str, key: str, n: int = 10) -> DataFrame:
-    """The n highest and n lowest cells by share, labelled by panel."""
+    """The n highest and n lowest cells by share, labelled by panel. The cells are made once and staged."""
+    cells = stage(cells, "cells")
     top = cells.orderBy(F.col(share).desc(), key).limit(n).withColumn("panel", F.lit(f"Top {n}"))
     low = cells.orderBy(F.col(share), key).limit(n).withColumn("panel", F.lit(f"Bottom {n}"))
     return top.unionByName(low)

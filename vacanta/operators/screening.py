@@ -31,6 +31,23 @@ def outlier_firm_years(
     classes of one firm are never flagged. The statistics are one row per year and class, so they
     are aggregated and joined back instead of sorting all firms of a class in one task.
     """
+    return outliers_of_counts(firm_year_counts(postings, firm, size, year), alpha_by_size, fallback_alpha, firm, size, year)
+
+
+def firm_year_counts(postings: DataFrame, firm: str = "firm_id", size: str = "size_id", year: str = "year") -> DataFrame:
+    """Postings per firm, size class and year; firms without a size class are left out."""
+    return postings.where(F.col(size).isNotNull()).groupBy(firm, size, year).agg(F.count(F.lit(1)).alias("n_postings"))
+
+
+def outliers_of_counts(
+    counts: DataFrame,
+    alpha_by_size: Mapping[str, float],
+    fallback_alpha: float = 0.01,
+    firm: str = "firm_id",
+    size: str = "size_id",
+    year: str = "year",
+) -> DataFrame:
+    """:func:`outlier_firm_years` from :func:`firm_year_counts`."""
 
     def z_of(alpha: float) -> float:
         return Z_BY_ALPHA.get(round(alpha, 3), DEFAULT_Z)
@@ -38,12 +55,7 @@ def outlier_firm_years(
     z = F.lit(z_of(fallback_alpha))
     for size_id, alpha in alpha_by_size.items():
         z = F.when(F.col(size) == size_id, z_of(alpha)).otherwise(z)
-    counts = (
-        postings.where(F.col(size).isNotNull())
-        .groupBy(firm, size, year)
-        .agg(F.count(F.lit(1)).alias("n_postings"))
-        .withColumn("log_n", F.log(F.col("n_postings") + 1))
-    )
+    counts = counts.withColumn("log_n", F.log(F.col("n_postings") + 1))
     stats = counts.groupBy(year, size).agg(
         F.avg("log_n").alias("mean_log"), F.stddev_samp("log_n").alias("std_log")
     )
@@ -74,10 +86,20 @@ def class_counts(df: DataFrame, column: str = "group") -> DataFrame:
 def sample_per_group(
     df: DataFrame, group: str, key: str, n: int = 5, seed: int = 42, text: str | None = None
 ) -> DataFrame:
-    """A fixed random sample of ``n`` rows per group, the same on every run."""
+    """A fixed random sample of ``n`` rows per group, the same on every run.
+
+    Keys are drawn first, so wide rows are not sorted; a repeated key is cut to ``n`` afterwards.
+    """
     draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     window = Window.partitionBy(group).orderBy(draw, key)
-    out = df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
+
+    def first_n(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
+
+    # Null groups are groups, which only a null-safe join finds again.
+    drawn = first_n(df.select(group, key)).distinct().select(F.col(group).alias("_group"), F.col(key).alias("_key"))
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col(key).eqNullSafe(F.col("_key"))
+    out = first_n(df.join(drawn, same, "left_semi"))
     return out if text is None else out.withColumn("preview", preview(F.col(text)))
 
 

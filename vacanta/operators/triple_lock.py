@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,13 @@ RATED_LANGUAGES = ("en", "de", "fr", "it", "rm", "sq", "es", "pt")
 AVIATION_OCCUPATIONS = ("Pilot/in", "Kopilot/in", "Co-Pilot/in")
 # Text that must accompany a bare "Copilot".
 COPILOT_CONTEXT = r"(?i)(?<!schemas-)\bmicrosoft\b|\bgithub\b"
+
+
+def copilot_context(first: str, second: str) -> str:
+    """`COPILOT_CONTEXT` for other makers."""
+    return COPILOT_CONTEXT.replace("microsoft", first).replace("github", second)
+
+
 # Format of stored keyword counts; older files are refused.
 COUNTS_FORMAT_VERSION = 2
 
@@ -84,14 +92,30 @@ def counts_from_signatures(sigs: DataFrame) -> DataFrame:
 
 
 def check_counts_version(counts: DataFrame) -> DataFrame:
-    """Refuse stored counts of an older format."""
-    ok = F.col("format_version") >= COUNTS_FORMAT_VERSION
-    return counts.withColumn(
-        "format_version",
-        F.when(ok, F.col("format_version")).otherwise(
-            F.raise_error(F.lit("stored keyword counts have an old format")).cast("int")
-        ),
-    )
+    """Refuse stored counts of an older format.
+
+    The test is a filter, so it stands whichever columns are read.
+    """
+    ok = F.coalesce(F.col("format_version") >= COUNTS_FORMAT_VERSION, F.lit(False))
+    return counts.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("stored keyword counts have an old format")).cast("boolean")))
+
+
+def reusable_counts(ads: DataFrame, path: str) -> DataFrame:
+    """Monthly counts kept at ``path``: read if they are there in this format, else counted and written.
+
+    ``ads`` is as in :func:`monthly_counts`; it is not read where the stored counts serve.
+    """
+    spark = ads.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+        current = stored.agg(F.min("format_version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA") and "format_version" not in str(error):
+            raise
+        current = None
+    if current is None or current < COUNTS_FORMAT_VERSION:
+        stage(monthly_counts(ads), "keyword-counts").write.mode("overwrite").parquet(path)
+    return check_counts_version(spark.read.parquet(path))
 
 
 def dhs_groups(all_keywords: DataFrame, counts: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:

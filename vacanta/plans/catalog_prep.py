@@ -23,38 +23,46 @@ from vacanta.streaming.classify import run_available
 
 @query(
     "scan_union_relaxed",
-    """SELECT 'A' AS shard, count(*) AS n, count(l_tax) AS n_tax, count(l_discount) AS n_discount FROM lineitem WHERE l_returnflag = 'A'
-    UNION ALL SELECT 'N', count(*), 0, count(l_discount) FROM lineitem WHERE l_returnflag = 'N'
-    UNION ALL SELECT 'R', count(*), count(l_tax), 0 FROM lineitem WHERE l_returnflag = 'R'""",
+    """SELECT 'A' AS shard, count(*) AS n, count(l_tax) AS n_tax, count(l_discount) AS n_discount, CAST(sum(l_linenumber) AS BIGINT) AS lines
+      FROM lineitem WHERE l_returnflag = 'A'
+    UNION ALL SELECT 'N', count(*), 0, count(l_discount), CAST(sum(l_linenumber) AS BIGINT) FROM lineitem WHERE l_returnflag = 'N'
+    UNION ALL SELECT 'R', count(*), count(l_tax), 0, CAST(sum(l_linenumber) AS BIGINT) FROM lineitem WHERE l_returnflag = 'R'""",
 )
 def scan_union_relaxed(spark, sf_dir):
-    """Shards with differing columns: two directories scanned together, one table added by name."""
+    """Shards with differing columns and types (int and bigint): two directories scanned together, one table added by name."""
     lines = table(spark, sf_dir, "lineitem")
     base = new_path(spark, "shards")
     lines.where("l_returnflag = 'A'").write.parquet(f"{base}/a")
-    lines.where("l_returnflag = 'N'").drop("l_tax").write.parquet(f"{base}/n")
+    lines.where("l_returnflag = 'N'").drop("l_tax").withColumn("l_linenumber", F.col("l_linenumber").cast("long")).write.parquet(f"{base}/n")
     scanned = io.scan_shards(spark, f"{base}/a", f"{base}/n")
     rest = lines.where("l_returnflag = 'R'").drop("l_discount")
     out = io.union_relaxed(scanned, rest)
     return out.groupBy(F.col("l_returnflag").alias("shard")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("l_tax").alias("n_tax"), F.count("l_discount").alias("n_discount")
+        F.count(F.lit(1)).alias("n"), F.count("l_tax").alias("n_tax"), F.count("l_discount").alias("n_discount"),
+        F.sum("l_linenumber").alias("lines"),
     )
 
 
 @query(
     "ndjson_ingest",
-    """SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total FROM events GROUP BY event_type""",
+    """SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total,
+      (SELECT count(*) FROM events WHERE event_id % 97 = 0) AS n_bad FROM events GROUP BY event_type""",
 )
 def ndjson_ingest(spark, sf_dir):
-    """Compressed JSON lines to Parquet; a second run keeps the existing target."""
+    """Compressed JSON lines to Parquet in two deliveries; lines cut short go to quarantine."""
     src, target = new_path(spark, "ndjson"), new_path(spark, "ingested")
     events = table(spark, sf_dir, "events")
-    events.write.option("compression", "gzip").json(src)
-    io.ingest_ndjson(spark, src, target, events.schema)
-    out = io.ingest_ndjson(spark, src, target, events.schema)
+    events.where("event_id % 2 = 0").write.option("compression", "gzip").json(f"{src}/a")
+    io.ingest_ndjson(spark, f"{src}/*", target, events.schema)
+    events.where("event_id % 2 = 1").write.json(f"{src}/b")
+    cut = events.where("event_id % 97 = 0").select(F.substring(F.to_json(F.struct("*")), 1, 25).alias("line"))
+    cut.write.text(f"{src}/c")
+    io.ingest_ndjson(spark, f"{src}/*", target, events.schema)
+    out = io.ingest_ndjson(spark, f"{src}/*", target, events.schema)
+    bad = io.ingested_files(spark, target).agg(F.sum("n_bad").alias("n_bad"))
     return out.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total")
-    )
+    ).withColumn("n_bad", bad.scalar())
 
 
 @query(
@@ -234,9 +242,11 @@ def _relational(spark, sf_dir) -> list[DataFrame]:
     """The six relational sources: orders as advertisements, documents as their texts."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    # Every order has a text: orders go round the documents.
+    text_of = F.col("o_orderkey") % docs.count() == F.col("doc_id")
     # Only the key and language are read here; the text comes in with the details.
     adv = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        docs.select("doc_id", "lang", F.md5("text").alias("copy")), F.col("o_orderkey") == F.col("doc_id")
+        docs.select("doc_id", "lang", F.md5("text").alias("copy")), text_of
     )
     none = F.lit(None)
     adv = adv.select(
@@ -262,7 +272,8 @@ def _relational(spark, sf_dir) -> list[DataFrame]:
         none.cast("int").alias("company_size_max"),
         F.when(F.col("c_acctbal") < 0, True).when(F.col("c_acctbal") <= 9000, False).alias("company_recruitment_agency"),
     )
-    details = docs.select(F.col("doc_id").alias("advertisement_id"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("raw_text"))
+    details = orders.select("o_orderkey").join(docs, text_of)
+    details = details.select(F.col("o_orderkey").alias("advertisement_id"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("raw_text"))
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("advertisement_id"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"
     )
@@ -281,7 +292,7 @@ def _relational(spark, sf_dir) -> list[DataFrame]:
 
 @query(
     "nest_children",
-    """WITH o AS (SELECT o_orderkey AS id FROM orders JOIN documents ON doc_id = o_orderkey JOIN customer ON c_custkey = o_custkey)
+    """WITH o AS (SELECT o_orderkey AS id FROM orders JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents) JOIN customer ON c_custkey = o_custkey)
     SELECT 'u' || id AS url, count(l_orderkey) FILTER (l_linestatus = 'F') AS n_occupations, count(l_orderkey) AS n_locations,
       count(DISTINCT l_suppkey % 26) AS n_cantons, count(l_orderkey) FILTER (l_returnflag <> 'A') AS n_industries,
       coalesce(string_agg(DISTINCT (l_suppkey % 26)::VARCHAR, ',' ORDER BY (l_suppkey % 26)::VARCHAR), '') AS cantons
@@ -310,7 +321,7 @@ _CONFIG = PrepareConfig(
     f"""WITH {sql.ADS}, {sql.DICT}, {sql.PATTERNS}, base AS (
       SELECT o_orderkey AS id, o_orderdate AS created, year(o_orderdate) AS year, lang, text, c_custkey AS firm, {_SIZE} AS size_id,
         lang || ':' || md5(text) AS k, 'u' || o_orderkey AS url
-      FROM orders JOIN customer ON c_custkey = o_custkey JOIN documents ON doc_id = o_orderkey
+      FROM orders JOIN customer ON c_custkey = o_custkey JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents)
       WHERE c_acctbal BETWEEN 0 AND 9000 AND o_orderdate >= DATE '1995-06-01' AND o_orderdate < DATE '2001-07-01'
         AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N')),
     uniq AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY year, k ORDER BY created, url) = 1),
@@ -444,22 +455,22 @@ def keyword_layer_dedup(spark, sf_dir):
 
 @query(
     "stream_classify",
-    f"""WITH {sql.CLASSIFIED}, u AS (SELECT DISTINCT language, text, grp FROM classified)
+    f"""WITH {sql.CLASSIFIED}, u AS (SELECT DISTINCT language, text, grp FROM classified WHERE ad_id % 10 <> 0
+      UNION ALL SELECT language, text, grp FROM classified WHERE ad_id % 10 = 0)
     SELECT language, grp AS "group", count(*) AS n FROM u GROUP BY ALL""",
 )
 def stream_classify(spark, sf_dir):
-    """Postings arrive as files, are read in two batches, deduplicated and classified.
+    """Postings arrive as files, later ones first, are deduplicated and classified; a tenth has no key.
 
-    The delay covers the whole period, so each text is kept once.
+    The second delivery is years older than the first. It is late by the default delay and kept.
     """
     source, target, marks = (new_path(spark, n) for n in ("arriving", "streamed", "checkpoint"))
+    copy = F.concat("language", F.lit(":"), F.md5("text"))
     arriving = ads(spark, sf_dir).select(
-        "ad_id", "text", "language",
-        F.concat("language", F.lit(":"), F.md5("text")).alias("copy"),
+        "ad_id", "text", "language", F.when(F.col("ad_id") % 10 != 0, copy).alias("copy"),
         F.make_timestamp("year", "month", F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("created"),
     )
-    arriving.write.parquet(source)
-    half = -(-len(spark.read.parquet(source).inputFiles()) // 2)
-    run = run_available(spark, source, arriving.schema, target, marks, TEST_DICTIONARY, "copy", "created", "4000 days", half)
-    run.awaitTermination()
+    for part in ("created >= '2020-01-01'", "created < '2020-01-01'"):
+        arriving.where(part).write.mode("append").parquet(source)
+        run_available(spark, source, arriving.schema, target, marks, TEST_DICTIONARY, "copy", "created").awaitTermination()
     return spark.read.parquet(target).groupBy("language", "group").agg(F.count(F.lit(1)).alias("n"))

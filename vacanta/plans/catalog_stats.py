@@ -23,7 +23,7 @@ from vacanta.plans.catalog_text import RAW_HITS, matched
 from vacanta.plans.pipeline import Calibration, calibrate
 from vacanta.plans.registry import query
 from vacanta.plans.views import TEST_DICTIONARY, ads
-from vacanta.sources.staging import stage
+from vacanta.sources.staging import new_path, stage
 
 _KEYWORDS = "(SELECT keyword FROM dict)"
 _T = f"WITH {sql.HITS}, {sql.TREND.format(kws=_KEYWORDS)}"
@@ -240,7 +240,7 @@ def _layered(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = TEST_DICTIONARY.extended(_CANDIDATES)
     sigs = stage(signatures(match_keywords(ads(spark, sf_dir), words), "year"), "signatures")
     names = dictionary_frame(spark, words)
-    trend = stage(keyword_trend(names, keyword_counts(sigs, "year")).coalesce(1), "trend")
+    trend = stage(keyword_trend(names, keyword_counts(sigs, "year")), "trend")
     g1 = keyword_g1(trend).where("is_g1").select("keyword")
     layer = layer_of(F.col("keyword"), F.col("source"), ("Hest",), ("Ones",), _CANDIDATES)
     return sigs, names.select("keyword", layer.alias("layer")), g1
@@ -286,7 +286,7 @@ def _raw_signatures(spark, sf_dir) -> DataFrame:
 
 def _groups(spark, sigs: DataFrame) -> DataFrame:
     groups = tl.dhs_groups(_dict(spark), keyword_counts(sigs, "year"), RULES)
-    return stage(groups.coalesce(1), "groups")
+    return stage(groups, "groups")
 
 
 _R = f"WITH {RAW_HITS}, hits AS (SELECT * FROM rhits WHERE pre)"
@@ -319,9 +319,10 @@ akw AS (SELECT DISTINCT h.ad_id, h.year, h.occupation, h.keyword, ov.g FROM hits
       CAST(2 AS BIGINT) AS format_version FROM hits h GROUP BY ALL""",
 )
 def keyword_counts_monthly(spark, sf_dir):
-    """Counted, written as the reusable intermediate, read back and checked for its format."""
-    counts = stage(tl.monthly_counts(_raw_matched(spark, sf_dir)), "keyword-counts")
-    return tl.check_counts_version(counts)
+    """Counted and kept; the second call finds the stored counts and does not match again."""
+    path = new_path(spark, "kept-counts")
+    tl.reusable_counts(_raw_matched(spark, sf_dir), path)
+    return tl.reusable_counts(_raw_matched(spark, sf_dir), path)
 
 
 @query(
@@ -396,12 +397,12 @@ n AS (SELECT a.ad_id, a.year, count(DISTINCT lh.keyword) FILTER (g = 1) AS n1, c
     coalesce(string_agg(DISTINCT lh.keyword, '|' ORDER BY lh.keyword), '') AS kws
   FROM ads a LEFT JOIN lh USING (ad_id) GROUP BY a.ad_id, a.year),
 flags AS (SELECT *, n1 >= 1 AS r1, n2 >= 1 AND dense AS r2, n2 + n3 >= 3 AND n2 >= 1 AS r3,
-    cp AND regexp_matches(text, '(?i)(^|[^-]|[^s]-)\\bmicrosoft\\b|\\bgithub\\b') AS rc FROM n)"""
+    cp AND regexp_matches(replace(lower(text), 'schemas-thble', ''), '\\b(thble|attion)\\b') AS rc FROM n)"""
 
 
 def _scored(spark, sf_dir) -> DataFrame:
     slim = _raw_matched(spark, sf_dir).select(
-        "ad_id", "year", "occupation", "matches", F.col("text").rlike(tl.COPILOT_CONTEXT).alias("makers")
+        "ad_id", "year", "occupation", "matches", F.col("text").rlike(tl.copilot_context("thble", "attion")).alias("makers")
     )
     slim = stage(slim, "matched")
     sigs = signatures(slim, "year", "occupation")

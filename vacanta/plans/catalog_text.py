@@ -9,6 +9,8 @@ from vacanta.functions.text import normalize
 from vacanta.operators import strategies as st
 from vacanta.operators.dictionary import dictionary_frame
 from vacanta.operators.match import (
+    forms_table,
+    match_by_join,
     candidates,
     classify_group,
     keywords,
@@ -53,6 +55,19 @@ def keyword_match(spark, sf_dir):
     return out.select("ad_id", _joined(keywords()).alias("kws"))
 
 
+@query(
+    "keyword_match_by_join",
+    f"""WITH {sql.HITS}, k AS (SELECT ad_id, string_agg(DISTINCT keyword, '|' ORDER BY keyword) AS kws FROM hits GROUP BY ad_id)
+    SELECT CASE WHEN a.ad_id % 10 = 0 THEN -1 ELSE a.ad_id // 2 END AS id, coalesce(kws, '') AS kws, count(*) AS n
+    FROM ads a LEFT JOIN k USING (ad_id) GROUP BY ALL""",
+)
+def keyword_match_by_join(spark, sf_dir):
+    """The join way with ids that are missing or repeated."""
+    rows = ads(spark, sf_dir).withColumn("ad_id", F.when(F.col("ad_id") % 10 != 0, F.floor(F.col("ad_id") / 2)))
+    out = match_by_join(rows, forms_table(spark, TEST_DICTIONARY))
+    return out.groupBy(F.coalesce("ad_id", F.lit(-1)).alias("id"), _joined(keywords()).alias("kws")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "keyword_match_by_bucket",
     f"""WITH {sql.HITS} SELECT ad_id, bucket, string_agg(DISTINCT keyword, '|' ORDER BY keyword) AS kws
@@ -277,10 +292,13 @@ def _counts(spark, sf_dir) -> DataFrame:
     f"""{_COUNTS} SELECT ad_id, g1 AS g1_count, g2 AS g2_count, g3 AS g3_count,
       coalesce((SELECT string_agg(keyword, ';' ORDER BY keyword) FROM akw WHERE akw.ad_id = p.ad_id AND grp = 2), '') AS g2_kw,
       coalesce((SELECT string_agg(keyword, ';' ORDER BY keyword) FROM akw WHERE akw.ad_id = p.ad_id AND grp = 3), '') AS g3_kw,
-      false AS disagrees FROM percount p""",
+      ad_id % 11 = 0 AND g1 = 0 AS disagrees FROM percount p""",
 )
 def strategy_counts(spark, sf_dir):
-    out = st.strategy_counts(classified(spark, sf_dir))
+    # Every eleventh grouped ad has group 1 stored, whatever its matches say.
+    wrong = (F.col("group") != "NA") & (F.col("ad_id") % 11 == 0)
+    stored = classified(spark, sf_dir).withColumn("group", F.when(wrong, "1").otherwise(F.col("group")))
+    out = st.strategy_counts(stored)
     return out.select(
         "ad_id", "g1_count", "g2_count", "g3_count",
         F.array_join("g2_kw", ";").alias("g2_kw"), F.array_join("g3_kw", ";").alias("g3_kw"), "disagrees",

@@ -11,7 +11,7 @@ from vacanta.functions.patterns import Dictionary
 from vacanta.operators.dedup import dedup_within_year
 from vacanta.operators.match import classify_group, match_keywords
 from vacanta.operators.prepare import allow_languages, flatten_and_filter
-from vacanta.operators.screening import drop_outlier_firm_years, outlier_firm_years
+from vacanta.operators.screening import drop_outlier_firm_years, firm_year_counts, outliers_of_counts
 from vacanta.operators.sweep import grid_sweep, with_status_counts
 from vacanta.operators.trend import C_GRID, K_GRID, TrendConfig, keyword_counts, keyword_status, keyword_trend
 from vacanta.schema import PrepareConfig
@@ -23,17 +23,18 @@ def prepare(ads: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFram
     """Wide postings to clean ones: filter, keep the first copy per year, drop outlier firm-years.
 
     Languages are restricted last. The outlier statistics need a few narrow columns of the
-    de-duplicated table; they are derived from a second, column-pruned pass, which is far less than
-    writing and reading all texts once more.
+    de-duplicated table; firm-years are counted once in a column-pruned pass and staged, and the
+    short list of outliers is staged too, so the last join knows its true size. Which copy stays
+    is settled by date, URL and content, so every pass and every retry picks the same one.
     """
     c = config.columns
     flat = flatten_and_filter(ads, config).withColumn("year", F.year(c.date))
     tie = [x for x in ("url",) if x in flat.columns]
-    unique = dedup_within_year(
-        flat.withColumn("_row", F.monotonically_increasing_id()), c.job_id, [c.date, *tie, "_row"]
-    ).drop("_row")
-    outliers = outlier_firm_years(
-        unique, dict(config.size_alpha), config.fallback_alpha, "_firm_id", "_size_id"
+    content = F.xxhash64(*[f.name for f in flat.schema.fields if "map<" not in f.dataType.simpleString()])
+    unique = dedup_within_year(flat.withColumn("_row", content), c.job_id, [c.date, *tie, "_row"]).drop("_row")
+    counts = stage(firm_year_counts(unique, "_firm_id", "_size_id"), "firm-years")
+    outliers = stage(
+        outliers_of_counts(counts, dict(config.size_alpha), config.fallback_alpha, "_firm_id", "_size_id"), "outliers"
     )
     clean = drop_outlier_firm_years(unique, outliers, "_firm_id")
     return allow_languages(clean, config.languages, c.language)
@@ -79,6 +80,6 @@ def calibrate(
     """
     names = keywords.where(~F.col("keyword").isin(*excluded)) if excluded else keywords
     trend = keyword_trend(names, keyword_counts(sigs, "year", excluded=excluded), config)
-    trend = stage(trend.coalesce(1), "trend")
+    trend = stage(trend, "trend")
     status = keyword_status(trend, cs, config)
     return Calibration(trend, status, with_status_counts(sigs, status, len(cs), excluded), cs, config)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacanta.functions.patterns import Dictionary, Keyword
-from vacanta.sources.staging import balanced
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ads with text: one per document, dated 2016 to 2025, Italian relabelled from Spanish."""
     doc = F.col("doc_id")
-    docs = balanced(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return docs.select(
         doc.alias("ad_id"),
         "text",

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacanta.sources.staging import stage
+
 
 def scan_shards(spark: SparkSession, *paths: str) -> DataFrame:
-    """Parquet shards whose columns may differ; missing columns are null."""
-    return spark.read.option("mergeSchema", True).parquet(*paths)
+    """Parquet shards whose columns may differ; missing columns are null, types are widened.
+
+    Shards of one schema are read together, so many shards make few branches.
+    """
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path in paths:
+        schema = spark.read.parquet(path).schema
+        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    frames = [spark.read.schema(schema).parquet(*found) for schema, found in groups.values()]
+    return union_relaxed(*frames)
 
 
 def union_relaxed(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -19,17 +30,69 @@ def union_relaxed(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
+def _table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A written table, or an empty one where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+_LEDGER = "file string, n_rows long, n_bad long, source string"
+_BAD_LINES = "file string, line string, source string"
+
+
 def ingest_ndjson(spark: SparkSession, pattern: str, target: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Newline-delimited JSON files (gzip or plain) to Parquet; an existing target is kept.
+    """New newline-delimited JSON files (gzip or plain) to Parquet, and all rows ingested so far.
 
-    Lines that are no valid JSON do not stop the others. Without a schema it is inferred over all
-    rows.
+    The decision is made per file: files in the ledger are not read again, so a later call takes
+    what has arrived since. Lines that do not parse go to a quarantine table and are counted; they
+    do not stop the others. Each file replaces its own partition and the ledger is written last, so
+    a call that was cut off is repeated without doubling rows. Without a schema it is inferred over
+    all rows of a delivery. ``target`` holds the folders rows, bad_lines and files.
     """
-    reader = spark.read.option("mode", "DROPMALFORMED")
-    if schema is not None:
-        reader = reader.schema(schema)
-    reader.json(pattern).write.mode("ignore").parquet(target)
-    return spark.read.parquet(target)
+    done = {r["file"] for r in ingested_files(spark, target).select("file").collect()}
+    new = [f for f in spark.read.text(pattern).inputFiles() if f not in done]
+    if new:
+        shape = spark.read.json(new).schema if schema is None else schema
+        shape = T.StructType.fromDDL(shape) if isinstance(shape, str) else T.StructType([f for f in shape.fields if f.name != "_line"])
+        reader = spark.read.schema(T.StructType([*shape.fields, T.StructField("_line", T.StringType())]))
+        parsed = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").json(new)
+        parsed = stage(parsed.withColumns({"_file": F.input_file_name(), "source": F.md5(F.input_file_name())}), "parsed")
+        write_by(parsed.where(F.col("_line").isNull()).drop("_line", "_file"), f"{target}/rows", "source")
+        write_by(parsed.where(F.col("_line").isNotNull()).select(F.col("_file").alias("file"), F.col("_line").alias("line"), "source"), f"{target}/bad_lines", "source")
+        counts = parsed.groupBy(F.col("_file").alias("file"), "source").agg(F.count_if(F.col("_line").isNull()).alias("n_rows"), F.count_if(F.col("_line").isNotNull()).alias("n_bad"))
+        empty = spark.createDataFrame([(f,) for f in new], "file string").join(counts.select("file"), "file", "left_anti")
+        empty = empty.select("file", F.md5("file").alias("source"), F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_bad"))
+        write_by(counts.unionByName(empty).select("file", "n_rows", "n_bad", "source"), f"{target}/files", "source")
+    if schema is None:
+        return spark.read.option("mergeSchema", True).parquet(f"{target}/rows").drop("source")
+    shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return _table(spark, f"{target}/rows", T.StructType([*shape.fields, T.StructField("source", T.StringType())])).drop("source")
+
+
+def ingested_files(spark: SparkSession, target: str) -> DataFrame:
+    """file, n_rows, n_bad of every file that :func:`ingest_ndjson` has taken."""
+    return _table(spark, f"{target}/files", _LEDGER).drop("source")
+
+
+def bad_lines(spark: SparkSession, target: str) -> DataFrame:
+    """file, line of the quarantine of :func:`ingest_ndjson`."""
+    return _table(spark, f"{target}/bad_lines", _BAD_LINES).drop("source")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A result table as Parquet, CSV with a header, or JSON lines. Arrays go to CSV as JSON."""
+    if kind == "csv":
+        nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        df = df.withColumns({n: F.to_json(n) for n in nested})
+        df.write.mode("overwrite").option("header", True).csv(path)
+    elif kind in ("parquet", "json"):
+        df.write.mode("overwrite").format(kind).save(path)
+    else:
+        raise ValueError(f"unknown report kind {kind!r}")
 
 
 def write_by(df: DataFrame, path: str, *columns: str, rows_per_file: int | None = 5_000_000) -> None:

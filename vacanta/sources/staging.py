@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,8 @@ def staging_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        # local-cluster has executors of its own; only a session in one process may choose a folder.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="vacanta-")
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -41,9 +43,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def balanced(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of fewer splits than cores by ``key``; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, key)
+def unstage(spark: SparkSession, *staged: DataFrame) -> None:
+    """Remove staged tables that no one reads any more, such as wide ones at the end of a job."""
+    base = staging_dir(spark)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for df in staged:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base.split(":")[-1].rstrip("/") not in folder:
+                raise ValueError(f"not a staged table: {folder}")
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

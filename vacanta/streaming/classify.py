@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vacanta.functions.patterns import Dictionary
+from vacanta.operators.dedup import keep_first
 from vacanta.operators.match import classify_group, match_keywords
+from vacanta.sources.staging import stage
 
 
-def classify_stream(
-    arriving: DataFrame,
-    dictionary: Dictionary,
-    key: str,
-    ts: str,
-    delay: str = "30 days",
-    text: str = "text",
-    language: str = "language",
-) -> DataFrame:
-    """Drop repostings that arrive within ``delay`` of each other, then classify.
-
-    Matching keeps no state. The only state is one key per posting seen within the delay, so its
-    size is bounded by the watermark and not by the length of the stream. The key is checked
-    before the text is matched.
-    """
-    fresh = arriving.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-    return classify_group(match_keywords(fresh, dictionary, text, language))
+def classify_stream(arriving: DataFrame, dictionary: Dictionary, text: str = "text", language: str = "language") -> DataFrame:
+    """Match and classify every arriving posting. Keeps no state and drops nothing."""
+    return classify_group(match_keywords(arriving, dictionary, text, language))
+
+
+def _written(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What earlier batches have written; None before the first."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch") != batch_id)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def run_available(
@@ -41,15 +41,37 @@ def run_available(
     delay: str = "30 days",
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Process all files not seen yet and stop; call again for the next ones."""
-    arriving = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    )
-    out = classify_stream(arriving, dictionary, key, ts, delay).drop("matches")
-    return (
-        out.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Process all files not seen yet and stop; call again for the next ones.
+
+    The rule of the batch job holds: of postings with one key the first stays, postings without a
+    key all stay. A batch keeps the first of its copies and drops those whose key the target has
+    already, whatever their age, so nothing depends on a watermark and no posting is lost. The key
+    column of the target is the only state. Target and report are partitioned by batch and a
+    repeated batch replaces its own partition.
+
+    ``{target}-report`` tells per batch: n_read = n_written + n_duplicates + n_late, where n_late
+    are the written postings that lie more than ``delay`` before the newest one of earlier batches.
+    """
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    report = f"{target}-report"
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        read = stage(batch.withColumn("_tie", F.xxhash64(*batch.columns)).withColumn("_row", F.monotonically_increasing_id()), "arrived")
+        keyed = keep_first(read.where(F.col(key).isNotNull()), key, [ts, "_tie", "_row"])
+        before, told = _written(session, target, batch_id), _written(session, report, batch_id)
+        if before is not None:
+            keyed = keyed.join(before.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+        fresh = stage(keyed.unionByName(read.where(F.col(key).isNull())).drop("_tie", "_row"), "fresh")
+        newest = None if told is None else told.agg(F.max("newest")).first()[0]
+        late = F.lit(False) if newest is None else F.coalesce(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        out = classify_stream(fresh, dictionary).drop("matches")
+        out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        counts = read.agg(F.count("*").alias("n_read"), F.max(ts).alias("newest")).crossJoin(
+            fresh.agg(F.count("*").alias("n"), F.coalesce(F.count_if(late), F.lit(0)).alias("n_late"))
+        )
+        counts.select(
+            "n_read", (F.col("n") - F.col("n_late")).alias("n_written"), (F.col("n_read") - F.col("n")).alias("n_duplicates"), "n_late", "newest"
+        ).write.mode("overwrite").parquet(f"{report}/batch={batch_id}")
+
+    return arriving.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
