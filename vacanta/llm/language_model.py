@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.llm.batches import LOWER_BYTE, SPACE_BYTE, blocks, flat, mix, span_hashes, spans
+from vacanta.llm.batches import LOWER_BYTE, SPACE_BYTE, blocks, flat, for_texts, mix, span_hashes, spans
 from vacanta.llm.elias_fano import EliasFano, TrieLevel
 from vacanta.sources.staging import stage
 
 #: Text bytes of a block.
-BLOCK = 16 << 20
-#: Words or pairs that a shard receives, about.
-SHARD = 2_000_000
+BLOCK = 6 << 20
+#: Words that a shard receives, about; of tokens behind pairs twice as many.
+SHARD = 1_000_000
 #: Training occurrences of a context per part of its successors.
 CONTEXT_PART = 100_000
 #: Weight of the lower order, in occurrences.
@@ -201,21 +201,20 @@ class _Pairs:
         self.count = np.concatenate([empty, *(unpack(a["found"], "u8", a["n"]) for a in answers)]).astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.training = np.array(row["training"], bool)
-        self.tokens = unpack(row["tokens"], "u4", int(self.sizes.sum())).astype(np.int64)
+        self.tokens = unpack(row["tokens"], "u4", int(self.sizes.sum()))
         starts = np.zeros(len(self.tokens), bool)
         starts[np.cumsum(self.sizes) - self.sizes] = True
         known = self.count[self.tokens] > 0
         self.at = np.flatnonzero(~starts[1:] & known[1:] & known[:-1]) + 1
-        left, right = self.tokens[self.at - 1], self.tokens[self.at]
-        key = (left << 32) | right
-        codes, seen = pd.factorize(key)
+        del known, starts
+        codes, seen = pd.factorize((self.tokens[self.at - 1].astype(np.int64) << 32) | self.tokens[self.at])
         left, right = seen >> 32, seen & 0xFFFFFFFF
         context, word = self.number[left], self.number[right]
         parts = 1 + self.count[left] // CONTEXT_PART
         shard = (mix((context.astype(np.uint64) << _U(20)) + (word % parts).astype(np.uint64)) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64)
         order = np.lexsort((word, context, shard))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         #: For every token in ``at``: its pair's place in the order of requests.
         self.pair = place[codes]
         self.shard, self.context, self.word = shard[order], context[order], word[order]
@@ -287,7 +286,7 @@ def _pair_shard(mass: float):
         contexts, words, counts, totals = [], [], [], []
         for r in rows:
             context, size, word, total = _request(r)
-            count = unpack(r["counts"], "u4", r["n"]).astype(np.int64)
+            count = unpack(r["counts"], "u4", r["n"])
             seen = count > 0
             contexts.append(np.repeat(context, size)[seen])
             totals.append(np.repeat(total, size)[seen])
@@ -298,7 +297,7 @@ def _pair_shard(mass: float):
         context, word, count, total = context[order], word[order], count[order], total[order]
         new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(context) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        sums = np.add.reduceat(count, at) if len(at) else count
+        sums = np.add.reduceat(count, at, dtype=np.int64) if len(at) else count
         code = quantised(sums / (total[at] + mass))
         level = TrieLevel(context[at], word[at], code, int(word.max(initial=0)) + 1)
         del context, word, count, total, contexts, words, counts, totals
@@ -367,6 +366,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", traini
 
     The model is learnt from the rows whose column ``training`` is true; all rows are scored.
     """
+    for_texts(docs.sparkSession)
     made = stage(
         docs.select(F.col(key).cast("long").alias("id"), F.col(training).alias("training"), F.col(text).alias("text")).mapInArrow(_blocks, BLOCK_SCHEMA), "lm_blocks"
     )
