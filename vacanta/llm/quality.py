@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacanta.llm.batches import SPACE_BYTE, appended, blocks, flat, mix, schema_with, span_hashes, spans
+from vacanta.llm.batches import SPACE_BYTE, appended, blocks, flat, for_texts, mix, schema_with, span_hashes, spans
 
 BITS = 14
 #: Documents per class that the scorer is fitted on, expected number.
@@ -209,15 +209,19 @@ class Model:
         return np.where(w.counts > 0, 1 / (1 + np.exp(-np.clip(total, -500, 500))), 0.0)
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression with soft targets by gradient descent with per-coordinate rates. Dense rows; few columns are in use."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    gw, gb = np.full(x.shape[1], 1e-8), 1e-8
+def fit_linear(
+    row: np.ndarray, column: np.ndarray, value: np.ndarray, size: int, target: np.ndarray, weight: np.ndarray,
+    l2: float = 1e-3, rounds: int = 300, rate: float = 0.5,
+) -> tuple[np.ndarray, float]:
+    """Logistic regression with soft targets by gradient descent with per-coordinate rates, on sparse rows."""
+    n = len(target)
+    w, b = np.zeros(size), 0.0
+    gw, gb = np.full(size, 1e-8), 1e-8
     weight = weight / max(weight.sum(), 1e-12)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=value * w[column], minlength=n) + b, -500, 500)))
         e = (p - target) * weight
-        g, h = x.T @ e + l2 * w / len(x), e.sum()
+        g, h = np.bincount(column, weights=value * e[row], minlength=size) + l2 * w / max(n, 1), e.sum()
         gw += g * g
         gb += h * h
         w -= rate * g / np.sqrt(gw)
@@ -243,6 +247,7 @@ def vote_patterns(docs: DataFrame, text: str = "text") -> pd.DataFrame:
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Weak labels from all documents, then the linear scorer on a sample."""
+    for_texts(docs.sparkSession)
     found = vote_patterns(docs, text)
     if not len(found):
         return Model(np.zeros(1 << bits), 1.0, {}, 1.0, bits)
@@ -264,11 +269,11 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, bits: int =
                 chosen = np.flatnonzero((part.column(1).to_numpy() < rate) & (w.counts > 0))
                 if not len(chosen):
                     continue
-                key = np.concatenate([(w.text << bits) | f for f in features(w, bits)])
-                key = np.sort(key[np.isin(key >> bits, chosen)])
+                own = words_of(part.column(0).take(pa.array(chosen)))
+                key = np.sort(np.concatenate([(own.text << bits) | f for f in features(own, bits)]))
                 at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 n = np.diff(np.append(at, len(key)))
-                cut = np.searchsorted(key[at] >> bits, np.append(chosen, w.n_texts))
+                cut = np.searchsorted(key[at] >> bits, np.arange(own.n_texts + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(good[chosen]),
@@ -281,26 +286,23 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, bits: int =
                 )
 
     draw = F.pmod(F.xxhash64(F.lit(5), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.where(F.col(text).isNotNull()).select(text, draw.alias("draw")).mapInArrow(run, "good double, words long, bucket binary, n binary, draw double").orderBy("draw").toPandas()
-    used: dict[int, int] = {}
-    parsed = [(np.frombuffer(b, "<u2"), np.frombuffer(n, "<u4")) for b, n in zip(rows["bucket"], rows["n"], strict=True)]
-    for b, _ in parsed:
-        for k in b.tolist():
-            used.setdefault(k, len(used))
-    x = np.zeros((len(rows), len(used)), np.float32)
-    for i, ((b, n), words) in enumerate(zip(parsed, rows["words"], strict=True)):
-        x[i, [used[k] for k in b.tolist()]] = n / (words + FEW_WORDS)
+    drawn = docs.where(F.col(text).isNotNull()).select(text, draw.alias("draw")).where(F.col("draw") < max(rates))
+    rows = drawn.mapInArrow(run, "good double, words long, bucket binary, n binary, draw double").orderBy("draw").toPandas()
+    buckets = [np.frombuffer(b, "<u2") for b in rows["bucket"]]
+    sizes = np.array([len(b) for b in buckets], np.int64)
+    row, words = np.repeat(np.arange(len(rows)), sizes), rows["words"].to_numpy(float)
+    column = np.concatenate([np.zeros(0, np.int64), *buckets]).astype(np.int64)
+    value = np.concatenate([np.zeros(0), *(np.frombuffer(n, "<u4") for n in rows["n"])]) / (words[row] + FEW_WORDS)
     target = rows["good"].to_numpy(float)
     # Both classes weigh alike in training; the intercept then gets the share of good documents back.
     weight = np.where(target >= 0.5, 1 / max((target >= 0.5).sum(), 1), 1 / max((target < 0.5).sum(), 1))
-    w, b = fit_linear(x, target, weight)
-    weights = np.zeros(1 << bits)
-    weights[list(used)] = w
+    weights, b = fit_linear(row, column, value, 1 << bits, target, weight)
     return Model(weights, b + np.log(share / (1 - share)), accuracies, share, bits)
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with quality (0 to 1), labels (the labellers' votes, g, b or -) and accepted."""
+    for_texts(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
