@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once; a longer single text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Bytes of a word, `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing: digits, a-z and all of UTF-8's upper half.
 WORD_BYTE = np.zeros(256, bool)
@@ -29,13 +29,22 @@ SPACE_BYTE[[0x20, *range(0x09, 0x0E)]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[np.ndarray] = []
+#: Length of the powers that a worker keeps.
+_KEPT = BLOCK_BYTES + (1 << 17)
+#: Rows of an Arrow batch: texts are wide, and a batch lies in the JVM and in Python at once.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def for_texts(spark: SparkSession) -> None:
+    """Small Arrow batches, so that what a task holds of wide rows stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a missing id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % n
@@ -92,16 +101,24 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans: differences of a running polynomial hash, moved to the origin."""
     n = len(data) + 1
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + (1 << 16))
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
+    if n <= _KEPT:
+        if not _POWERS:
+            _POWERS.extend((_powers(_BASE, _KEPT), _powers(_BASE_INVERSE, _KEPT)))
+        up, down = _POWERS
+    else:  # a long text: not kept
+        up, down = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
     sums = np.empty(n, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * _POWERS["up"][: n - 1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _POWERS["down"][starts])
+    part = _BYTE_VALUE[data]
+    part *= up[: n - 1]
+    np.cumsum(part, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

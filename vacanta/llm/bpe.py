@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vacanta.llm.batches import appended, blocks, schema_with
+from vacanta.llm.batches import appended, blocks, for_texts, schema_with
 
 #: Split pattern of byte-level BPE; a fixed value of the public format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a task remembers before it starts its table anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _NONE = np.int64(1) << 40
 
 
@@ -216,6 +216,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", decode: bool =
                     out["decoded"] = _decoded(tokens, ids, counts)
                 yield appended(whole.slice(start, end - start), out)
 
+    for_texts(docs.sparkSession)
     fields = {"n_tokens": T.LongType(), "ids": T.BinaryType()} | ({"decoded": T.StringType()} if decode else {})
     return docs.mapInArrow(run, schema_with(docs, fields))
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each task cuts its documents into shards of a few megabytes and builds a suffix array over a shard's
+Each task cuts its documents into shards of about a megabyte and builds a suffix array over a shard's
 words. Every suffix of every benchmark text is then looked up by binary search, one word deeper at a
 time, which gives its longest verbatim match and all its places in the shard. A match of a whole
 window (``window`` words, or all words of a shorter item) is an occurrence.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacanta.llm.batches import appended, blocks, flat, numbered, restored, schema_with, word_hashes
+from vacanta.llm.batches import appended, blocks, flat, for_texts, numbered, restored, schema_with, word_hashes
 
 WINDOW = 13
 #: Most bytes of benchmark text that are sent to the tasks at once (one item may be longer).
@@ -229,6 +229,7 @@ def find_benchmark(
 
     ``text`` names the texts of ``docs``; ``benchmark`` has item_id and text.
     """
+    for_texts(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-size // block_bytes))

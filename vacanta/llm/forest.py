@@ -172,7 +172,6 @@ def _leaf_links(least: float):
             linked = x[rows] @ x.T >= least
             linked[np.arange(linked.shape[0]), np.arange(rows.start, rows.stop)] = False
             counted[rows] = (linked & ((earlier[rows] @ earlier.T) == 0)) @ copies
-            # The first linked point of each row, and rows of several links step by step below.
             a, b = np.nonzero(linked)
             lower = b < a + start
             a_side.append(a[lower] + start)

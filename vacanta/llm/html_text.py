@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vacanta.llm.batches import appended, blocks, schema_with
+from vacanta.llm.batches import appended, blocks, for_texts, schema_with
 
 #: Elements whose content is raw text up to their end tag.
 RAW = "script|style|xmp|iframe|noembed|noframes|textarea|title"
@@ -272,4 +272,5 @@ def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
                 texts = [main_text(x) for x in pc.fill_null(column.slice(start, end - start), "").to_pylist()]
                 yield appended(whole.slice(start, end - start), {"text": pa.array(texts, pa.string())})
 
+    for_texts(pages.sparkSession)
     return pages.mapInArrow(run, schema_with(pages, {"text": T.StringType()}))

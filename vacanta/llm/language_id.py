@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacanta.llm.batches import appended, blocks, schema_with
+from vacanta.llm.batches import appended, blocks, for_texts, schema_with
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -127,7 +127,7 @@ def document_frequencies(docs: DataFrame, text: str = "text", bits: int = BITS,
 @dataclass
 class Model:
     languages: list[str]
-    #: (2**bits, languages): weights times inverse document frequency.
+    #: (languages, 2**bits): weights times inverse document frequency.
     weights: np.ndarray
     intercept: np.ndarray
     temperature: float
@@ -210,6 +210,7 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: Column | None = None, sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on the rows of ``docs`` that have a label. ``key`` names rows for the choice of the sample."""
+    for_texts(docs.sparkSession)
     size = 1 << bits
     docs = docs.where(F.col(label).isNotNull()).select(F.col(text).alias("_text"), F.col(label).alias("_label"), (key if key is not None else F.col(text)).alias("_key"))
     found = document_frequencies(docs, "_text", bits)
@@ -259,6 +260,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: Column
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, from the whole text."""
+    for_texts(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
