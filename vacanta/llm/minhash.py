@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.llm.batches import blocks, flat, mix, word_hashes
+from vacanta.llm.batches import blocks, flat, for_texts, mix, word_hashes
 from vacanta.llm.components import components
 from vacanta.sources.staging import stage
 
@@ -43,6 +43,10 @@ ROWS = 5
 BANDS = 20
 IDF_BITS = 18
 IDF_SPAN = 0.1
+#: Leaders of a bucket in the first round are one; every round has this many times as many.
+LEADER_GROWTH = 8
+#: Most candidate ids (8 bytes each) that are broadcast to pick their sets; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.6
 
@@ -284,9 +288,11 @@ def bucket_links(members: DataFrame, sets: DataFrame, idf, similarity: float = S
         left = left.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
         # Leaders come next from members without a link; where all have one, from all.
         left = stage(left, "left")
+        if left.isEmpty():
+            break
         sizes = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max(~F.col("linked")).alias("any_open")).where("n > 1")
         members = stage(left.join(stage(sizes, "sizes"), "bucket").select("bucket", "id", (~F.col("linked") | ~F.col("any_open")).alias("open")), "members")
-        leaders_per_bucket *= 2
+        leaders_per_bucket *= LEADER_GROWTH
     out = links[0] if links else members.sparkSession.createDataFrame([], "a long, b long")
     for more in links[1:]:
         out = out.unionByName(more)
@@ -296,16 +302,21 @@ def bucket_links(members: DataFrame, sets: DataFrame, idf, similarity: float = S
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, group_id, kept): one row per distinct id; the smallest id of a group is its group_id and is kept."""
     spark = docs.sparkSession
+    for_texts(spark)
     idf = spark.sparkContext.broadcast(idf_table(docs, text))  # 2**IDF_BITS numbers
     known = docs.where(F.col(key).isNotNull())
     drawn = stage(sketches(known, idf, key, text), "sketches")
     # Equal word sequences: all copies link with the smallest id.
     first = drawn.groupBy("copy_hi", "copy_lo").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("copy_hi", "copy_lo", "first")
     copies = stage(drawn.select("id", "copy_hi", "copy_lo").join(stage(first, "first"), ["copy_hi", "copy_lo"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")), "copies")
-    singles = drawn.select("id", F.explode(F.array_distinct("buckets")).alias("bucket")).join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    # Copies leave before the buckets are spread out.
+    alone = drawn.select("id", "buckets").join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    singles = alone.select("id", F.explode(F.array_distinct("buckets")).alias("bucket"))
     sizes = singles.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    members = stage(singles.join(stage(sizes, "sizes"), "bucket", "left_semi").distinct().withColumn("open", F.lit(True)), "members")
-    wanted = members.select("id").distinct()
+    members = stage(singles.join(stage(sizes, "sizes"), "bucket", "left_semi").withColumn("open", F.lit(True)), "members")
+    wanted = stage(members.select("id").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     sets = stage(weighted_sets(known, idf, key, text).join(wanted, "id", "left_semi"), "sets")
     links = bucket_links(members, sets, idf, similarity).unionByName(copies)
     groups = components(links)
