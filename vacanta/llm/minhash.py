@@ -9,7 +9,9 @@ are candidates, and every accepted link is verified by the exact weighted Jaccar
 Buckets of any size are worked off without forming all pairs. In rounds, each bucket elects leaders,
 all its members are compared with them, and a member leaves the bucket once the triangle inequality
 of the Jaccard distance, with the leader it is linked to, rules out a link to any document that is not
-linked to that leader. A near-copy group thus takes one comparison per document. Documents with equal
+linked to that leader. After each round connected members are one group: they are not compared with one
+another, a bucket of one group is done, and the next leaders come from outside the largest group. A
+near-copy group thus takes few comparisons per document. Documents with equal
 word sequences are one candidate; the copies join their representative's class directly.
 
 Document frequencies are counted over all documents in 2**IDF_BITS hashed buckets (their table is what
@@ -259,44 +261,49 @@ def bucket_links(members: DataFrame, sets: DataFrame, idf, similarity: float = S
     execution can split the hot side of that join. ``members`` has the distinct (bucket, id) of buckets with two documents or more.
     """
     far = 1 - similarity
-    links, known, leaders_per_bucket = [], None, 1
+    known, leaders_per_bucket = None, 1
+    members = members.withColumn("group", F.col("id"))
     while not members.isEmpty():
-        if leaders_per_bucket == 1:
-            leaders = stage(members.groupBy("bucket").agg(F.min("id").alias("leader")), "leaders")
+        if known is None:
+            leaders = members.groupBy("bucket").agg(F.min("id").alias("leader")).withColumn("leader_group", F.col("leader"))
         else:
             # The first few by id, kept small before the shuffle by the rank limit.
-            ranked = members.where("open").selectExpr("bucket", "id", "row_number() OVER (PARTITION BY bucket ORDER BY id) AS k")
-            leaders = stage(ranked.where(F.col("k") <= leaders_per_bucket).select("bucket", F.col("id").alias("leader")), "leaders")
-        faced = stage(members.join(leaders, "bucket").where("id <> leader").select("bucket", "id", "leader"), "faced")
+            ranked = members.where("open").selectExpr("bucket", "id", "group", "row_number() OVER (PARTITION BY bucket ORDER BY id) AS k")
+            leaders = ranked.where(F.col("k") <= leaders_per_bucket).select("bucket", F.col("id").alias("leader"), F.col("group").alias("leader_group"))
+        leaders = stage(leaders, "leaders")
+        # Members of one group are connected already.
+        faced = members.join(leaders, "bucket").where("id <> leader AND group <> leader_group").select("bucket", "id", "leader")
+        faced = stage(faced, "faced")
         pairs = faced.select("id", "leader").distinct()
         if known is not None:
             pairs = pairs.join(known, ["id", "leader"], "left_anti")
         fresh = stage(_similarities(pairs, sets, idf), "similarities")
-        links.append(fresh.where(F.col("similarity") >= similarity).select(F.col("id").alias("a"), F.col("leader").alias("b")))
         known = fresh if known is None else known.unionByName(fresh)
+        links = known.where(F.col("similarity") >= similarity).select(F.col("id").alias("a"), F.col("leader").alias("b"))
         judged = faced.join(known, ["id", "leader"]).withColumn("distance", 1 - F.col("similarity"))
         # Per bucket and leader: the nearest member that is not linked to it.
-        nearest = judged.groupBy("bucket", "leader").agg(F.min(F.when(F.col("distance") > far + 1e-12, F.col("distance"))).alias("nearest"))
-        judged = judged.join(stage(nearest, "nearest"), ["bucket", "leader"]).withColumns(
-            {
-                "settled": F.col("nearest").isNull() | ((F.col("distance") <= far + 1e-12) & (F.col("nearest") - F.col("distance") > far)),
-                "linked": F.col("distance") <= far + 1e-12,
-            }
-        )
-        left = judged.groupBy("bucket", "id").agg(F.max("settled").alias("settled"), F.max("linked").alias("linked")).where(~F.col("settled"))
+        linked = F.col("similarity") >= similarity
+        nearest = judged.groupBy("bucket", "leader").agg(F.min(F.when(~linked, F.col("distance"))).alias("nearest"))
+        ruled_out = F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > far + 1e-9)
+        settled = judged.join(stage(nearest, "nearest"), ["bucket", "leader"]).where(linked & ruled_out).select("bucket", "id").distinct()
         # Leaders have met everyone in their bucket and leave it.
-        left = left.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-        # Leaders come next from members without a link; where all have one, from all.
-        left = stage(left, "left")
+        left = members.select("bucket", "id").join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
+        left = stage(left.join(settled, ["bucket", "id"], "left_anti"), "left")
         if left.isEmpty():
             break
-        sizes = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max(~F.col("linked")).alias("any_open")).where("n > 1")
-        members = stage(left.join(stage(sizes, "sizes"), "bucket").select("bucket", "id", (~F.col("linked") | ~F.col("any_open")).alias("open")), "members")
+        # What is connected by any link so far is one group. Next to lead are the members outside
+        # their bucket's largest group; a bucket of one group is done.
+        groups = stage(components(links), "groups")
+        placed = left.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group"))
+        placed = stage(placed, "placed")
+        sizes = placed.groupBy("bucket", "group").agg(F.count("*").alias("n")).groupBy("bucket")
+        sizes = sizes.agg(F.max(F.struct("n", "group")).alias("largest"), F.count("*").alias("n_groups")).where("n_groups > 1")
+        largest = stage(sizes.select("bucket", F.col("largest.group").alias("main")), "largest")
+        members = stage(placed.join(largest, "bucket").select("bucket", "id", "group", (F.col("group") != F.col("main")).alias("open")), "members")
         leaders_per_bucket *= LEADER_GROWTH
-    out = links[0] if links else members.sparkSession.createDataFrame([], "a long, b long")
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+    if known is None:
+        return members.sparkSession.createDataFrame([], "a long, b long")
+    return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
