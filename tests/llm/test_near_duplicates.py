@@ -168,6 +168,26 @@ def test_forest_recall_and_links(spark):
     assert all(r.kept == (r.component == i) for i, r in got.items())
 
 
+def test_large_groups_of_distinct_near_copies_have_all_links(spark):
+    """A tight group of 12,000, one whose vectors are only partly linked, copies, and vectors around them."""
+    rng = np.random.default_rng(3)
+    dim = 24
+    centre = rng.normal(size=(40, dim))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    size, spread = [12_000, 4000, *[20] * 38], [0.02, 0.068, *[0.05] * 38]
+    x = np.concatenate([c + s * rng.normal(size=(n, dim)) for c, n, s in zip(centre, size, spread, strict=True)])
+    x = np.concatenate([x, x[:500], x[12_000:12_100], centre[:1] + 0.1 * rng.normal(size=(1000, dim))]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    counts = np.concatenate([(unit[a : a + 500] @ unit.T >= 0.9).sum(axis=1) - 1 for a in range(0, len(x), 500)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r.id: r for r in near_embeddings(df).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    hot = counts >= 1000
+    assert hot.sum() > 14_000 and (found[hot] == counts[hot]).all() and (found <= counts).all()
+    assert found.sum() >= 0.999 * counts.sum() and len({got[i].component for i in np.flatnonzero(counts >= 10_000)}) == 1
+
+
 def test_forest_query_recall(spark, sf_dir):
     vectors = {r.vec_id: r.embedding for r in table(spark, sf_dir, "embeddings").collect()}
     counts, component = exact(vectors)
