@@ -96,6 +96,24 @@ def test_quality_awkward_rows(spark, awkward, nothing):
     assert quality.score_quality(awkward.where("doc_id = 1"), empty).first().accepted
 
 
+def test_quality_sample_is_bounded_by_distinct_texts(spark, monkeypatch):
+    """A text on most rows neither fills the sample nor keeps other texts of its class out."""
+    bad = [f"$$## @@{i} ^^~~ ||{{}} <<>> ##{i}%% &&** == ++{i}" * 4 for i in range(200)]
+    good = [f"{brute.PROSE} It was the year {i}." for i in range(300)]
+    fitted, fit = [], quality.fit_linear
+
+    def seen(row, column, value, size, target, weight, *rest):
+        fitted.append(target)
+        return fit(row, column, value, size, target, weight, *rest)
+
+    monkeypatch.setattr(quality, "fit_linear", seen)
+    docs = spark.createDataFrame([(t,) for t in bad + good + bad[:1] * 4000 + good[:1] * 4000], "text string").repartition(5)
+    model = quality.train(docs, sample=50)
+    assert (fitted[0] < 0.5).sum() == 50 and (fitted[0] >= 0.5).sum() == 50
+    judged = quality.score_quality(spark.createDataFrame([(t,) for t in bad + good], "text string"), model)
+    assert {r.text for r in judged.where("accepted").collect()} == set(good)
+
+
 def test_estimation_recovers_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.7

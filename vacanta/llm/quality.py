@@ -3,11 +3,12 @@
 Overlapping heuristic labellers vote good, bad or abstain on every document. Expectation-maximisation
 over the counts of vote patterns, which cover all documents, estimates each labeller's accuracy on
 either class and the share of good documents. The posteriors of the patterns label a bounded sample of
-documents, on which a hashed linear scorer (logistic regression on word shapes and word repetition) is
+distinct texts, on which a hashed linear scorer (logistic regression on word shapes and word repetition) is
 trained; it then scores every whole text. No human label is read.
 
-``SAMPLE`` documents per class (expected number, chosen by a hash of the text) are fitted; the driver
-receives their hashed counts only. The pattern table has at most 3 ** labellers rows.
+At most ``SAMPLE`` distinct texts per class, those of the lowest digests, are fitted, each once: copies of
+a text neither fill the sample nor keep others out. The driver receives their hashed counts only. Digests
+of 128 bits, not texts, are shuffled to find the distinct ones. The pattern table has at most 3 ** labellers rows.
 
 Defined results: a null or empty text, or one without any word, has score 0 and is rejected; repeated
 rows are judged alike; an empty table gives an empty table and a model that calls everything with a
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacanta.llm.batches import SPACE_BYTE, appended, blocks, flat, for_texts, mix, schema_with, span_hashes, spans
+from vacanta.sources.staging import stage
 
 BITS = 14
-#: Documents per class that the scorer is fitted on, expected number.
+#: Distinct texts per class that the scorer is fitted on, at most.
 SAMPLE = 4000
 #: Added to the number of words that counts are divided by, so that few words are little evidence.
 FEW_WORDS = 8
@@ -229,71 +231,102 @@ def fit_linear(
     return w, float(b)
 
 
-def vote_patterns(docs: DataFrame, text: str = "text") -> pd.DataFrame:
-    """Counts of the vote patterns of all documents with a word."""
+def text_votes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(hi, lo, pattern, n): digest, vote pattern and number of copies of every distinct text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = {}
         for batch in batches:
             for start, end in blocks(batch.column(0)):
-                w = words_of(batch.column(0).slice(start, end - start))
-                rows, n = np.unique(vote(w)[w.counts > 0], axis=0, return_counts=True)
-                for row, k in zip(rows, n, strict=True):
-                    found[row.tobytes()] = found.get(row.tobytes(), 0) + int(k)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["pattern", "n"])
+                part = batch.slice(start, end - start)
+                w = words_of(part.column(0))
+                rows = np.flatnonzero(w.counts > 0)
+                votes, at = vote(w)[rows], pa.array(rows)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(2).take(at), pa.array([v.tobytes() for v in votes], pa.binary())], ["hi", "lo", "pattern"])
+
+    found = _digested(docs, text).mapInArrow(run, "hi long, lo long, pattern binary")
+    return stage(found.groupBy("hi", "lo", "pattern").agg(F.count("*").alias("n")), "text_votes")
+
 
-    return docs.select(text).mapInArrow(run, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+def _digested(docs: DataFrame, text: str) -> DataFrame:
+    """(text, hi, lo): texts with a digest whose first half is also the draw of the sample."""
+    return docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), *(F.xxhash64(F.lit(seed), F.col(text)).alias(name) for seed, name in ((5, "hi"), (6, "lo"))))
+
+
+def vote_patterns(votes: DataFrame) -> pd.DataFrame:
+    """Counts of the vote patterns of all documents with a word, and of their distinct texts."""
+    return votes.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy("pattern").toPandas()
+
+
+def draw_texts(votes: DataFrame, good: dict[bytes, float], texts: tuple[int, int], sample: int) -> pd.DataFrame:
+    """(hi, lo, good) of at most ``sample`` distinct texts per class, those of the lowest digests.
+
+    ``texts`` has the numbers of distinct texts that count as bad and as good.
+    """
+    # Twice the sample is expected below these; few rows reach the sort.
+    below = [-(1 << 63) + min((1 << 64) - 1, int((1 << 64) * min(1.0, 2 * sample / max(n, 1)))) for n in texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([good[v] for v in batch.column(2).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.float64())], ["hi", "lo", "good"])
+
+    judged = votes.select("hi", "lo", "pattern").mapInArrow(run, "hi long, lo long, good double")
+    classes = (judged.where((F.col("good") < 0.5) & (F.col("hi") <= below[0])), judged.where((F.col("good") >= 0.5) & (F.col("hi") <= below[1])))
+    return pd.concat([c.orderBy("hi", "lo").limit(sample).toPandas() for c in classes]).sort_values(["hi", "lo"], ignore_index=True)
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Weak labels from all documents, then the linear scorer on a sample."""
+    """Weak labels from all documents, then the linear scorer on a sample of distinct texts."""
     for_texts(docs.sparkSession)
-    found = vote_patterns(docs, text)
+    votes = text_votes(docs, text)
+    found = vote_patterns(votes)
     if not len(found):
         return Model(np.zeros(1 << bits), 1.0, {}, 1.0, bits)
     patterns = np.stack([np.frombuffer(bytes(p), np.int8) for p in found["pattern"]])
-    counts = found["n"].to_numpy(float)
+    counts, texts = found["n"].to_numpy(float), found["texts"].to_numpy(np.int64)
     posterior, table, share = estimate(patterns, counts)
     accuracies = {name: tuple(float(table[c, j, c] / (table[c, j, GOOD] + table[c, j, BAD])) for c in (GOOD, BAD)) for j, name in enumerate(LABELLERS)}
     known = {bytes(p): float(q) for p, q in zip(found["pattern"], posterior, strict=True)}
-    n_good, n_bad = float((counts * posterior).sum()), float((counts * (1 - posterior)).sum())
-    rates = (min(1.0, sample / max(n_bad, 1)), min(1.0, sample / max(n_good, 1)))
+    chosen = draw_texts(votes, known, (int(texts[posterior < 0.5].sum()), int(texts[posterior >= 0.5].sum())), sample)
+    high, low, good = chosen["hi"].to_numpy(np.int64), chosen["lo"].to_numpy(np.int64), chosen["good"].to_numpy(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = np.ones(len(high), bool)  # a task sends a text once, however many copies it has
         for batch in batches:
             for start, end in blocks(batch.column(0)):
                 part = batch.slice(start, end - start)
-                w = words_of(part.column(0))
-                good = np.array([known.get(v.tobytes(), 0.5) for v in vote(w)])
-                rate = np.where(good >= 0.5, rates[1], rates[0])
-                chosen = np.flatnonzero((part.column(1).to_numpy() < rate) & (w.counts > 0))
-                if not len(chosen):
+                hi, lo = part.column(1).to_numpy(), part.column(2).to_numpy()
+                at = np.minimum(np.searchsorted(high, hi), len(high) - 1)
+                rows = np.flatnonzero((high[at] == hi) & (low[at] == lo))
+                _, first = np.unique(at[rows], return_index=True)
+                rows = rows[first]
+                rows = rows[fresh[at[rows]]]
+                if not len(rows):
                     continue
-                own = words_of(part.column(0).take(pa.array(chosen)))
+                fresh[at[rows]] = False
+                own = words_of(part.column(0).take(pa.array(rows)))
                 key = np.sort(np.concatenate([(own.text << bits) | f for f in features(own, bits)]))
-                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                n = np.diff(np.append(at, len(key)))
-                cut = np.searchsorted(key[at] >> bits, np.arange(own.n_texts + 1))
+                place = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                n = np.diff(np.append(place, len(key)))
+                cut = np.searchsorted(key[place] >> bits, np.arange(own.n_texts + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(good[chosen]),
-                        pa.array(w.counts[chosen], pa.int64()),
-                        pa.array([(key[at[a:b]] & ((1 << bits) - 1)).astype("<u2").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+                        pa.array(at[rows], pa.int64()),
+                        pa.array(own.counts, pa.int64()),
+                        pa.array([(key[place[a:b]] & ((1 << bits) - 1)).astype("<u2").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
                         pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
-                        part.column(1).take(pa.array(chosen)),
                     ],
-                    ["good", "words", "bucket", "n", "draw"],
+                    ["chosen", "words", "bucket", "n"],
                 )
 
-    draw = F.pmod(F.xxhash64(F.lit(5), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = docs.where(F.col(text).isNotNull()).select(text, draw.alias("draw")).where(F.col("draw") < max(rates))
-    rows = drawn.mapInArrow(run, "good double, words long, bucket binary, n binary, draw double").orderBy("draw").toPandas()
+    drawn = _digested(docs, text).where(F.col("hi") <= int(high.max()))
+    rows = drawn.mapInArrow(run, "chosen long, words long, bucket binary, n binary").dropDuplicates(["chosen"]).orderBy("chosen").toPandas()
     buckets = [np.frombuffer(b, "<u2") for b in rows["bucket"]]
     sizes = np.array([len(b) for b in buckets], np.int64)
     row, words = np.repeat(np.arange(len(rows)), sizes), rows["words"].to_numpy(float)
     column = np.concatenate([np.zeros(0, np.int64), *buckets]).astype(np.int64)
     value = np.concatenate([np.zeros(0), *(np.frombuffer(n, "<u4") for n in rows["n"])]) / (words[row] + FEW_WORDS)
-    target = rows["good"].to_numpy(float)
+    target = good[rows["chosen"].to_numpy(np.int64)]
     # Both classes weigh alike in training; the intercept then gets the share of good documents back.
     weight = np.where(target >= 0.5, 1 / max((target >= 0.5).sum(), 1), 1 / max((target < 0.5).sum(), 1))
     weights, b = fit_linear(row, column, value, 1 << bits, target, weight)
