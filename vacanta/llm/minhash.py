@@ -162,6 +162,16 @@ def _weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
     return ((1 + np.log(counts)) * idf[ids >> np.uint32(32 - IDF_BITS)]).astype(np.float32)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs, up to eight; nothing where all are 1."""
+    most = int(counts.max())
+    return b"" if most == 1 else counts.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max)).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if data else np.ones(n, np.int64)
+
+
 def sketches(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
     """(id, copy_hi, copy_lo, buckets) of documents with words: word sequence hash and bucket keys."""
 
@@ -210,13 +220,11 @@ def weighted_sets(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
             for start, end in blocks(batch.column(1)):
                 ids, counts, cut, _ = shingles(batch.column(1).slice(start, end - start))
                 rows = np.flatnonzero(np.diff(cut) > 0)
-                few = np.minimum(counts, 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, end - start).take(pa.array(rows, pa.int64())),
                         pa.array([ids[cut[i] : cut[i + 1]].tobytes() for i in rows], pa.binary()),
-                        # Counts above 255 are rare and have nearly the weight of 255.
-                        pa.array([b"" if (few[cut[i] : cut[i + 1]] == 1).all() else few[cut[i] : cut[i + 1]].tobytes() for i in rows], pa.binary()),
+                        pa.array([_packed(counts[cut[i] : cut[i + 1]]) for i in rows], pa.binary()),
                     ],
                     ["id", "ids", "counts"],
                 )
@@ -232,7 +240,7 @@ def _similarities(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weighted(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
             x = np.frombuffer(ids, np.uint32)
-            return x, _weights(x, np.frombuffer(counts, np.uint8) if counts else np.ones(len(x), np.uint8), idf.value).astype(np.float64)
+            return x, _weights(x, _unpacked(counts, len(x)), idf.value).astype(np.float64)
 
         for batch in batches:
             columns = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True))
