@@ -1,4 +1,5 @@
 import datetime
+import json
 from types import SimpleNamespace
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from vacanta.operators import triple_lock as tl
 from vacanta.operators.match import classify_group, match_keywords
 from vacanta.operators.prepare import text_date_bounds
+from vacanta.plans import catalog_jobs
 from vacanta.plans.views import TEST_DICTIONARY, ads
 from vacanta.sources import io
 from vacanta.sources.incremental import process_stale, stale_partitions, with_language
@@ -150,3 +152,17 @@ def test_date_bounds_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(tst_created,2023-12-31)" in plan and "LessThan(tst_created,2024-02-03)" in plan
     assert {r.x for r in df.collect()} == {1, 2, 3}
     assert text_date_bounds(df, "x", "2024-01-01", None) is df
+
+
+def test_dictionary_documents_are_bounded(spark, sf_dir, monkeypatch):
+    """Many documents instead of one, and the same result."""
+    whole = sorted(map(tuple, catalog_jobs.dictionary_files(spark, sf_dir).collect()))
+    n, folders = sum(r[2] for r in whole if r[0] == "validated"), []
+    for name in ("read_validated", "read_translations"):
+        read = getattr(catalog_jobs, name)
+        monkeypatch.setattr(catalog_jobs, name, lambda session, path, read=read: folders.append(path) or read(session, path))
+    monkeypatch.setattr(catalog_jobs, "DOCUMENT", 10, raising=False)
+    assert sorted(map(tuple, catalog_jobs.dictionary_files(spark, sf_dir).collect())) == whole
+    documents = [[json.loads(r.value) for r in spark.read.text(folder).collect()] for folder in folders]
+    sizes = [[len(d["keywords"]) for d in documents[0]], [sum(len(x["keywords"]) for x in d["translations"]["de"].values()) for d in documents[1]]]
+    assert all(sum(x) == n and max(x) <= 40 for x in sizes)

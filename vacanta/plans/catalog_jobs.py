@@ -15,6 +15,9 @@ from vacanta.plans.views import TEST_DICTIONARY, ads, order_group, postings, tab
 from vacanta.sources.io import read_code_map, read_isco_titles, read_occupation_map
 from vacanta.sources.staging import new_path
 
+#: Keywords of a written dictionary document, about.
+DOCUMENT = 10_000
+
 
 @query("job_calibration", ORACLES["v7_grid_sweep"])
 def job_calibration(spark, sf_dir):
@@ -145,14 +148,17 @@ def dictionary_files(spark, sf_dir):
         F.concat("p_name", "p_partkey").alias("keyword"), (F.col("p_size") % 3 + 1).alias("group"), F.lit("St").alias("source"),
         F.lit(0.5).alias("dhs_rate"), F.lit(1.5).alias("avg_ratio"),
     )
-    # A dictionary is a list that a user keeps: one document.
-    part.agg(F.to_json(F.struct(F.collect_list(record).alias("keywords"))).alias("value")).write.text(f"{base}/validated")
+    # Documents of bounded size, one per file: their number follows the table.
+    parts = -(-part.count() // DOCUMENT) or 1
+    documents = part.groupBy(F.pmod(F.xxhash64("p_brand", "p_partkey"), F.lit(parts)))
+    write = lambda value, name: documents.agg(F.to_json(value).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{base}/{name}")
+    write(F.struct(F.collect_list(record).alias("keywords")), "validated")
     form = F.concat_ws("-", "p_brand", "p_partkey")
     layers = [
         F.struct(F.collect_list(F.when(F.col("p_size") % 3 + 1 == k, form)).alias("keywords"), F.array().cast("array<string>").alias("proper_nouns")).alias(f"layer{k}")
         for k in (1, 2, 3)
     ]
-    part.agg(F.to_json(F.struct(F.struct(F.struct(*layers).alias("de")).alias("translations"))).alias("value")).write.text(f"{base}/translations")
+    write(F.struct(F.struct(F.struct(*layers).alias("de")).alias("translations")), "translations")
     validated = read_validated(spark, f"{base}/validated").groupBy(F.lit("validated").alias("file"), F.col("group").cast("string").alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.min("keyword").alias("first")
     )
