@@ -1,5 +1,7 @@
 """Language identification, quality, BPE, decontamination and language model."""
 
+from collections import Counter
+
 import brute
 import numpy as np
 import public_tokenizers
@@ -253,6 +255,38 @@ def test_language_model_equals_counting(spark, sf_dir, monkeypatch, shard):
         assert r.base_score == pytest.approx(expected[3], rel=1e-12, abs=1e-9) and r.score == pytest.approx(expected[4], rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("shard", [1 << 20, 40])
+def test_language_model_third_level_equals_counting(spark, monkeypatch, shard):
+    """A context of two words changes the score: pairs are alike in both orders, triples are not."""
+    monkeypatch.setattr("vacanta.llm.language_model.SHARD", shard)
+    monkeypatch.setattr("vacanta.llm.language_model.CONTEXT_PART", 7)
+    texts = ["a b c"] * 9 + ["x b d"] * 9 + ["a b d", "x b c", "a b c", "new b c", "a b new c", "b c", "", None, "a"] + [t for _, t, *_ in brute.AWKWARD]
+    rows = [(i, i % 5 != 2, t) for i, t in enumerate(texts)]
+    single, pair, triple = Counter(), Counter(), Counter()
+    for _, training, text in rows:
+        if training:
+            w = brute.tokens(text)
+            single.update(w)
+            pair.update(zip(w, w[1:], strict=False))
+            triple.update(zip(w, w[1:], w[2:], strict=False))
+    total, distinct = sum(single.values()), len(single)
+
+    def own(n, before):
+        return 2 ** (-min(254, round(-np.log2(n / (before + MASS)) * STEPS_PER_OCTAVE)) / STEPS_PER_OCTAVE) if n else 0.0
+
+    got = {r.id: r.trigram_score for r in score_texts(spark.createDataFrame(rows, "doc_id long, training boolean, text string").repartition(3)).collect()}
+    for i, _, text in rows:
+        w, expected = brute.tokens(text), 0.0
+        for k in range(len(w)):
+            p = (single[w[k]] + 1) / (total + distinct + 1)
+            for counts, before, n in ((pair, single[w[k - 1]], 1), (triple, pair[tuple(w[k - 2 : k])] if k > 1 else 0, 2)):
+                if k >= n and before:
+                    p = own(counts[tuple(w[k - n : k + 1])], before) + MASS / (before + MASS) * p
+            expected += np.log10(p)
+        assert got[i] == pytest.approx(expected, rel=1e-9, abs=1e-9)
+    assert got[texts.index("a b d")] < got[texts.index("a b c")] - 0.3 and got[texts.index("x b c")] < got[texts.index("x b d")] - 0.3
+
+
 def test_language_model_without_training_or_rows(spark, awkward, nothing):
     rows = score_texts(awkward.withColumn("training", F.lit(None).cast("boolean"))).collect()
     assert len(rows) == len(brute.AWKWARD) and all(r.base_score == 0 and r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in rows)

@@ -1,7 +1,7 @@
 """Language-model scoring with an n-gram trie in Elias-Fano levels.
 
 The corpus becomes blocks of some megabytes: a block's distinct words and its texts as numbers of
-these. Two rounds of requests go from blocks to shards and back:
+these. Three rounds of requests go from blocks to shards and back:
 
 1. Words. A shard holds a range of word hashes: it sums the training counts that the blocks send,
    keeps the words in a monotone level and answers each block with number and count of its words.
@@ -9,11 +9,16 @@ these. Two rounds of requests go from blocks to shards and back:
    builds a trie level (contexts, successors relative to their context, quantised probabilities), maps
    it from a file and answers the blocks' pairs by successor search with quantised probabilities.
 
+3. Word triples. Contexts are the word pairs that occur in training, named by a hash of 62 bits: a block
+   asks for the triples behind these only, with the pair's training count that the second round told it.
+   Shards work as in the second round.
+
 The probability is p(w | u) = c(u, w) / (c(u) + MASS) + MASS / (c(u) + MASS) * p(w), with
 p(w) = (c(w) + 1) / (N + V + 1); the first summand is what the trie stores, in steps of 1/8 octave. The
-first token of a text has p(w). A block asks once for a pair however often it holds it, so hot words
+first token of a text has p(w). ``score`` has these; ``trigram_score`` has p(w | t, u) = c(t, u, w) /
+(c(t, u) + MASS) + MASS / (c(t, u) + MASS) * p(w | u), and p(w | u) behind a pair that training lacks. A block asks once for a pair however often it holds it, so hot words
 and pairs cost one entry per block; a frequent context's successors are dealt to several shards by a
-rule on its total count. What is gathered are distinct words and pairs per block: it grows with the
+rule on its total count. What is gathered are distinct words, pairs and triples per block: it grows with the
 corpus. Blocks, shards and answers are bounded; the number of shards follows the corpus.
 
 Tokens are the runs of other characters than space, tab, line feed, vertical tab, form feed and
@@ -49,6 +54,7 @@ CONTEXT_PART = 100_000
 #: Weight of the lower order, in occurrences.
 MASS = 3.0
 STEPS_PER_OCTAVE = 8
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x9AE16A3B2F90404F)
 _U = np.uint64
 
@@ -223,6 +229,73 @@ class _Pairs:
         self.pair_count = np.bincount(self.pair[in_training], minlength=len(order))
 
 
+class _Triples:
+    """A block's distinct triples of known words behind pairs that training has, in the order of requests."""
+
+    def __init__(self, p: _Pairs, pair_count: np.ndarray, bits: int):
+        place = np.full(len(p.tokens), -1, np.int32)
+        place[p.at] = p.pair
+        starts = np.zeros(len(p.tokens), bool)
+        starts[np.cumsum(p.sizes) - p.sizes] = True
+        after = np.flatnonzero(~starts[1:] & (place[:-1] >= 0)) + 1
+        del starts
+        #: Tokens behind a pair that training has, known or not, and the count of that pair.
+        self.after = after[pair_count[place[after - 1]] > 0]
+        self.before = pair_count[place[self.after - 1]]
+        self.asked = place[self.after] >= 0
+        at = self.after[self.asked]
+        codes, seen = pd.factorize((place[at - 1].astype(np.int64) << 32) | p.tokens[at])
+        del place
+        left = seen >> 32
+        word = p.number[seen & 0xFFFFFFFF]
+        context = (mix(mix(p.context[left].astype(np.uint64)) + p.word[left].astype(np.uint64) * _ODD) >> _U(2)).astype(np.int64)
+        parts = 1 + pair_count[left] // CONTEXT_PART
+        shard = (mix(context.astype(np.uint64) + (word % parts).astype(np.uint64) * _ODD) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64)
+        order = np.lexsort((word, context, shard))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        #: For every token asked for: its triple's place in the order of requests.
+        self.triple = rank[codes]
+        self.shard, self.context, self.word = shard[order], context[order], word[order]
+        self.context_count = pair_count[left][order]
+        self.count = np.bincount(self.triple[np.repeat(p.training, p.sizes)[at]], minlength=len(order))
+
+
+def _requests(block: int, bits: int, shard: np.ndarray, contexts: np.ndarray, words: np.ndarray, totals: np.ndarray, counts: np.ndarray) -> list[dict]:
+    """A block's sorted contexts and successors by shard."""
+    out = []
+    cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
+    for s in np.flatnonzero(np.diff(cut)):
+        part = slice(cut[s], cut[s + 1])
+        context, word = contexts[part], words[part]
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        size = np.diff(np.append(first, len(context)))
+        names = context[first]
+        # Words as steps from the one before within their context.
+        step = np.diff(word, prepend=0)
+        step[first] = word[first]
+        out.append(
+            {
+                "shard": int(s), "block": block, "n": len(word), "n_contexts": len(names),
+                "contexts": pack(np.diff(names, prepend=0).astype(np.uint64)), "totals": pack(totals[part][first].astype(np.uint64)),
+                "sizes": pack(size.astype(np.uint32)), "words": pack(step.astype(np.uint64)), "counts": pack(counts[part].astype(np.uint32)),
+            }
+        )
+    return out
+
+
+def _level(told: list[dict], level: int) -> list[dict]:
+    return sorted((a for a in told if a["level"] == level), key=lambda a: a["shard"])
+
+
+def _codes(told: list[dict], level: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint8), *(unpack(a["numbers"], "u1", a["n"]) for a in _level(told, level))])
+
+
+def _pair_counts(told: list[dict]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(a["found"], "u4", a["n"]).astype(np.int64) for a in _level(told, 2))])
+
+
 def _pair_requests(bits: int):
     """A block and its word answers to its pairs by shard."""
 
@@ -230,23 +303,20 @@ def _pair_requests(bits: int):
         out = []
         for row in block.to_pylist():
             p = _Pairs(row, answers.to_pylist(), bits)
-            cut = np.searchsorted(p.shard, np.arange((1 << bits) + 1))
-            for s in np.flatnonzero(np.diff(cut)):
-                part = slice(cut[s], cut[s + 1])
-                context, word = p.context[part], p.word[part]
-                first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                size = np.diff(np.append(first, len(context)))
-                names = context[first]
-                # Words as steps from the one before within their context.
-                step = np.diff(word, prepend=0)
-                step[first] = word[first]
-                out.append(
-                    {
-                        "shard": int(s), "block": row["block"], "n": len(word), "n_contexts": len(names),
-                        "contexts": pack(np.diff(names, prepend=0).astype(np.uint64)), "totals": pack(p.context_count[part][first].astype(np.uint64)),
-                        "sizes": pack(size.astype(np.uint32)), "words": pack(step.astype(np.uint64)), "counts": pack(p.pair_count[part].astype(np.uint32)),
-                    }
-                )
+            out += _requests(row["block"], bits, p.shard, p.context, p.word, p.context_count, p.pair_count)
+        return pa.Table.from_pylist(out, PAIRS)
+
+    return run
+
+
+def _triple_requests(bits: int):
+    """A block and the answers to its words and pairs to its triples by shard."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        out, told = [], answers.to_pylist()
+        for row in block.to_pylist():
+            t = _Triples(_Pairs(row, _level(told, 1), bits), _pair_counts(told), bits)
+            out += _requests(row["block"], bits, t.shard, t.context, t.word, t.context_count, t.count)
         return pa.Table.from_pylist(out, PAIRS)
 
     return run
@@ -278,8 +348,8 @@ def _request(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return context, size, step - np.repeat(before, size), unpack(r["totals"], "u8", r["n_contexts"]).astype(np.int64)
 
 
-def _pair_shard(mass: float):
-    """Sum a shard's pairs, build its trie level, answer its blocks by successor search."""
+def _successor_shard(mass: float, counted: bool):
+    """Sum a shard's successors, build its trie level, answer its blocks by successor search, with counts if wanted."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -306,8 +376,10 @@ def _pair_shard(mass: float):
             context, size, word, _ = _request(r)
             inside = word < level.n_words
             found = level.find(context, size, np.where(inside, word, 0))
-            answer = np.where(inside & (found >= 0), code[np.maximum(found, 0)] if len(code) else 0, 0).astype(np.uint8)
-            out.append({"block": r["block"], "shard": r["shard"], "n": r["n"], "numbers": pack(answer), "found": b"", "total": 0, "distinct": 0})
+            there = inside & (found >= 0)
+            answer = np.where(there, code[np.maximum(found, 0)] if len(code) else 0, 0).astype(np.uint8)
+            count = pack(np.where(there, sums[np.maximum(found, 0)] if len(sums) else 0, 0).astype(np.uint32)) if counted else b""
+            out.append({"block": r["block"], "shard": r["shard"], "n": r["n"], "numbers": pack(answer), "found": count, "total": 0, "distinct": 0})
         return pa.Table.from_pylist(out, ANSWER)
 
     return run
@@ -320,9 +392,8 @@ def _scores(bits: int, total: int, distinct: int, mass: float):
         out = []
         for row in block.to_pylist():
             told = answers.to_pylist()
-            p = _Pairs(row, [a for a in told if not a["pairs"]], bits)
-            codes = [unpack(a["numbers"], "u1", a["n"]) for a in sorted((a for a in told if a["pairs"]), key=lambda a: a["shard"])]
-            code = np.concatenate([np.zeros(0, np.uint8), *codes])
+            p = _Pairs(row, _level(told, 1), bits)
+            code = _codes(told, 2)
             count = p.count[p.tokens].astype(np.float64)
             single = (count + 1) / (total + distinct + 1)
             joint = single.copy()
@@ -336,14 +407,20 @@ def _scores(bits: int, total: int, distinct: int, mass: float):
             rest = np.flatnonzero(~first & (count == 0))
             rest = rest[count[rest - 1] > 0]
             joint[rest] = mass / (count[rest - 1] + mass) * single[rest]
+            # Behind a pair of training: what the trie's third level has, and the rest from the pair alone.
+            third, t = joint.copy(), _Triples(p, _pair_counts(told), bits)
+            third[t.after] *= mass / (t.before + mass)
+            third[t.after[t.asked]] += probability(_codes(told, 3)[t.triple])
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
             base, score = np.add.reduceat(np.log10(single), starts), np.add.reduceat(np.log10(joint), starts)
+            trigram = np.add.reduceat(np.log10(third), starts)
             out.append(
                 pa.table(
                     {
                         "id": pa.array(row["ids"], pa.int64()), "training": pa.array(row["training"], pa.bool_()), "n_tokens": pa.array(p.sizes, pa.int64()),
                         "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(known), total), pa.int64()),
                         "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
+                        "trigram_score": pa.array(trigram, pa.float64()),
                     }
                 )
             )
@@ -352,8 +429,8 @@ def _scores(bits: int, total: int, distinct: int, mass: float):
     return run
 
 
-SCORE = pa.schema([("id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-SCORE_SCHEMA = "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE = pa.schema([("id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("trigram_score", pa.float64())])
+SCORE_SCHEMA = "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
 
 
 def _bits(n: int, most: int) -> int:
@@ -362,7 +439,7 @@ def _bits(n: int, most: int) -> int:
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", training: str = "training", mass: float = MASS) -> DataFrame:
-    """(id, training, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
+    """(id, training, n_tokens, n_known, train_tokens, base_score, score, trigram_score) per row of ``docs``.
 
     The model is learnt from the rows whose column ``training`` is true; all rows are scored.
     """
@@ -378,8 +455,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", traini
     answers = words.where("block >= 0").select("block", "shard", "n", "numbers", "found")
     texts = made.select("block", "ids", "training", "sizes", "tokens")
     pairs = texts.select("block", "training", "sizes", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_pair_requests(pair_bits), PAIRS_SCHEMA)
-    codes = pairs.groupBy("shard").applyInArrow(_pair_shard(mass), ANSWER_SCHEMA)
-    told = answers.withColumn("pairs", F.lit(False)).unionByName(
-        codes.select("block", "shard", "n", "numbers", F.lit(None).cast("binary").alias("found"), F.lit(True).alias("pairs"))
-    )
+    codes = stage(pairs.groupBy("shard").applyInArrow(_successor_shard(mass, True), ANSWER_SCHEMA), "lm_pairs")
+    told = answers.withColumn("level", F.lit(1)).unionByName(codes.select("block", "shard", "n", "numbers", "found", F.lit(2).alias("level")))
+    triples = texts.select("block", "training", "sizes", "tokens").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_triple_requests(pair_bits), PAIRS_SCHEMA)
+    third = triples.groupBy("shard").applyInArrow(_successor_shard(mass, False), ANSWER_SCHEMA)
+    told = told.unionByName(third.select("block", "shard", "n", "numbers", "found", F.lit(3).alias("level")))
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(pair_bits, total, distinct, mass), SCORE_SCHEMA)
