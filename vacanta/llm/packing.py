@@ -549,7 +549,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", mo
                 ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-    placed = coded.join(ranks, ["block", "rest"]).select(
+    # A merge join at any size: whether ids are shuffled must not depend on how many ranks there are.
+    placed = coded.join(ranks.hint("merge"), ["block", "rest"]).select(
         "id", "ids", "doc_tokens", "rest", (F.col("full_turn") + F.col("full_rank")).alias("full_at"), (F.col("rest_turn") + F.col("rest_rank")).alias("rest_at")
     )
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in ("doc_tokens", "sequence_id", "offset")])
