@@ -103,9 +103,10 @@ def test_hashes_of_edits_are_those_of_the_edited_words():
 
     for i, rows, h in spelling.deletions(points):
         assert [of(words[r][:i] + words[r][i + 1 :]) for r in rows] == h.tolist()
-    for i, letter, rows, h in spelling.replacements(points):
-        assert [of(words[r][:i] + chr(letter) + words[r][i + 1 :]) for r in rows] == h.tolist()
-        assert all(ord(words[r][i]) < letter for r in rows)
+    for i, rows, letters, h in spelling.replacements(points):
+        assert [of(words[r][:i] + chr(c) + words[r][i + 1 :]) for r, c in zip(rows, letters, strict=True)] == h.tolist()
+        assert all(ord(words[r][i]) > c for r, c in zip(rows, letters, strict=True))
+        assert [(r, c) for r, w in enumerate(words) for c in spelling.LETTERS.tolist() if c < ord(w[i])] == list(zip(rows.tolist(), letters.tolist(), strict=True))
 
 
 def test_passes_cover_every_length_within_the_bound():

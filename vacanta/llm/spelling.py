@@ -7,7 +7,8 @@ Only edits that a filter has meet the vocabulary, in an exact join on the edited
 the filter had by chance.
 
 A pair of near words is generated once: the longer word deletes (one of a run of equal letters), and of
-two words of one length the one with the smaller letter replaces it by the larger ones. Hashes of edits
+two words of one length the one with the larger letter replaces it by all smaller ones, which are few for
+a-z. Hashes of edits
 come from prefix sums of the word's polynomial hash, so an edit costs the same at any word length, and
 the edited word is only written out once a filter has it.
 
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacanta.llm.batches import for_texts, mix
+from vacanta.llm.bpe import ragged
 from vacanta.sources.staging import stage, unstage
 
 #: Code points of the shortest word, least occurrences, and how many times as frequent a form must be.
@@ -45,22 +47,24 @@ FORM_RATIO = 10
 SLIP = 31
 #: All letters of a word: a-z and U+00C0 to U+00FF, and A-Z that are lower-cased.
 LETTERS = np.array([*range(0x61, 0x7B), *range(0xC0, 0x100)], np.uint32)
-#: Bits of filter per word, bits set by a word within its block, and bytes of filters in a pass.
+#: Bits of filter per word, bits set by a word within its block (at most), and bytes of filters in a pass.
 FILTER_BITS = 24
 FILTER_SET = 5
+MASK_BITS = 16
 FILTER_BYTES = 32 << 20
 #: Blocks (8 bytes) of a packed segment.
 SEGMENT = 8192
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 200_000
-#: Edits that are hashed at once.
-EDITS = 1 << 20
+#: Edits that are hashed at once, about.
+EDITS = 1 << 18
 
 _RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{LEAST_LENGTH},}}")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUE = mix(np.arange(1, 0x101, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+_MASKS = np.bitwise_or.reduce(_U(1) << np.random.default_rng(5).integers(0, 64, (1 << MASK_BITS, FILTER_SET)).astype(np.uint64), axis=1)
 
 
 def slipped(run: str, start: int) -> str:
@@ -105,8 +109,8 @@ def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def hashes(points: np.ndarray) -> np.ndarray:
-    """64-bit hash of every row of code points."""
-    return mix(_sums(points)[:, -1] + _U(points.shape[1]))
+    """64-bit polynomial hash of every row of code points; compared within one word length only."""
+    return _sums(points)[:, -1]
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -133,11 +137,9 @@ def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def block_and_mask(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Block of a filter of that many, and the bits that a word has in it."""
-    block = ((h >> _U(32)) * _U(blocks)) >> _U(32)
-    low, mask = mix(h ^ _U(_BASE)), np.zeros(len(h), np.uint64)
-    for k in range(FILTER_SET):
-        mask |= _U(1) << ((low >> _U(6 * k)) & _U(63))
-    return block.astype(np.int64), mask
+    z = (h ^ (h >> _U(31))) * _U(_BASE)
+    block = ((z >> _U(32)) * _U(blocks)) >> _U(32)
+    return block.view(np.int64), _MASKS[((z >> _U(12)) & _U((1 << MASK_BITS) - 1)).view(np.int64)]
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -212,20 +214,20 @@ def deletions(points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     sums, length = _sums(points), points.shape[1]
     for i in range(length):
         rows = np.flatnonzero(points[:, i] != points[:, i + 1]) if i + 1 < length else np.arange(len(points))
-        yield i, rows, mix(sums[rows, i] + (sums[rows, -1] - sums[rows, i + 1]) * _U(_INVERSE) + _U(length - 1))
+        yield i, rows, sums[rows, i] + (sums[rows, -1] - sums[rows, i + 1]) * _U(_INVERSE)
 
 
-def replacements(points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(place, letter, rows, hashes) of words with one letter replaced by a larger one."""
-    sums, length = _sums(points)[:, -1], points.shape[1]
+def replacements(points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, rows, letters, hashes) of words with one letter replaced by a smaller one."""
+    sums, length = hashes(points), points.shape[1]
     powers = _powers(length, _BASE)
+    smaller = np.searchsorted(LETTERS, np.arange(0x100))
     for i in range(length):
-        order = np.argsort(points[:, i], kind="stable")
-        smaller = np.searchsorted(points[order, i], LETTERS)
-        rest = sums[order] - _VALUE[points[order, i]] * powers[i] + _U(length)
-        for letter, n in zip(LETTERS.tolist(), smaller.tolist(), strict=True):
-            if n:
-                yield i, letter, order[:n], mix(rest[:n] + _VALUE[letter : letter + 1] * powers[i : i + 1])
+        size = smaller[points[:, i]]
+        rows = np.repeat(np.arange(len(points)), size)
+        letters = ragged(np.zeros(len(points), np.int64), size)
+        rest = sums - _VALUE[points[:, i]] * powers[i]
+        yield i, rows, LETTERS[letters], rest[rows] + (_VALUE[LETTERS] * powers[i])[letters]
 
 
 def candidates(words: DataFrame, wanted: list[tuple[int, int, int, int]], filters) -> DataFrame:
@@ -244,7 +246,7 @@ def candidates(words: DataFrame, wanted: list[tuple[int, int, int, int]], filter
         for batch in batches:
             for at, points in by_length(batch.column(0)):
                 length = points.shape[1]
-                step = max(1, EDITS // (len(LETTERS) * length))
+                step = max(1, EDITS // max(len(LETTERS), length))
                 for k in range(0, len(at), step):
                     rows, some = at[k : k + step], points[k : k + step]
                     if length - 1 in lengths:
@@ -253,11 +255,12 @@ def candidates(words: DataFrame, wanted: list[tuple[int, int, int, int]], filter
                             if len(hit):
                                 yield told(batch, rows[hit], np.delete(some[hit], i, axis=1))
                     if length in lengths:
-                        for i, letter, which, h in replacements(some):
-                            hit = which[_has(own, length, h)]
-                            if len(hit):
+                        for i, which, letters, h in replacements(some):
+                            found = np.flatnonzero(_has(own, length, h))
+                            if len(found):
+                                hit = which[found]
                                 edited = some[hit]
-                                edited[:, i] = letter
+                                edited[:, i] = letters[found]
                                 yield told(batch, rows[hit], edited)
 
     near = words.where(F.length("word").isin(sorted(lengths | {n + 1 for n in lengths})))
