@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from vacanta.llm.batches import table
 from vacanta.llm.components import components
 from vacanta.llm.forest import near_embeddings
 from vacanta.llm.queries import QUERIES
+from vacanta.sources.staging import stage
 
 
 @pytest.mark.parametrize(("n", "m"), [(1, 0), (40, 25), (200, 190)])
@@ -96,13 +98,72 @@ def test_bucket_rounds_lose_no_link(spark):
     df = documents(spark, texts)
     idf = spark.sparkContext.broadcast(minhash.idf_table(df, "text"))
     sets = minhash.weighted_sets(df, idf, "doc_id", "text")
-    members = df.select(F.lit(1).cast("long").alias("bucket"), F.col("doc_id").alias("id"), F.lit(True).alias("open"))
+    members = df.select(F.lit(1).cast("long").alias("bucket"), F.col("doc_id").alias("id"), F.lit(100).cast("long").alias("size"))
     links = [(r.a, r.b) for r in minhash.bucket_links(members, sets, idf).collect()]
     plain = {i: brute.shingles(t) for i, t in texts}
     expected = [(a, b) for a in plain for b in plain if a < b and brute.jaccard(plain[a], plain[b]) >= 0.8]
     assert brute.unite(plain, links) == brute.unite(plain, expected)
 
 
+def test_a_large_group_below_the_threshold_makes_few_rows(spark, monkeypatch):
+    """Copies edited at random, most pairs near 0.7, in several chunks: all groups right, rows follow the members."""
+    monkeypatch.setattr(minhash, "CHUNK", 64)
+    rng = random.Random(12)
+    base, texts = prose(rng, 150), []
+    for i in range(500):
+        own = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            own[rng.randrange(150)] = f"edit{rng.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    made = []
+    for name in ("with_leaders", "among_members"):
+        monkeypatch.setattr(minhash, name, lambda *a, f=getattr(minhash, name): made.append(stage(f(*a), "made")) or made[-1])
+    df = documents(spark, texts)
+    found = groups(df)
+    ids, counts, cut, _ = minhash.shingles(pa.array([t for _, t in texts]))
+    sets = [(ids[a:b], counts[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+    alike = minhash.similarities(sets, sets, minhash.idf_table(df, "text"))
+    assert 0.6 < np.median(alike) < 0.8
+    wanted = brute.unite(range(500), [(a, b) for a, b in zip(*np.nonzero(alike >= 0.8), strict=True) if a < b])
+    # A pair may miss all bands with a probability of 0.04 % at most; here nearly all have other ways.
+    assert sum(found[i] != wanted[i] for i in wanted) <= 2
+    assert 40 < len(set(wanted.values())) and made[0].count() <= minhash.BANDS * 500 and made[1].count() <= 9 * minhash.BANDS * 500
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matrix_similarities_equal_plain_sums(seed):
+    rng = np.random.default_rng(seed)
+    idf = rng.uniform(0.9, 1, 1 << minhash.IDF_BITS).astype(np.float32)
+    pool = np.sort(rng.choice(2**32, 80, replace=False)).astype(np.uint32)
+
+    def some(n):
+        out = []
+        for _ in range(n):
+            own = np.sort(rng.choice(pool, rng.integers(1, 60), replace=False))
+            out.append((own, np.where(rng.random(len(own)) < 0.7, 1, rng.integers(1, 400, len(own)))))
+        return out
+
+    def plain(a, b):
+        weight = lambda x: {int(i): (1 + np.log(c)) * float(idf[i >> np.uint32(32 - minhash.IDF_BITS)]) for i, c in zip(*x, strict=True)}
+        p, q = weight(a), weight(b)
+        common = sum(min(p[i], q[i]) for i in p.keys() & q.keys())
+        return common / (sum(p.values()) + sum(q.values()) - common)
+
+    left, right = some(7), some(5)
+    assert np.allclose(minhash.similarities(left, right, idf), [[plain(a, b) for b in right] for a in left], atol=1e-12)
+    assert np.allclose(minhash.similarities(left, left, idf), [[plain(a, b) for b in left] for a in left], atol=1e-12)
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    rng = random.Random(13)
+    a, b, c = (" ".join(prose(rng, 80)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a + " more"), (2, b), (3, c), (None, a), (0, c + " x")]
+    for some in (rows, rows[::-1]):
+        kept = minhash.without_near_duplicates(documents(spark, some).selectExpr("*", "'x' AS row", "2 AS c0").repartition(3))
+        assert kept.columns == ["doc_id", "text", "row", "c0"]
+        assert sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(False, 1, min(a, a + " more", key=brute.sha)), (False, 1, b), (False, 0, c + " x"), (True, 0, a)])
+
+
 def test_counts_of_long_repetitive_texts_are_whole(spark):
     """About 0.81 with true counts and 0.77 with counts cut to 255; about 0.74 with true counts and 1 with cut ones."""
     rng = random.Random(10)
@@ -112,8 +173,8 @@ def test_counts_of_long_repetitive_texts_are_whole(spark):
     texts += [(4 + i, " ".join(prose(rng, 50))) for i in range(60)]
     df = documents(spark, texts)
     idf = spark.sparkContext.broadcast(minhash.idf_table(df, "text"))
-    pairs = spark.createDataFrame([(1, 0), (3, 2)], "id long, leader long")
-    found = {r.id: r.similarity for r in minhash._similarities(pairs, minhash.weighted_sets(df, idf, "doc_id", "text"), idf).collect()}
+    members = spark.createDataFrame([(1, 0, 100), (1, 1, 100), (2, 2, 100), (2, 3, 100)], "bucket long, id long, size long")
+    found = {r.id: r.similarity for r in minhash.with_leaders(members, minhash.weighted_sets(df, idf, "doc_id", "text"), idf).collect()}
     assert 0.80 < found[1] < 0.82 and 0.73 < found[3] < 0.76
     expected = {i: i for i in range(64)} | {1: 0}
     assert groups(df) == expected

@@ -1,18 +1,23 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its word shingles (five words): weight = (1 + ln tf) * idf. Consistent
-weighted sampling draws ``SAMPLES`` shingles such that two documents draw the same one with the
-probability of their weighted Jaccard similarity. Bands of ``ROWS`` draws are buckets; documents that
-share a bucket and lie in one size class (weighted Jaccard cannot exceed the ratio of total weights)
-are candidates, and every accepted link is verified by the exact weighted Jaccard similarity.
-
-Buckets of any size are worked off without forming all pairs. In rounds, each bucket elects leaders,
-all its members are compared with them, and a member leaves the bucket once the triangle inequality
-of the Jaccard distance, with the leader it is linked to, rules out a link to any document that is not
-linked to that leader. After each round connected members are one group: they are not compared with one
-another, a bucket of one group is done, and the next leaders come from outside the largest group. A
-near-copy group thus takes few comparisons per document. Documents with equal
-word sequences are one candidate; the copies join their representative's class directly.
+weighted sampling draws ``BANDS`` times ``ROWS`` shingles such that two documents draw the same one with
+the probability of their weighted Jaccard similarity. Each band of ``ROWS`` draws of its own is a bucket;
+documents that share a bucket and lie in one size class (weighted Jaccard cannot exceed the ratio of total
+weights) are candidates, and every accepted link is verified by the exact weighted Jaccard similarity. A
+pair of similarity s shares no band with the probability (1 - s**4)**15: 0.04 % at 0.80, 0.005 % at 0.85.
+
+No pairs leave a task. Buckets with the same members are one. First, every member of a bucket is compared
+with the bucket's leader, and leaves once the triangle inequality of the Jaccard distance rules out a link
+to any document that is not linked to that leader, so a tight group costs one comparison per document.
+What is left, where it is not connected already, is compared in blocks: a bucket's members are dealt to
+chunks of bounded size, a task holds two chunks, and the similarities of all their documents are one
+matrix product over the shingles that both have. The task tells a spanning forest of the links it finds,
+at most one row per document. So rows follow the number of members; a bucket of n mutually unlike members
+takes n * n multiplications in tasks of bounded size, and no cap drops any of them.
+
+Documents with equal word sequences are one candidate; the copies join their representative's class
+directly.
 
 Document frequencies are counted over all documents in 2**IDF_BITS hashed buckets (their table is what
 is broadcast, 1 MB). idf is 1 for shingles of one document and falls by at most ``IDF_SPAN`` for those
@@ -20,9 +25,9 @@ that are everywhere: a stronger span would drop links inside large groups of nea
 shared shingles are frequent because of the group itself.
 
 Defined results: documents without a word (null, empty, marks only) link with nothing; texts of fewer
-than five words are one shingle of all their words; rows that share an id are one document; rows with
-a null id link with nothing and are kept; ties go to the smallest id; an empty table gives an empty
-table. Words are those of benchmark decontamination (A-Z lower-cased).
+than five words are one shingle of all their words; rows that share an id are one document, whose best
+text counts; rows with a null id link with nothing and are kept; ties go to the smallest id; an empty
+table gives an empty table. Words are those of benchmark decontamination (A-Z lower-cased).
 """
 
 from __future__ import annotations
@@ -40,15 +45,16 @@ from vacanta.sources.staging import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLES = 40
-ROWS = 5
-BANDS = 20
+ROWS = 4
+BANDS = 15
+SAMPLES = ROWS * BANDS
 IDF_BITS = 18
 IDF_SPAN = 0.1
-#: Leaders of a bucket in the first round are one; every round has this many times as many.
-LEADER_GROWTH = 8
-#: Most candidate ids (8 bytes each) that are broadcast to pick their sets; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Documents, and shingles of them, that a chunk of a bucket has, about.
+CHUNK = 1024
+CHUNK_SHINGLES = 2_000_000
+#: Shingles of a matrix product at once.
+COLUMNS = 2048
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.6
 
@@ -68,7 +74,7 @@ def sampling_plan() -> tuple:
             high, low = np.where(above, x, high), np.where(above, low, x)
         gamma = ((low + high) / 2).astype(np.float32)
         rng = np.random.default_rng(11)
-        picks = np.stack([rng.choice(SAMPLES, ROWS, replace=False) for _ in range(BANDS)])
+        picks = np.arange(SAMPLES).reshape(BANDS, ROWS)
         seeds = rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | _U(1)
         _PLAN.append((gamma, np.log(gamma), (q * 1.0).astype(np.float32), picks, seeds))
     return _PLAN[0]
@@ -173,7 +179,7 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
-    """(id, copy_hi, copy_lo, buckets) of documents with words: word sequence hash and bucket keys."""
+    """(id, copy_hi, copy_lo, size, buckets) of documents with words: word sequence hash, shingles and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, _, picks, _ = sampling_plan()
@@ -202,13 +208,14 @@ def sketches(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
                         batch.column(0).slice(start, end - start).take(pa.array(rows)),
                         pa.array(order[rows, 0].view(np.int64)),
                         pa.array(order[rows, 1].view(np.int64)),
+                        pa.array(np.diff(cut)[rows], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(values))),
                     ],
-                    ["id", "copy_hi", "copy_lo", "buckets"],
+                    ["id", "copy_hi", "copy_lo", "size", "buckets"],
                 )
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, copy_hi long, copy_lo long, buckets array<long>"
+        run, "id long, copy_hi long, copy_lo long, size long, buckets array<long>"
     )
 
 
@@ -232,86 +239,177 @@ def weighted_sets(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, ids binary, counts binary")
 
 
-def _similarities(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
-    """(id, leader, similarity): exact weighted Jaccard similarity of every pair."""
-    left = sets.select("id", F.col("ids").alias("ids_a"), F.col("counts").alias("counts_a"))
-    right = sets.select(F.col("id").alias("leader"), F.col("ids").alias("ids_b"), F.col("counts").alias("counts_b"))
+def similarities(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of all (shingles, counts) sets on the left with all on the right.
+
+    The smaller of two weights is a sum over levels: a count reaches every level up to itself, and a
+    level adds the logarithm of its step. So common weight is a product of 0-1 matrices.
+    """
+    rows = left if right is left else left + right
+    sizes = np.array([len(ids) for ids, _ in rows])
+    ids, counts = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    row = np.repeat(np.arange(len(rows)), sizes)
+    factor = idf[ids >> np.uint32(32 - IDF_BITS)].astype(np.float64)
+    total = np.bincount(row, (1 + np.log(counts)) * factor, len(rows))
+    key, step = ids.astype(np.uint64) << _U(32), factor
+    many = np.flatnonzero(counts > 1)
+    if len(many):
+        levels = np.unique(counts[many])
+        reached = np.searchsorted(levels, counts[many], "right")
+        level = np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached)
+        at = np.repeat(many, reached)
+        rise = np.diff(np.log(levels), prepend=0.0)
+        key, row, step = np.concatenate([key, key[at] + level.astype(np.uint64) + _U(1)]), np.concatenate([row, row[at]]), np.concatenate([step, factor[at] * rise[level]])
+    order = np.argsort(key, kind="stable")
+    key, row, step = key[order], row[order], step[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    column = np.cumsum(first) - 1
+    # A shingle of one document is common to no pair.
+    shared = np.bincount(column)[column] > 1
+    column, row, step = column[shared], row[shared], step[shared]
+    first = np.concatenate([[True], column[1:] != column[:-1]]) if len(column) else np.zeros(0, bool)
+    column = np.cumsum(first) - 1
+    n, m = len(left), len(right)
+    common = np.zeros((n, m))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        width = int(column[b - 1]) + 1 - low
+        has = np.zeros((len(rows), width))
+        has[row[a:b], column[a:b] - low] = 1
+        weight = np.zeros(width)
+        weight[column[a:b] - low] = step[a:b]
+        common += (has[:n] * weight) @ (has.T if right is left else has[n:].T)
+    out = common / (total[:n, None] + (total if right is left else total[n:])[None, :] - common)
+    if right is left:
+        np.fill_diagonal(out, 1.0)
+    return out
+
+
+def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the symmetric matrix ``linked`` connects, one less than members per component."""
+    seen, out = np.zeros(len(linked), bool), []
+    for start in np.flatnonzero(linked.any(axis=1)).tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        frontier = np.array([start])
+        while len(frontier):
+            reach = linked[frontier]
+            fresh = np.flatnonzero(reach.any(axis=0) & ~seen)
+            out += zip(frontier[reach[:, fresh].argmax(axis=0)].tolist(), fresh.tolist(), strict=True)
+            seen[fresh] = True
+            frontier = fresh
+    return out
+
+
+def _tasks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (bucket, part, side, id, group) with their sets, the rows of a part together and in order of sides."""
+    return rows.join(sets, "id").select("bucket", "part", "side", "id", "group", "ids", "counts").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """(bucket, rows) of each part of ``_tasks``; a part is held whole and is bounded by two chunks."""
+    key, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["bucket"], row["part"]) != key:
+                if held:
+                    yield key[0], held
+                key, held = (row["bucket"], row["part"]), []
+            held.append(row)
+    if held:
+        yield key[0], held
+
+
+def _sets(rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    found = [np.frombuffer(r["ids"], np.uint32) for r in rows]
+    return [(x, _unpacked(r["counts"], len(x))) for x, r in zip(found, rows, strict=True)]
+
+
+def _chunked(members: DataFrame) -> DataFrame:
+    """``members`` with ``chunks``, the number of chunks of their bucket, and ``chunk``, their own.
+
+    What is known of a bucket is staged, so that adaptive execution can split a hot bucket's join.
+    """
+    known = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES))
+    known = stage(known.where("n > 1").select("bucket", chunks.alias("chunks")), "chunks")
+    return members.join(known, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+
+
+def with_leaders(members: DataFrame, sets: DataFrame, idf) -> DataFrame:
+    """(bucket, id, leader, similarity) of every member but the leader, its bucket's smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def weighted(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-            x = np.frombuffer(ids, np.uint32)
-            return x, _weights(x, _unpacked(counts, len(x)), idf.value).astype(np.float64)
+        for bucket, rows in _parts(batches):
+            own, lead = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+            if not own:
+                continue
+            nearest: dict[int, float] = {}
+            # Rows that share an id are one document: its best text counts.
+            for r, s in zip(own, similarities(_sets(own), _sets(lead), idf.value).max(axis=1).tolist(), strict=True):
+                nearest[r["id"]] = max(s, nearest.get(r["id"], 0.0))
+            n = len(nearest)
+            columns = [pa.array([bucket] * n, pa.int64()), pa.array(list(nearest), pa.int64()), pa.array([lead[0]["id"]] * n, pa.int64()), pa.array(list(nearest.values()), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "id", "leader", "similarity"])
+
+    chunked = stage(_chunked(members), "chunked")
+    leaders = chunked.groupBy("bucket", "chunks").agg(F.min("id").alias("leader"))
+    own = chunked.join(stage(leaders.select("bucket", "leader"), "leaders"), "bucket").where("id <> leader")
+    own = own.select("bucket", F.col("chunk").alias("part"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("group"))
+    each = leaders.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), F.lit(1).alias("side"), F.col("leader").alias("id"), F.lit(0).cast("long").alias("group"))
+    return _tasks(own.unionByName(each), sets).mapInArrow(run, "bucket long, id long, leader long, similarity double")
+
+
+def among_members(members: DataFrame, sets: DataFrame, idf, similarity: float) -> DataFrame:
+    """(a, b): links that connect whatever is similar enough in a bucket and in different groups."""
 
-        for batch in batches:
-            columns = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True))
-            out = []
-            last, right_set = None, None
-            for i in range(batch.num_rows):
-                a, wa = weighted(columns["ids_a"][i], columns["counts_a"][i])
-                if columns["leader"][i] != last:
-                    last, right_set = columns["leader"][i], weighted(columns["ids_b"][i], columns["counts_b"][i])
-                b, wb = right_set
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                shared = b[at] == a
-                common = np.minimum(wa[shared], wb[at[shared]]).sum()
-                out.append(common / (wa.sum() + wb.sum() - common))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("leader"), pa.array(out, pa.float64())], ["id", "leader", "similarity"])
-
-    both = pairs.join(left, "id").join(right, "leader").select("id", "leader", "ids_a", "counts_a", "ids_b", "counts_b")
-    # Rows that share an id are one document: its best text counts.
-    return both.mapInArrow(run, "id long, leader long, similarity double").groupBy("id", "leader").agg(F.max("similarity").alias("similarity"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _parts(batches):
+            group = np.array([r["group"] for r in rows], np.int64)
+            if (group == group[0]).all():
+                continue
+            n = sum(r["side"] == 0 for r in rows)
+            own = _sets(rows)
+            linked = np.zeros((len(rows), len(rows)), bool)
+            if n == len(rows):
+                linked = similarities(own, own, idf.value) >= similarity
+            elif n:
+                linked[:n, n:] = similarities(own[:n], own[n:], idf.value) >= similarity
+                linked |= linked.T
+            linked &= group[:, None] != group[None, :]
+            found = spanning_forest(linked)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["id"] for i, _ in found], pa.int64()), pa.array([rows[j]["id"] for _, j in found], pa.int64())], ["a", "b"])
+
+    chunked = _chunked(members)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
+    pairs = chunked.select("bucket", "id", "group", "chunk", "chunks", other)
+    part = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
+    rows = pairs.select("bucket", part.alias("part"), F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "group")
+    return _tasks(rows, sets).mapInArrow(run, "a long, b long")
 
 
 def bucket_links(members: DataFrame, sets: DataFrame, idf, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): verified links that connect all documents which share a bucket and are similar enough.
 
-    What is aggregated per bucket or leader is staged before it is joined back, so that adaptive
-    execution can split the hot side of that join. ``members`` has the distinct (bucket, id) of buckets with two documents or more.
+    What is aggregated per bucket is staged before it is joined back, so that adaptive execution can
+    split the hot side of that join. ``members`` has the distinct (bucket, id, size) of buckets with
+    two documents or more; size is the number of shingles.
     """
-    far = 1 - similarity
-    known, leaders_per_bucket = None, 1
-    members = members.withColumn("group", F.col("id"))
-    while not members.isEmpty():
-        if known is None:
-            leaders = members.groupBy("bucket").agg(F.min("id").alias("leader")).withColumn("leader_group", F.col("leader"))
-        else:
-            # The first few by id, kept small before the shuffle by the rank limit.
-            ranked = members.where("open").selectExpr("bucket", "id", "group", "row_number() OVER (PARTITION BY bucket ORDER BY id) AS k")
-            leaders = ranked.where(F.col("k") <= leaders_per_bucket).select("bucket", F.col("id").alias("leader"), F.col("group").alias("leader_group"))
-        leaders = stage(leaders, "leaders")
-        # Members of one group are connected already.
-        faced = members.join(leaders, "bucket").where("id <> leader AND group <> leader_group").select("bucket", "id", "leader")
-        faced = stage(faced, "faced")
-        pairs = faced.select("id", "leader").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["id", "leader"], "left_anti")
-        fresh = stage(_similarities(pairs, sets, idf), "similarities")
-        known = fresh if known is None else known.unionByName(fresh)
-        links = known.where(F.col("similarity") >= similarity).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-        judged = faced.join(known, ["id", "leader"]).withColumn("distance", 1 - F.col("similarity"))
-        # Per bucket and leader: the nearest member that is not linked to it.
-        linked = F.col("similarity") >= similarity
-        nearest = judged.groupBy("bucket", "leader").agg(F.min(F.when(~linked, F.col("distance"))).alias("nearest"))
-        ruled_out = F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > far + 1e-9)
-        settled = judged.join(stage(nearest, "nearest"), ["bucket", "leader"]).where(linked & ruled_out).select("bucket", "id").distinct()
-        # Leaders have met everyone in their bucket and leave it.
-        left = members.select("bucket", "id").join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-        left = stage(left.join(settled, ["bucket", "id"], "left_anti"), "left")
-        if left.isEmpty():
-            break
-        # What is connected by any link so far is one group. Next to lead are the members outside
-        # their bucket's largest group; a bucket of one group is done.
-        groups = stage(components(links), "groups")
-        placed = left.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group"))
-        placed = stage(placed, "placed")
-        sizes = placed.groupBy("bucket", "group").agg(F.count("*").alias("n")).groupBy("bucket")
-        sizes = sizes.agg(F.max(F.struct("n", "group")).alias("largest"), F.count("*").alias("n_groups")).where("n_groups > 1")
-        largest = stage(sizes.select("bucket", F.col("largest.group").alias("main")), "largest")
-        members = stage(placed.join(largest, "bucket").select("bucket", "id", "group", (F.col("group") != F.col("main")).alias("open")), "members")
-        leaders_per_bucket *= LEADER_GROWTH
-    if known is None:
-        return members.sparkSession.createDataFrame([], "a long, b long")
-    return links
+    judged = stage(with_leaders(members, sets, idf).withColumn("distance", 1 - F.col("similarity")), "judged")
+    linked = F.col("similarity") >= similarity
+    links = judged.where(linked).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    # Per bucket: the nearest member that is not linked to the leader. Leaders have met everyone.
+    nearest = judged.groupBy("bucket").agg(F.min(F.when(~linked, F.col("distance"))).alias("nearest")).where("nearest IS NOT NULL")
+    ruled_out = F.col("nearest") - F.col("distance") > 1 - similarity + 1e-9
+    left = judged.join(stage(nearest, "nearest"), "bucket").where(~(linked & ruled_out)).select("bucket", "id")
+    # What is connected so far is one group; a bucket of one group is done.
+    groups = stage(components(links), "groups")
+    placed = stage(left.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group")), "placed")
+    several = placed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("bucket")
+    open_ones = placed.join(stage(several, "several"), "bucket", "left_semi").join(members.select("bucket", "id", "size"), ["bucket", "id"])
+    return links.unionByName(stage(among_members(open_ones, sets, idf, similarity), "links"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -325,13 +423,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first = drawn.groupBy("copy_hi", "copy_lo").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("copy_hi", "copy_lo", "first")
     copies = stage(drawn.select("id", "copy_hi", "copy_lo").join(stage(first, "first"), ["copy_hi", "copy_lo"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")), "copies")
     # Copies leave before the buckets are spread out.
-    alone = drawn.select("id", "buckets").join(copies.select(F.col("a").alias("id")), "id", "left_anti")
-    singles = alone.select("id", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    sizes = singles.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    members = stage(singles.join(stage(sizes, "sizes"), "bucket", "left_semi").withColumn("open", F.lit(True)), "members")
+    alone = drawn.select("id", "size", "buckets").join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    singles = alone.select("id", "size", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket", "id").agg(F.max("size").alias("size"))
+    # Bands of one group mostly have the same members: one bucket of them is enough.
+    told = [F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("parity")]
+    kinds = singles.groupBy("bucket").agg(*told).where("low < high").groupBy("n", "low", "high", "total", "parity").agg(F.min("bucket").alias("bucket"))
+    members = stage(singles.join(stage(kinds.select("bucket"), "buckets"), "bucket", "left_semi"), "members")
     wanted = stage(members.select("id").distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
     sets = stage(weighted_sets(known, idf, key, text).join(wanted, "id", "left_semi"), "sets")
     links = bucket_links(members, sets, idf, similarity).unionByName(copies)
     groups = components(links)
@@ -342,13 +440,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per group of ``docs``, and all rows with a null id, with the columns of ``docs``.
+    """One row per group of near duplicates, and all rows with a null id, with the columns of ``docs``.
 
-    Of rows that share the kept id one stays, whichever Spark finds first.
+    The smallest id of a group stays. Where ids repeat, every row is judged on its own: unlike texts of
+    one id all stay, and of alike ones the smallest text of the smallest id.
     """
-    gone = stage(near_duplicates(docs, key, text, similarity).where(~F.col("kept")).select(F.col("id").alias("_gone")), "gone")
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
     repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
     if repeated.isEmpty():
-        return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+        gone = near_duplicates(docs, key, text, similarity).where(~F.col("kept")).select(F.col("id").alias("_gone"))
+        return docs.join(stage(gone, "gone"), F.col(key) == F.col("_gone"), "left_anti")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, body = (F.col(names[docs.columns.index(c)]) for c in (key, text))
+    rows = stage(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.where(own.isNotNull()), "row", names[docs.columns.index(text)], similarity)
+    placed = groups.select("group_id", F.col("id").alias("row")).join(rows.select("row", own.alias("own"), F.sha2(body, 256).alias("digest")), "row")
+    first = placed.groupBy("group_id").agg(F.min(F.struct("own", "digest", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    kept = rows.where(own.isNull()).unionByName(rows.join(stage(first, "first"), "row", "left_semi").select(rows.columns))
+    return kept.select([F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
