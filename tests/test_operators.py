@@ -14,7 +14,7 @@ from vacanta.operators.prepare import (
     flatten_and_filter,
     parse_timestamp,
 )
-from vacanta.operators.regression import _two_sided_p
+from vacanta.operators.regression import t_two_sided_p
 from vacanta.operators.nest import Child, nest_children
 from vacanta.operators.screening import outlier_firm_years, sample_per_group
 from vacanta.operators.strategies import newly_flagged_drivers, corroborated
@@ -284,5 +284,5 @@ def test_old_counts_format_is_refused(spark):
 
 
 @pytest.mark.parametrize("t, df, p", [(2.228138852, 10, 0.05), (12.7062047, 1, 0.05), (0.0, 5, 1.0), (1.0, 1, 0.5)])
-def test_student_p(t, df, p):
-    assert abs(_two_sided_p(t, df) - p) < 1e-6
+def test_student_p(spark, t, df, p):
+    assert abs(spark.range(1).select(t_two_sided_p(F.lit(t), F.lit(df))).first()[0] - p) < 1e-6

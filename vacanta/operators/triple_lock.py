@@ -6,14 +6,19 @@ matched ads themselves.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacanta.functions.patterns import Dictionary
 from vacanta.operators.match import keywords
+from vacanta.operators.running import running_total
 from vacanta.operators.trend import ols, yearly_columns
+from vacanta.sources.incremental import DIGESTS, partition_digests, read_partitioned
+from vacanta.sources.io import write_by
 from vacanta.sources.staging import stage
 
 # Languages a keyword is rated in.
@@ -30,7 +35,8 @@ def copilot_context(first: str, second: str) -> str:
 
 
 # Format of stored keyword counts; older files are refused.
-COUNTS_FORMAT_VERSION = 2
+COUNTS_FORMAT_VERSION = 3
+_COUNTS = "year int, month int, bucket string, keyword string, n long, month_total long, language_total long, format_version int"
 
 
 @dataclass(frozen=True)
@@ -100,22 +106,49 @@ def check_counts_version(counts: DataFrame) -> DataFrame:
     return counts.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("stored keyword counts have an old format")).cast("boolean")))
 
 
-def reusable_counts(ads: DataFrame, path: str) -> DataFrame:
-    """Monthly counts kept at ``path``: read if they are there in this format, else counted and written.
+def dictionary_digest(dictionary: Dictionary) -> str:
+    """Name of a dictionary's content."""
+    return hashlib.sha256(repr(dictionary).encode()).hexdigest()
 
-    ``ads`` is as in :func:`monthly_counts`; it is not read where the stored counts serve.
+
+def reusable_counts(ads: DataFrame, path: str, dictionary: str = "") -> DataFrame:
+    """Monthly counts kept at ``path`` and brought up to date: only months that have changed are counted.
+
+    ``ads`` is as in :func:`monthly_counts`. Beside the counts lie a digest of each month's rows and the
+    digest of the dictionary that they were matched with (:func:`dictionary_digest`). A month is counted
+    again if its rows or the dictionary differ from what was counted, and its counts replace the old
+    ones. Months that the corpus does not have (any more) are not returned. Digests are written last, so
+    a run that was cut off counts again. Counts of an older format are all replaced.
     """
     spark = ads.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-        current = stored.agg(F.min("format_version")).first()[0]
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA") and "format_version" not in str(error):
-            raise
-        current = None
-    if current is None or current < COUNTS_FORMAT_VERSION:
-        stage(monthly_counts(ads), "keyword-counts").write.mode("overwrite").parquet(path)
-    return check_counts_version(spark.read.parquet(path))
+    dated = ads.withColumn("period", (F.col("year") * 100 + F.coalesce("month", F.lit(0))).cast("int"))
+    counted = dated.select("period", "year", "month", "language", "matches", F.col("text").isNull().alias("no_text"))
+    digests = partition_digests(counted, "period").withColumns({"dictionary": F.lit(dictionary), "format_version": F.lit(COUNTS_FORMAT_VERSION)})
+    digests = stage(digests, "month-digests")
+    kept = read_partitioned(spark, f"{path}/{DIGESTS}", *digests.drop("period").schema.fields, digests.schema["period"])
+    current = kept is not None and (kept.agg(F.min("format_version")).first()[0] or 0) >= COUNTS_FORMAT_VERSION
+    stale = digests
+    if current:
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("period", "n_source", "total", "parity", "dictionary")]
+        was = kept.select([F.col(c).alias(f"_{c}") for c in ("period", "n_source", "total", "parity", "dictionary")])
+        stale = digests.join(stage(was, "kept-digests"), reduce(Column.__and__, same), "left_anti")
+    stale = stage(stale, "stale-months")
+    if not current or not stale.isEmpty():
+        redone = dated.join(stale.select(F.col("period").alias("_p")), F.col("period").eqNullSafe(F.col("_p")), "left_semi")
+        counts = monthly_counts(redone).withColumn("period", (F.col("year") * 100 + F.coalesce("month", F.lit(0))).cast("int"))
+        counts = stage(counts, "keyword-counts")
+        # A month without a hit has a row of its own, which takes the place of what it had before.
+        silent = stale.select("period").join(counts.select(F.col("period").alias("_p")), F.col("period").eqNullSafe(F.col("_p")), "left_anti")
+        silent = silent.select([(F.col(f.name) if f.name == "period" else F.lit(COUNTS_FORMAT_VERSION) if f.name == "format_version" else F.lit(None).cast(f.dataType)).alias(f.name) for f in counts.schema.fields])
+        written = counts.unionByName(silent)
+        if current:
+            write_by(written, path, "period")
+        else:
+            written.write.mode("overwrite").partitionBy("period").parquet(path)
+        write_by(stale.coalesce(1), f"{path}/{DIGESTS}", "period")
+    found = spark.read.schema(f"{_COUNTS}, period int").parquet(path)
+    periods = digests.select(F.col("period").alias("_p"))
+    return check_counts_version(found.join(periods, F.col("period").eqNullSafe(F.col("_p")), "left_semi").where("keyword IS NOT NULL").drop("period"))
 
 
 def dhs_groups(all_keywords: DataFrame, counts: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
@@ -238,16 +271,13 @@ def intensive_occupations(intensity: DataFrame, config: RuleConfig = RuleConfig(
     """Occupations by falling intensity until they cover enough group 1 ads, above a floor.
 
     The one that crosses the target is included; equal intensities go by name. Occupations are
-    first summed per intensity, so the running sum over the whole order is one row per distinct
-    intensity above the floor, and ranks within an intensity are independent of each other.
+    first summed per intensity, and the sum that runs over all intensities is taken in ranges of them
+    side by side; ranks within an intensity are independent of each other.
     """
     total = intensity.agg(F.sum("g1_ads")).scalar()
     above = intensity.where(F.col("intensity") >= config.min_intensity)
     per_level = above.groupBy("intensity").agg(F.sum("g1_ads").alias("level_ads"))
-    earlier = Window.orderBy(F.col("intensity").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    levels = per_level.withColumn("before", F.sum("level_ads").over(earlier) - F.col("level_ads"))
+    levels = running_total(per_level, F.col("intensity").desc(), "level_ads", "running").withColumn("before", F.col("running") - F.col("level_ads"))
     within = Window.partitionBy("intensity").orderBy("occupation")
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (

@@ -82,37 +82,50 @@ def job_aggregations_all(spark, sf_dir):
 
 @query(
     "job_export",
-    """SELECT count(*) AS expected, count(*) AS exported, true AS complete, count(DISTINCT CAST(ts AS DATE)) AS days,
-      CAST(coalesce(sum(n), 0) AS BIGINT) AS n_children
-    FROM events LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = user_id""",
+    """WITH e AS (SELECT event_id, user_id, value, CASE WHEN event_id % 40 <> 7 THEN ts END AS ts FROM events)
+    SELECT count(*) AS expected, count(*) AS exported, true AS complete, count(DISTINCT CAST(ts AS DATE)) AS days,
+      count(*) - count(ts) AS undated, round(sum(value), 2) AS total, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_children
+    FROM e LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = user_id""",
 )
 def job_export(spark, sf_dir):
-    """Export by day in two runs: the first sees a part of the rows, the second redoes the days that have changed."""
-    target, events, orders = new_path(spark, "export"), table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    """Export by day in two runs: the first sees a part of the rows and other values in some of them, the second
+    redoes the days that have changed. Some postings have no date."""
+    target, orders = new_path(spark, "export"), table(spark, sf_dir, "orders")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 40 != 7, F.col("ts")))
 
     def widen(df):
         children = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(F.collect_list("o_orderkey").alias("children"))
         return df.join(children, "user_id", "left")
 
-    run_export(events.where("day(ts) <> 3 AND event_id % 50 <> 0"), widen, target, "ts")
+    corrected = F.when(F.coalesce(F.dayofmonth("ts"), F.lit(5)) == 5, F.col("value") + 1).otherwise(F.col("value"))
+    run_export(events.where("coalesce(day(ts) <> 3, true) AND coalesce(day(ts), 0) <> 9").withColumn("value", corrected), widen, target, "ts")
     out = run_export(events, widen, target, "ts")
-    back = spark.read.parquet(target).agg(F.countDistinct("day").alias("days"), F.sum(F.greatest(F.size("children"), F.lit(0))).alias("n_children"))
-    return out.withColumns({"days": back.select("days").scalar(), "n_children": back.select("n_children").scalar()})
+    back = spark.read.parquet(target).agg(
+        F.countDistinct("day").alias("days"), F.count_if(F.col("day").isNull()).alias("undated"), F.round(F.sum("value"), 2).alias("total"),
+        F.sum(F.greatest(F.size("children"), F.lit(0))).alias("n_children"),
+    )
+    return out.withColumns({name: back.select(name).scalar() for name in back.columns})
 
 
 @query(
     "job_incremental",
-    f"""WITH {sql.POSTS} SELECT year, count(*) AS n, count(*) FILTER (grp <> 'NA') AS flagged, year >= 1999 AS redone FROM posts GROUP BY year""",
+    """SELECT CASE WHEN o_orderkey % 50 <> 0 THEN year(o_orderdate) END AS year, count(*) AS n,
+      count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS flagged,
+      coalesce(any_value(CASE WHEN o_orderkey % 50 <> 0 THEN year(o_orderdate) END) IN (1996, 1999, 2000, 2001), false) AS redone
+    FROM orders GROUP BY 1""",
 )
 def job_incremental(spark, sf_dir):
-    """Classification by year: the second run takes the years that were not there yet."""
+    """Classification by year: the second run takes the years that were not there yet and the one whose rows have
+    changed; undated rows are a partition too."""
     target = new_path(spark, "classified")
-    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.when(F.col("o_orderkey") % 50 != 0, F.year("o_orderdate")))
     job = lambda df: df.withColumn("group", order_group())
-    run_incremental(orders.where("year < 1999"), job, target)
+    other = F.when(F.col("year") == 1996, F.lit("5-LOW")).otherwise(F.col("o_orderpriority"))
+    run_incremental(orders.where("coalesce(year, 0) < 1999").withColumn("o_orderpriority", other), job, target)
     stale = run_incremental(orders, job, target)
     out = spark.read.parquet(target).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("group") != "NA").alias("flagged"))
-    return out.join(stale.select("year", F.lit(True).alias("redone")), "year", "left").fillna(False, ["redone"])
+    redone = stale.select(F.col("year").alias("_year"), F.lit(True).alias("redone"))
+    return out.join(redone, F.col("year").eqNullSafe(F.col("_year")), "left").drop("_year").fillna(False, ["redone"])
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from vacanta.operators.nest import Child, nest_children, wide_postings
 from vacanta.operators.prepare import any_element, date_range, exclude_size, flatten_company, half_open
 from vacanta.plans import sql
 from vacanta.plans.pipeline import classify, prepare
-from vacanta.plans.registry import query
+from vacanta.plans.registry import ORACLES, query
 from vacanta.plans.views import TEST_DICTIONARY, ads, order_group, table
 from vacanta.schema import PrepareConfig
 from vacanta.sources import io
+from vacanta.sources.buckets import bucket_count, store_buckets
 from vacanta.sources.incremental import process_stale, stale_partitions
 from vacanta.sources.staging import new_path, stage
 from vacanta.streaming.classify import run_available
@@ -23,24 +26,31 @@ from vacanta.streaming.classify import run_available
 
 @query(
     "scan_union_relaxed",
-    """SELECT 'A' AS shard, count(*) AS n, count(l_tax) AS n_tax, count(l_discount) AS n_discount, CAST(sum(l_linenumber) AS BIGINT) AS lines
-      FROM lineitem WHERE l_returnflag = 'A'
-    UNION ALL SELECT 'N', count(*), 0, count(l_discount), CAST(sum(l_linenumber) AS BIGINT) FROM lineitem WHERE l_returnflag = 'N'
-    UNION ALL SELECT 'R', count(*), count(l_tax), 0, CAST(sum(l_linenumber) AS BIGINT) FROM lineitem WHERE l_returnflag = 'R'""",
+    """SELECT l_returnflag AS shard, count(*) AS n, CASE WHEN l_returnflag = 'N' THEN 0 ELSE count(l_tax) END AS n_tax,
+      CASE WHEN l_returnflag = 'R' THEN 0 ELSE count(l_discount) END AS n_discount, CAST(sum(l_linenumber) AS BIGINT) AS lines,
+      CAST(sum(year(l_shipdate)) AS BIGINT) AS ship_years, CASE WHEN l_returnflag = 'A' THEN 0 ELSE count(l_linestatus) END AS n_status,
+      CAST(sum(l_suppkey) AS BIGINT) AS suppliers
+    FROM lineitem GROUP BY l_returnflag""",
 )
 def scan_union_relaxed(spark, sf_dir):
-    """Shards with differing columns and types (int and bigint): two directories scanned together, one table added by name."""
+    """Shards with differing columns and types: numbers against text, structs of other fields, arrays of other numbers.
+    Two directories are scanned together, one table is added by name."""
     lines = table(spark, sf_dir, "lineitem")
     base = new_path(spark, "shards")
-    lines.where("l_returnflag = 'A'").write.parquet(f"{base}/a")
-    lines.where("l_returnflag = 'N'").drop("l_tax").withColumn("l_linenumber", F.col("l_linenumber").cast("long")).write.parquet(f"{base}/n")
+    ship, status = F.col("l_shipdate"), F.col("l_linestatus").alias("status")
+    shard = lambda flag, kind, dates, key: lines.where(F.col("l_returnflag") == flag).select(
+        "l_returnflag", "l_tax", "l_discount", F.col("l_linenumber").cast(kind).alias("l_linenumber"), dates.alias("dates"), F.array(F.col("l_suppkey").cast(key)).alias("suppliers")
+    )
+    shard("A", "int", F.struct(ship.cast("date").alias("ship")), "int").write.parquet(f"{base}/a")
+    shard("N", "bigint", F.struct(ship.cast("timestamp").alias("ship"), status), "bigint").drop("l_tax").write.parquet(f"{base}/n")
     scanned = io.scan_shards(spark, f"{base}/a", f"{base}/n")
-    rest = lines.where("l_returnflag = 'R'").drop("l_discount")
+    rest = shard("R", "string", F.struct(status, ship.cast("string").alias("ship")), "decimal(20,2)").drop("l_discount")
     out = io.union_relaxed(scanned, rest)
     return out.groupBy(F.col("l_returnflag").alias("shard")).agg(
         F.count(F.lit(1)).alias("n"), F.count("l_tax").alias("n_tax"), F.count("l_discount").alias("n_discount"),
-        F.sum("l_linenumber").alias("lines"),
-    )
+        F.sum(F.col("l_linenumber").cast("long")).alias("lines"), F.sum(F.year(F.to_date(F.substring("dates.ship", 1, 10)))).alias("ship_years"),
+        F.count("dates.status").alias("n_status"), F.sum(F.col("suppliers")[0]).alias("suppliers"),
+    )
 
 
 @query(
@@ -307,6 +317,20 @@ def nest_children_query(spark, sf_dir):
     )
 
 
+@query("nest_copartitioned", ORACLES["nest_children"])
+def nest_copartitioned(spark, sf_dir):
+    """The same from sources that are stored in buckets of the advertisement: the joins read without a shuffle."""
+    sources = _relational(spark, sf_dir)
+    buckets = bucket_count(sources[0].count())
+    keys = ["id", *["advertisement_id"] * 5]
+    stored = [store_buckets(df, f"source_{i}_{uuid.uuid4().hex}", key, buckets) for i, (df, key) in enumerate(zip(sources, keys, strict=True))]
+    return wide_postings(*stored).select(
+        "url", F.size("occupations").alias("n_occupations"), F.size("locations").alias("n_locations"),
+        F.size("cantons_bonus").alias("n_cantons"), F.size("company.metadata").alias("n_industries"),
+        F.array_join("cantons_bonus", ",").alias("cantons"),
+    )
+
+
 # Wide bounds of a few firms per class would never flag anyone here, so the classes get loose ones.
 _CONFIG = PrepareConfig(
     date_start="1995-06-01",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,41 +16,37 @@ from vacanta.operators.match import match_keywords, match_longest_first, signatu
 from vacanta.operators.sweep import elbow_k, keyword_flagged_counts, keyword_report
 from vacanta.operators.trend import C_GRID, K_GRID, TrendConfig, keyword_breakeven, keyword_g1, keyword_g2_at_c, keyword_stats_wide
 from vacanta.plans.pipeline import calibrate
-from vacanta.sources.incremental import process_stale, stale_partitions
+from vacanta.sources.incremental import process_stale, read_partitioned, writable
 from vacanta.sources.io import reconcile, write_report
 from vacanta.sources.staging import stage, unstage
 
 
-def written(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, None where there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
 def run_export(postings: DataFrame, widen: Callable[[DataFrame], DataFrame], target: str, ts: str) -> DataFrame:
-    """Export postings as wide rows, one folder per day; days already complete are skipped.
+    """Export postings as wide rows, one folder per day; days already complete and unchanged are skipped.
 
     ``widen`` nests the children of the postings it is given and keeps their number. Only stale
-    days are nested. Returns expected, exported, complete.
+    days are nested; postings without a date are a day of their own. Returns expected, exported,
+    complete. Children are not part of what a day is judged by: pass postings that carry a change
+    mark of theirs where they change on their own.
     """
+    spark = postings.sparkSession
     by_day = postings.withColumn("day", F.to_date(ts))
-    process_stale(by_day, written(postings.sparkSession, target), "day", lambda df: widen(df).hint("rebalance", "day"), target)
-    return reconcile(by_day, postings.sparkSession.read.parquet(target))
+    process_stale(by_day, _written_partitions(spark, target, by_day, "day"), "day", lambda df: widen(df).hint("rebalance", "day"), target)
+    return reconcile(by_day, spark.read.parquet(target))
 
 
 def run_incremental(source: DataFrame, job: Callable[[DataFrame], DataFrame], target: str, partition: str = "year") -> DataFrame:
-    """A row-preserving job over the partitions whose output is missing or has another row count.
+    """A row-preserving job over the partitions whose output is missing, short, or of other content.
 
     Returns the partitions that were redone with their row counts.
     """
-    done = written(source.sparkSession, target)
-    stale = stage(stale_partitions(source, done, partition), "stale")
-    process_stale(source, done, partition, job, target)
-    return stale
+    source = writable(source, partition)
+    return process_stale(source, _written_partitions(source.sparkSession, target, source, partition), partition, job, target)
+
+
+def _written_partitions(spark: SparkSession, target: str, source: DataFrame, partition: str) -> DataFrame | None:
+    """The partition column of what is written, in the source's type."""
+    return read_partitioned(spark, target, source.schema[partition])
 
 
 @dataclass(frozen=True)
@@ -106,14 +101,14 @@ def run_rules(
 ) -> None:
     """The earlier scoring: ads (ad_id, year, month, language, occupation, text) to scored ads and a group map.
 
-    Monthly counts are kept at ``counts_path`` and used again while their format is current. Writes
+    Monthly counts are kept at ``counts_path``; months that have not changed are not counted again. Writes
     ``target``/scored by year and ``target``/groups; the staged match table is removed at the end.
     """
     matched = match_longest_first(ads, dictionary)
     spark = ads.sparkSession
     kept = ["ad_id", "year", "month", "language", "occupation", "matches"]
     slim = stage(matched.select(*kept, F.lit("").alias("text"), F.coalesce(F.col("text").rlike(makers), F.lit(False)).alias("makers")), "matched")
-    counts = tl.reusable_counts(slim, counts_path)
+    counts = tl.reusable_counts(slim, counts_path, tl.dictionary_digest(dictionary))
     groups = stage(tl.dhs_groups(dictionary_frame(spark, dictionary), counts.select("year", "bucket", "keyword", "n"), rules), "groups")
     sigs = stage(signatures(slim, "year", "occupation"), "signatures")
     dense = stage(tl.intensive_occupations(tl.occupation_intensity(sigs, groups, rules), rules), "dense")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,24 +20,45 @@ from vacanta.sources.io import write_by
 from vacanta.sources.staging import stage
 
 
+#: Where a row of a table of files is: its name for later passes.
+_PLACE = ("_file", "_row")
+
+
+def with_place(ads: DataFrame) -> DataFrame:
+    """``ads`` with the file and the number in it of every row.
+
+    A plan that is no scan of Parquet files is staged first, which writes it once; a shuffle would
+    write it as well.
+    """
+    try:
+        return ads.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return with_place(stage(ads, "ads"))
+
+
 def prepare(ads: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
     """Wide postings to clean ones: filter, keep the first copy per year, drop outlier firm-years.
 
-    Languages are restricted last. The outlier statistics need a few narrow columns of the
-    de-duplicated table; firm-years are counted once in a column-pruned pass and staged, and the
-    short list of outliers is staged too, so the last join knows its true size. Which copy stays
-    is settled by date, URL and content, so every pass and every retry picks the same one.
+    Languages are restricted last. Which rows stay is found out on narrow ones, without any text: key,
+    date, URL, firm, size class and the place of the row. The first copy per year and key is chosen
+    among these, firm-years are counted and screened on them, and the wide rows lose what is on two
+    short lists, copies by their place and outlier firm-years. Both lists are staged, so joins know
+    their true sizes, and wide rows are not shuffled unless a list is too long to send around. Which
+    copy stays is settled by date, URL and place in the table, so every pass and every retry picks the
+    same one.
     """
     c = config.columns
-    flat = flatten_and_filter(ads, config).withColumn("year", F.year(c.date))
+    flat = flatten_and_filter(with_place(ads), config).withColumn("year", F.year(c.date))
     tie = [x for x in ("url",) if x in flat.columns]
-    content = F.xxhash64(*[f.name for f in flat.schema.fields if "map<" not in f.dataType.simpleString()])
-    unique = dedup_within_year(flat.withColumn("_row", content), c.job_id, [c.date, *tie, "_row"]).drop("_row")
+    narrow = stage(flat.select("year", c.job_id, c.date, *tie, "_firm_id", "_size_id", *_PLACE), "narrow")
+    unique = stage(dedup_within_year(narrow, c.job_id, [c.date, *tie, *_PLACE]).select("year", "_firm_id", "_size_id", *_PLACE), "unique")
+    copies = stage(narrow.select(*_PLACE).join(unique.select(*_PLACE), [*_PLACE], "left_anti"), "copies")
     counts = stage(firm_year_counts(unique, "_firm_id", "_size_id"), "firm-years")
     outliers = stage(
         outliers_of_counts(counts, dict(config.size_alpha), config.fallback_alpha, "_firm_id", "_size_id"), "outliers"
     )
-    clean = drop_outlier_firm_years(unique, outliers, "_firm_id")
+    first = flat.join(copies, [*_PLACE], "left_anti").drop(*_PLACE)
+    clean = drop_outlier_firm_years(first, outliers, "_firm_id")
     return allow_languages(clean, config.languages, c.language)
 
 

@@ -11,8 +11,9 @@ SETTINGS = {
     # Split a hot join key even if the aggregation after the join then needs its own shuffle: one
     # firm or tag may hold a large part of all rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # State of the streaming de-duplication lives on disk, not on the heap.
+    # Keys of arriving postings lie on disk, not on the heap, and a batch writes its changes only.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
