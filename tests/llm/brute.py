@@ -82,28 +82,33 @@ def contamination(text: str | None, items: list[tuple], window: int = 13) -> tup
     return len(doc), len(hit), sorted(names)
 
 
-def language_model(texts: list[tuple[bool, str | None]], mass: float, steps: int) -> list[tuple[int, int, int, float, float]]:
-    """n_tokens, n_known, train_tokens, base score and score of (training, text) rows."""
-    single, pair = collections.Counter(), collections.Counter()
+def language_model(texts: list[tuple[bool, str | None]], mass: float, steps: int) -> list[tuple[int, int, int, float, float, float]]:
+    """n_tokens, n_known, train_tokens, base score, score and score by pairs of (training, text) rows."""
+    single, pair, triple = collections.Counter(), collections.Counter(), collections.Counter()
     for training, text in texts:
         if training:
             t = tokens(text)
             single.update(t)
             pair.update(zip(t, t[1:], strict=False))
+            triple.update(zip(t, t[1:], t[2:], strict=False))
     total, distinct = sum(single.values()), len(single)
+
+    def mixed(n: int, before: int, lower: float) -> float:
+        own = 2 ** (-math.ceil(-math.log2(n / (before + mass)) * steps - 1e-9) / steps) if n else 0.0
+        return own + mass / (before + mass) * lower
+
     out = []
     for _, text in texts:
         t = tokens(text)
-        base = score = 0.0
+        base = score = by_pairs = 0.0
         for i, w in enumerate(t):
             p = (single[w] + 1) / (total + distinct + 1)
             base += math.log10(p)
             if i and single[t[i - 1]]:
-                before = single[t[i - 1]]
-                own = pair[t[i - 1], w] / (before + mass)
-                if own:
-                    own = 2 ** (-min(254, round(-math.log2(own) * steps)) / steps)
-                p = own + mass / (before + mass) * p
+                p = mixed(pair[t[i - 1], w], single[t[i - 1]], p)
+            by_pairs += math.log10(p)
+            if i > 1 and pair[t[i - 2], t[i - 1]]:
+                p = mixed(triple[t[i - 2], t[i - 1], w], pair[t[i - 2], t[i - 1]], p)
             score += math.log10(p)
-        out.append((len(t), sum(single[w] > 0 for w in t), total, base, score))
+        out.append((len(t), sum(single[w] > 0 for w in t), total, base, score, by_pairs))
     return out

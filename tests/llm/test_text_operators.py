@@ -1,6 +1,5 @@
 """Language identification, quality, BPE, decontamination and language model."""
 
-from collections import Counter
 
 import brute
 import numpy as np
@@ -236,9 +235,19 @@ def test_elias_fano_successor():
         assert coded.find(asked).tolist() == [place.get(v, -1) for v in asked.tolist()]
 
 
-def test_quantisation_error_is_bounded():
-    p = np.exp2(-np.linspace(0, 30, 500))
-    assert (np.abs(np.log2(probability(quantised(p)) / p)) <= 0.5 / STEPS_PER_OCTAVE + 1e-9).all()
+def test_quantisation_rounds_down_by_a_step_at_most():
+    p = np.concatenate([np.exp2(-np.linspace(0, 60, 5000)), [1.0, 0.96, 0.999999, 1e-300]])
+    step = np.log2(p / probability(quantised(p)))
+    assert (step >= -1e-9).all() and (step <= 1 / STEPS_PER_OCTAVE + 1e-9).all()
+
+
+def test_a_context_never_gives_more_than_one():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 1000, 10**10):
+        counts = rng.multinomial(n, rng.dirichlet(np.ones(50) * 0.2))
+        counts = counts[counts > 0]
+        given = probability(quantised(counts / (n + MASS))).sum() + MASS / (n + MASS)
+        assert 0.957 <= given <= 1 + 1e-9
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 40])
@@ -253,6 +262,7 @@ def test_language_model_equals_counting(spark, sf_dir, monkeypatch, shard):
         r = got[i]
         assert r.training == training and (r.n_tokens, r.n_known, r.train_tokens) == expected[:3]
         assert r.base_score == pytest.approx(expected[3], rel=1e-12, abs=1e-9) and r.score == pytest.approx(expected[4], rel=1e-9, abs=1e-9)
+        assert r.pair_score == pytest.approx(expected[5], rel=1e-9, abs=1e-9)
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 40])
@@ -262,28 +272,10 @@ def test_language_model_third_level_equals_counting(spark, monkeypatch, shard):
     monkeypatch.setattr("vacanta.llm.language_model.CONTEXT_PART", 7)
     texts = ["a b c"] * 9 + ["x b d"] * 9 + ["a b d", "x b c", "a b c", "new b c", "a b new c", "b c", "", None, "a"] + [t for _, t, *_ in brute.AWKWARD]
     rows = [(i, i % 5 != 2, t) for i, t in enumerate(texts)]
-    single, pair, triple = Counter(), Counter(), Counter()
-    for _, training, text in rows:
-        if training:
-            w = brute.tokens(text)
-            single.update(w)
-            pair.update(zip(w, w[1:], strict=False))
-            triple.update(zip(w, w[1:], w[2:], strict=False))
-    total, distinct = sum(single.values()), len(single)
-
-    def own(n, before):
-        return 2 ** (-min(254, round(-np.log2(n / (before + MASS)) * STEPS_PER_OCTAVE)) / STEPS_PER_OCTAVE) if n else 0.0
-
-    got = {r.id: r.trigram_score for r in score_texts(spark.createDataFrame(rows, "doc_id long, training boolean, text string").repartition(3)).collect()}
-    for i, _, text in rows:
-        w, expected = brute.tokens(text), 0.0
-        for k in range(len(w)):
-            p = (single[w[k]] + 1) / (total + distinct + 1)
-            for counts, before, n in ((pair, single[w[k - 1]], 1), (triple, pair[tuple(w[k - 2 : k])] if k > 1 else 0, 2)):
-                if k >= n and before:
-                    p = own(counts[tuple(w[k - n : k + 1])], before) + MASS / (before + MASS) * p
-            expected += np.log10(p)
-        assert got[i] == pytest.approx(expected, rel=1e-9, abs=1e-9)
+    wanted = brute.language_model([(r[1], r[2]) for r in rows], MASS, STEPS_PER_OCTAVE)
+    got = {r.id: r.score for r in score_texts(spark.createDataFrame(rows, "doc_id long, training boolean, text string").repartition(3)).collect()}
+    for (i, *_), expected in zip(rows, wanted, strict=True):
+        assert got[i] == pytest.approx(expected[4], rel=1e-9, abs=1e-9)
     assert got[texts.index("a b d")] < got[texts.index("a b c")] - 0.3 and got[texts.index("x b c")] < got[texts.index("x b d")] - 0.3
 
 
@@ -301,4 +293,4 @@ def test_language_model_query(spark, sf_dir):
     for i, e in zip(ids, expected, strict=True):
         r = got[i]
         assert r.held_out == (brute.crc(i) % 7 == 2) and (r.n_tokens, r.n_known, r.train_tokens) == e[:3]
-        assert r.base_score == pytest.approx(e[3], rel=1e-12) and r.score == pytest.approx(e[4], rel=1e-9)
+        assert r.base_score == pytest.approx(e[3], rel=1e-12) and r.score == pytest.approx(e[4], rel=1e-9) and r.pair_score == pytest.approx(e[5], rel=1e-9)

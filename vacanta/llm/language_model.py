@@ -8,18 +8,21 @@ these. Three rounds of requests go from blocks to shards and back:
 2. Word pairs. A shard holds successors of contexts: it sums the training counts of distinct pairs,
    builds a trie level (contexts, successors relative to their context, quantised probabilities), maps
    it from a file and answers the blocks' pairs by successor search with quantised probabilities.
-
 3. Word triples. Contexts are the word pairs that occur in training, named by a hash of 62 bits: a block
    asks for the triples behind these only, with the pair's training count that the second round told it.
    Shards work as in the second round.
 
-The probability is p(w | u) = c(u, w) / (c(u) + MASS) + MASS / (c(u) + MASS) * p(w), with
-p(w) = (c(w) + 1) / (N + V + 1); the first summand is what the trie stores, in steps of 1/8 octave. The
-first token of a text has p(w). ``score`` has these; ``trigram_score`` has p(w | t, u) = c(t, u, w) /
-(c(t, u) + MASS) + MASS / (c(t, u) + MASS) * p(w | u), and p(w | u) behind a pair that training lacks. A block asks once for a pair however often it holds it, so hot words
-and pairs cost one entry per block; a frequent context's successors are dealt to several shards by a
-rule on its total count. What is gathered are distinct words, pairs and triples per block: it grows with the
-corpus. Blocks, shards and answers are bounded; the number of shards follows the corpus.
+Probabilities are p(w | t, u) = c(t, u, w) / (c(t, u) + MASS) + MASS / (c(t, u) + MASS) * p(w | u) behind a
+pair that training has, p(w | u) = c(u, w) / (c(u) + MASS) + MASS / (c(u) + MASS) * p(w) behind another known
+word, and p(w) = (c(w) + 1) / (N + V + 1) else. The first summands are what the trie stores, rounded down
+to steps of 1/``STEPS_PER_OCTAVE`` octave of two bytes: what a context gives to all words together is 1
+before and at most 1 after rounding, and at least 96 % of it. ``score`` is the sum of their logarithms;
+``pair_score`` is that of the model without its third level.
+
+A block asks once for a pair however often it holds it, so hot words and pairs cost one entry per block;
+a frequent context's successors are dealt to several shards by a rule on its total count. What is
+gathered are distinct words, pairs and triples per block: it grows with the corpus. Blocks, shards and
+answers are bounded; the number of shards follows the corpus.
 
 Tokens are the runs of other characters than space, tab, line feed, vertical tab, form feed and
 carriage return after lower-casing A-Z, then one end of text.
@@ -53,7 +56,7 @@ SHARD = 1_000_000
 CONTEXT_PART = 100_000
 #: Weight of the lower order, in occurrences.
 MASS = 3.0
-STEPS_PER_OCTAVE = 8
+STEPS_PER_OCTAVE = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x9AE16A3B2F90404F)
 _U = np.uint64
@@ -289,11 +292,11 @@ def _level(told: list[dict], level: int) -> list[dict]:
 
 
 def _codes(told: list[dict], level: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint8), *(unpack(a["numbers"], "u1", a["n"]) for a in _level(told, level))])
+    return np.concatenate([np.zeros(0, np.uint16), *(unpack(a["numbers"], "u2", a["n"]) for a in _level(told, level))])
 
 
 def _pair_counts(told: list[dict]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(unpack(a["found"], "u4", a["n"]).astype(np.int64) for a in _level(told, 2))])
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(a["found"], "u8", a["n"]).astype(np.int64) for a in _level(told, 2))])
 
 
 def _pair_requests(bits: int):
@@ -329,13 +332,16 @@ PAIRS_SCHEMA = "shard long, block long, n long, n_contexts long, contexts binary
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    """Codes 1 to 255 of probabilities above 0, in steps of 1/STEPS_PER_OCTAVE octave."""
-    return (1 + np.clip(np.rint(-np.log2(p) * STEPS_PER_OCTAVE), 0, 254)).astype(np.uint8)
+    """Codes from 1 on of probabilities above 0, rounded down to steps of 1/STEPS_PER_OCTAVE octave.
+
+    Two bytes reach 4,000 octaves, beyond any double.
+    """
+    return (1 + np.ceil(-np.log2(p) * STEPS_PER_OCTAVE - 1e-9)).astype(np.uint16)
 
 
 def probability(code: np.ndarray) -> np.ndarray:
     """Probabilities of codes; 0 for code 0."""
-    return np.where(code > 0, np.exp2((1.0 - code) / STEPS_PER_OCTAVE), 0.0)
+    return np.where(code > 0, np.exp2((1.0 - code.astype(np.float64)) / STEPS_PER_OCTAVE), 0.0)
 
 
 def _request(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -377,8 +383,8 @@ def _successor_shard(mass: float, counted: bool):
             inside = word < level.n_words
             found = level.find(context, size, np.where(inside, word, 0))
             there = inside & (found >= 0)
-            answer = np.where(there, code[np.maximum(found, 0)] if len(code) else 0, 0).astype(np.uint8)
-            count = pack(np.where(there, sums[np.maximum(found, 0)] if len(sums) else 0, 0).astype(np.uint32)) if counted else b""
+            answer = np.where(there, code[np.maximum(found, 0)] if len(code) else 0, 0).astype(np.uint16)
+            count = pack(np.where(there, sums[np.maximum(found, 0)] if len(sums) else 0, 0).astype(np.uint64)) if counted else b""
             out.append({"block": r["block"], "shard": r["shard"], "n": r["n"], "numbers": pack(answer), "found": count, "total": 0, "distinct": 0})
         return pa.Table.from_pylist(out, ANSWER)
 
@@ -412,15 +418,14 @@ def _scores(bits: int, total: int, distinct: int, mass: float):
             third[t.after] *= mass / (t.before + mass)
             third[t.after[t.asked]] += probability(_codes(told, 3)[t.triple])
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
-            base, score = np.add.reduceat(np.log10(single), starts), np.add.reduceat(np.log10(joint), starts)
-            trigram = np.add.reduceat(np.log10(third), starts)
+            base, by_pairs, score = (np.add.reduceat(np.log10(x), starts) for x in (single, joint, third))
             out.append(
                 pa.table(
                     {
                         "id": pa.array(row["ids"], pa.int64()), "training": pa.array(row["training"], pa.bool_()), "n_tokens": pa.array(p.sizes, pa.int64()),
                         "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(known), total), pa.int64()),
                         "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
-                        "trigram_score": pa.array(trigram, pa.float64()),
+                        "pair_score": pa.array(by_pairs, pa.float64()),
                     }
                 )
             )
@@ -429,8 +434,8 @@ def _scores(bits: int, total: int, distinct: int, mass: float):
     return run
 
 
-SCORE = pa.schema([("id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("trigram_score", pa.float64())])
-SCORE_SCHEMA = "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
+SCORE = pa.schema([("id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("pair_score", pa.float64())])
+SCORE_SCHEMA = "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pair_score double"
 
 
 def _bits(n: int, most: int) -> int:
@@ -439,7 +444,7 @@ def _bits(n: int, most: int) -> int:
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", training: str = "training", mass: float = MASS) -> DataFrame:
-    """(id, training, n_tokens, n_known, train_tokens, base_score, score, trigram_score) per row of ``docs``.
+    """(id, training, n_tokens, n_known, train_tokens, base_score, score, pair_score) per row of ``docs``.
 
     The model is learnt from the rows whose column ``training`` is true; all rows are scored.
     """
