@@ -3,9 +3,11 @@
 A page becomes a tree of elements. For every node the characters per tag are computed and adjusted for
 links (composite text density); a node's density sum adds its children's densities. The subtree of the
 greatest density sum is the article's core. The lowest density on the path from there to the body is
-the threshold: the selection climbs while a neighbour is as dense as that, and to the end of an
-enclosing ``article`` element. Parts that are no article text by their element or class (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count nowhere.
+the threshold: the selection climbs while a neighbour is as dense as that, but not out of an enclosing
+``article`` element. Parts that are no article text by their element or class (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments) count nowhere. Beside an article a
+class or id names such a part if one of its words does; inside an article only if it has no other words
+than that and such as "box" or "list", so that sections on related work or social history stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by one space in page order; ``br`` ends a block.
@@ -13,11 +15,13 @@ joined by one space in page order; ``br`` ends a block.
 Defined results: a null or empty page, or one without text, gives the empty text; a page without any
 tags is its own text; of equal density sums the first node wins; repeated rows are treated alike; an
 empty table gives an empty table; columns named like an output are replaced. A page is parsed as a
-whole whatever its length, without recursion.
+whole whatever its length, without recursion, in time that grows with its length: a tag that is not closed
+ends at the next "<", and open elements are found by name.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import itertools
 import math
@@ -34,8 +38,8 @@ from vacanta.llm.batches import appended, blocks, for_texts, schema_with
 #: Elements whose content is raw text up to their end tag.
 RAW = "script|style|xmp|iframe|noembed|noframes|textarea|title"
 TOKEN = re.compile(
-    rf"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(.*?)(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    rf"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\"><])*+>(.*?)(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*\"|'[^']*'|[^'\"><])*+)(?:>|(?=<))",
     re.DOTALL | re.IGNORECASE,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +61,11 @@ DROPPED_WORDS = frozenset(
     "commentlist disqus reply replies respond share sharing social related recommended recommendations widget widgets toolbar pagination "
     "pager skip".split()
 )
+#: Words that say nothing of what a part of that name holds.
+NEUTRAL_WORDS = frozenset(
+    "box block list container wrapper area section slot unit bar panel form reader readers user article post page site main left right top bottom inner outer row item "
+    "items link links text title primary secondary".split()
+)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: A start tag of the key ends an open element of the value's kinds, up to a border.
@@ -90,6 +99,12 @@ class Page:
                 if value.strip().lower() in DROPPED_ROLES:
                     return True
                 continue
+            if inside_article:
+                for one in value.split():
+                    words = {w.lower() for w in WORD.findall(one) if not w.isdigit()}
+                    if words & DROPPED_WORDS and words <= DROPPED_WORDS | NEUTRAL_WORDS:
+                        return True
+                continue
             words = {w.lower() for w in WORD.findall(value)}
             if words & DROPPED_WORDS or ("header" in words and not words & {"article", "post", "entry", "story", "content"}):
                 return True
@@ -98,16 +113,39 @@ class Page:
     def _parse(self, source: str) -> None:
         tag, parent, dropped, parts, stack = self.tag, self.parent, self.dropped, self.parts, [0]
         articles, at = 0, 0
+        # Depths of open elements: by name, and of the two kinds of borders.
+        named: dict[str, list[int]] = {}
+        borders, paragraph_borders = [0], [0]
+
+        def push(node: int, name: str) -> None:
+            nonlocal articles
+            named.setdefault(name, []).append(len(stack))
+            if name in BORDERS:
+                borders.append(len(stack))
+            if name in PARAGRAPH_BORDERS:
+                paragraph_borders.append(len(stack))
+            stack.append(node)
+            articles += name == "article"
 
         def pop_to(depth: int) -> None:
             nonlocal articles
             while len(stack) > depth:
                 node = stack.pop()
+                name = tag[node]
                 self.end[node] = len(tag)
-                articles -= tag[node] == "article"
-                if tag[node] not in INLINE:
+                articles -= name == "article"
+                if len(stack):
+                    named[name].pop()
+                    if name in BORDERS:
+                        borders.pop()
+                    if name in PARAGRAPH_BORDERS:
+                        paragraph_borders.pop()
+                if name not in INLINE:
                     parts.append((node, None))
 
+        def nearest(name: str) -> int:
+            return named[name][-1] if named.get(name) else 0
+
         for m in TOKEN.finditer(source):
             if m.start() > at and not dropped[stack[-1]]:
                 parts.append((stack[-1], source[at : m.start()]))
@@ -119,32 +157,20 @@ class Page:
                 if name == "br":
                     parts.append((stack[-1], None))
                     continue
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tag[stack[depth]] == name:
-                        pop_to(depth)
-                        break
-                    if name in INLINE and tag[stack[depth]] in BORDERS:
-                        break
-                    if name == "p" and tag[stack[depth]] in PARAGRAPH_BORDERS:
-                        break
+                depth = nearest(name)
+                if depth and not (name in INLINE and borders[-1] > depth) and not (name == "p" and paragraph_borders[-1] > depth):
+                    pop_to(depth)
                 continue
             if name not in INLINE and name not in VOID or name == "hr":
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tag[stack[depth]] == "p":
-                        pop_to(depth)
-                        break
-                    if tag[stack[depth]] in PARAGRAPH_BORDERS or tag[stack[depth]] in BORDERS:
-                        break
+                depth = nearest("p")
+                if depth > max(borders[-1], paragraph_borders[-1]):
+                    pop_to(depth)
             if name in CLOSES:
                 border = {"tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "tfoot": ("table",)}.get(name, ("ul", "ol", "dl", "menu"))
-                lowest = 0
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tag[stack[depth]] in CLOSES[name]:
-                        lowest = depth
-                    if tag[stack[depth]] in border:
-                        break
-                if lowest:
-                    pop_to(lowest)
+                above = max(nearest(b) for b in border)
+                inside = [open_ones[bisect.bisect_right(open_ones, above)] for open_ones in (named.get(k) or [0] for k in CLOSES[name]) if open_ones[-1] > above]
+                if inside:
+                    pop_to(min(inside))
             node = len(tag)
             tag.append(name)
             parent.append(stack[-1])
@@ -153,8 +179,7 @@ class Page:
             if name not in INLINE:
                 parts.append((node, None))
             if name not in VOID and not m[5].endswith("/"):
-                stack.append(node)
-                articles += name == "article"
+                push(node, name)
         if at < len(source) and not dropped[stack[-1]]:
             parts.append((stack[-1], source[at:]))
         pop_to(1)
@@ -223,10 +248,9 @@ class Page:
         body = next((k for k, i in enumerate(path) if self.tag[i] == "body"), len(path) - 1)
         threshold = min(density[i] for i in path[: body + 1])
         article = max((k for k, i in enumerate(path) if self.tag[i] == "article"), default=None)
-        if article is not None:
-            return path[article]
+        limit = body if article is None else article
         # A short article can have less density than the page around it: descend to one that holds most of the text.
-        articles = [i for i in self._articles() if best <= i < self.end[best]]
+        articles = [i for i in self._articles() if best <= i < self.end[best]] if article is None else []
         if articles:
             size = [0] * (n + 1)
             for owner, piece in self.parts:
@@ -243,7 +267,7 @@ class Page:
             if not self.dropped[i] and density[i] > 0:
                 children.setdefault(self.parent[i], []).append(i)
         top = 0
-        for k in range(body):
+        for k in range(limit):
             beside = [i for i in children.get(path[k + 1], ()) if i != path[k]]
             if any(density[i] >= threshold for i in beside):
                 top = k + 1
