@@ -94,6 +94,16 @@ def test_url_model_separates_unseen_hosts(spark):
     assert all((r.block_score >= 0.5) == bool(r.y) for r in judge_urls(pages, [], model).collect())
 
 
+def test_url_model_allows_names_that_it_has_never_seen(spark):
+    model = train_from(spark.createDataFrame(labelled_urls(), "url string, label int"))
+    grams = lambda h: {h[i : i + 3] for i in range(len(h) - 2)}
+    seen = set().union(*(grams(u.split("//")[1].split(".")[0]) for u, _ in labelled_urls()))
+    hosts = [h for h in ("zyqwvkjx", "quoffjig", "xylovmur", "vexpwodg", "jukebrix", "gwyfozzk") if not grams(h) & seen]
+    assert len(hosts) >= 4
+    rows = judge_urls(spark.createDataFrame([(f"https://{h}.example.com/en/7",) for h in hosts], "url string"), [], model).collect()
+    assert {r.verdict for r in rows} == {"allow"}
+
+
 P1, P2, P3 = ("first " * 40).strip(), ("second " * 40).strip(), ("third " * 40).strip()
 
 

@@ -32,24 +32,30 @@ ORDERS = (3, 4, 5)
 #: Most rows of a labelled table.
 LABELLED_ROWS = 10_000
 
-#: Hosts of the default table. Words of a kind stand in several forms, so that their n-grams carry the label.
+#: Hosts of the default table, made up for it. Words of a kind stand in several forms, so that their n-grams carry the label.
 BLOCKED_HOSTS = (
-    "cheap-pills.example.com", "www.cheap-pills.example.net", "best-pills-online.example.org", "pills4less.example.com",
-    "casino-win.example.net", "blog.casino-win.example.com", "royal-casino.example.org", "m.casino-bonus.example.com",
-    "free-bets.example.net", "www.free-bets.example.org", "sport-bets.example.com", "bets24.example.net",
-    "adult-x.example.com", "www.adult-x.example.net", "adult-video.example.org", "xxx-adult.example.com",
-    "spam-farm.example.org", "blog.spam-farm.example.com", "link-spam.example.net", "spamhub.example.com",
-    "ads-track.example.com", "m.ads-track.example.net", "track-clicks.example.org", "adserver-track.example.com",
-    "cheap-loans.example.com", "win-money-fast.example.net", "free-viagra.example.org", "malware-download.example.com",
-    "diet-pills.example.net", "pillshop.example.org", "online-bets.example.net", "casino24.example.org",
+    "best-pills-online.example.com", "www.pills-direct.example.net", "pillshop24.example.org", "pills4less.example.com",
+    "lucky-casino.example.net", "blog.casino-nights.example.com", "royal-casino.example.org", "m.casino-bonus.example.com",
+    "free-bets.example.net", "www.football-bets.example.org", "sport-bets.example.com", "bets24.example.net",
+    "adult-chat.example.com", "www.adult-movies.example.net", "adult-video.example.org", "xxx-adult.example.com",
+    "spam-mailer.example.org", "blog.spam-links.example.com", "link-spam.example.net", "spamhub.example.com", "spam-site.example.net", "www.buyspam.example.org",
+    "click-tracker.example.com", "m.ad-clicks.example.net", "pixel-tracker.example.org", "adserver-track.example.com",
+    "payday-loans.example.com", "win-money-fast.example.net", "free-viagra.example.org", "malware-download.example.com",
+    "diet-pills.example.net", "pills-without-prescription.example.org", "online-bets.example.net", "casino24.example.org",
+    "adult-dating.example.org", "m.adult-pics.example.net", "adultshop.example.com", "www.pills-and-more.example.net", "vegas-casino.example.com",
+    "casino-slots.example.net", "horse-bets.example.com", "instant-loans.example.org", "cheap-replica-watches.example.net", "cheap-rx.example.com",
 )
 ALLOWED_HOSTS = (
     "www.example.com", "blog.example.org", "m.example.net", "news.example.com", "weather.example.org", "docs.example.net",
-    "city-library.example.org", "open-data.example.net", "my-garden.example.com", "the-times.example.org", "schule.example.net",
+    "city-library.example.org", "open-data.example.net", "my-garden.example.com", "evening-post.example.org", "schule.example.net",
     "university.example.org", "museum.example.com", "recipes.example.net", "travel-notes.example.com", "forum.example.org",
-    "wiki.example.net", "shop.example.com", "blog.thonnd.example.com", "m.erin.example.net", "therha.example.org",
-    "www.tionsh.example.com", "ththre.example.net", "blog.enung.example.org", "www.queaire.example.com", "m.cionte.example.net",
-    "therat.example.org", "stadt-archiv.example.com", "bookshop.example.org", "shop.garden.example.net", "video-archive.example.org", "track-and-field.example.org",
+    "wiki.example.net", "shop.example.com", "blog.harbour-walks.example.com", "m.rowing-club.example.net", "lakeside.example.org",
+    "www.owl-watch.example.com", "rathaus.example.net", "blog.wanderung.example.org", "www.bibliotheque.example.com", "m.ayuntamiento.example.net",
+    "north-thames.example.com", "southport-theatre.example.org", "www.thornhill.example.net", "the-cathedral.example.com", "ruth-smith.example.org",
+    "m.authors.example.com", "blog.otherworld.example.net", "mathematics.example.org", "www.earthworks.example.com", "health-centre.example.net",
+    "allotments.example.org", "m.station-hotel.example.com", "www.union-street.example.net", "nation.example.org", "sailing-lessons.example.com",
+    "enderby.example.net", "www.tiere.example.org", "leihladen.example.com", "quartier.example.net", "rosa-jardin.example.com",
+    "choir.example.org", "stadt-archiv.example.com", "bookshop.example.org", "shop.garden.example.net", "video-archive.example.org", "track-and-field.example.org",
 )
 LABELLED_PATHS = ("/en/12", "/fr/345.html", "/de/6789/", "/es/1011", "/", "/en/about", "/de/impressum.html", "/es/blog/2")
 
