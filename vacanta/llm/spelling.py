@@ -56,6 +56,8 @@ FILTER_BYTES = 32 << 20
 SEGMENT = 8192
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 200_000
+#: Words that a task probes, about.
+PROBED = 50_000
 #: Edits that are hashed at once, about.
 EDITS = 1 << 18
 
@@ -230,7 +232,7 @@ def replacements(points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield i, rows, LETTERS[letters], rest[rows] + (_VALUE[LETTERS] * powers[i])[letters]
 
 
-def candidates(words: DataFrame, wanted: list[tuple[int, int, int, int]], filters) -> DataFrame:
+def candidates(words: DataFrame, wanted: list[tuple[int, int, int, int]], filters, total: int) -> DataFrame:
     """(word, n, edit): edits that the filters of a pass have."""
     lengths = {f[0] for f in wanted}
 
@@ -264,6 +266,8 @@ def candidates(words: DataFrame, wanted: list[tuple[int, int, int, int]], filter
                                 yield told(batch, rows[hit], edited)
 
     near = words.where(F.length("word").isin(sorted(lengths | {n + 1 for n in lengths})))
+    # A word takes far more work than reading it: tasks by number of words, not by file size.
+    near = near.repartition(max(1, -(-total // PROBED)), "word")
     return near.mapInArrow(run, "word string, n long, edit string")
 
 
@@ -274,7 +278,8 @@ def near_words(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     found = None
     for wanted in passes(sizes, filter_bytes):
         filters = spark.sparkContext.broadcast(build_filters(words, wanted))
-        some = candidates(words, wanted, filters)
+        own = {length for length, *_ in wanted}
+        some = candidates(words, wanted, filters, sum(n for length, n in sizes.items() if length in own or length - 1 in own))
         found = some if found is None else found.unionByName(some)
     if found is None:
         return spark.createDataFrame([], "word string, n long, other string, other_n long")
