@@ -316,7 +316,7 @@ akw AS (SELECT DISTINCT h.ad_id, h.year, h.occupation, h.keyword, ov.g FROM hits
     f"""{_R} SELECT h.year, h.month, h.bucket, h.keyword, count(*) AS n,
       any_value((SELECT count(*) FROM ads a WHERE a.year = h.year AND a.month = h.month)) AS month_total,
       any_value((SELECT count(*) FROM ads a WHERE a.year = h.year AND a.month = h.month AND a.language = h.bucket)) AS language_total,
-      CAST(2 AS BIGINT) AS format_version FROM hits h GROUP BY ALL""",
+      CAST(3 AS BIGINT) AS format_version FROM hits h GROUP BY ALL""",
 )
 def keyword_counts_monthly(spark, sf_dir):
     """Counted and kept; the second call finds the stored counts and does not match again."""
