@@ -259,6 +259,7 @@ def _relational(spark, sf_dir) -> list[DataFrame]:
         docs.select("doc_id", "lang", F.md5("text").alias("copy")), text_of
     )
     none = F.lit(None)
+    # The names of the columns, here and below, are those of the relational source.
     adv = adv.select(
         F.col("o_orderkey").alias("id"),
         F.concat("lang", F.lit(":"), "copy").alias("duplicategroup"),
