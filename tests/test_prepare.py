@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from vacanta.operators.dedup import dedup_within_year
 from vacanta.operators.nest import wide_postings
-from vacanta.plans.pipeline import prepare
+from vacanta.plans.pipeline import _places, _without, prepare, with_place
 from vacanta.schema import PrepareConfig, ad_schema
 from vacanta.sources.buckets import bucket_count, open_buckets, store_buckets
-from vacanta.sources.staging import stage
+from vacanta.sources.staging import new_path, stage
 
 
 def postings(spark, n=400, seed=1):
@@ -92,3 +92,57 @@ def test_bucketed_sources_nest_without_a_shuffle(spark):
     with pytest.raises(ValueError, match="table name"):
         store_buckets(sources[0], "no name", "id", 8)
     assert [bucket_count(n, 10) for n in (0, 10, 11, 25, 41)] == [1, 1, 2, 4, 8]
+
+
+def test_texts_that_lie_once_are_joined_last(spark):
+    """The same wide rows as from details with texts, and texts meet them by their own key only."""
+    adv, details, *children = relational(spark)
+    texts = spark.createDataFrame([(i, f"t{i}", None if i == 4 else f"text {i}") for i in (0, 1, 2, 3, 3, 4)], "text_id long, title string, raw_text string")
+    which = details.select("advertisement_id", F.when(F.col("advertisement_id") != 12, F.col("advertisement_id") % 6).alias("text_id"))
+    whole = which.join(texts, "text_id").drop("text_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = wide_postings(adv, which, *children, texts)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        drop = lambda df: sorted(map(str, df.drop("created", "tst_created").collect()))
+        assert out.count() == 59 and drop(out) == drop(wide_postings(adv, whole, *children))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(text_id#") == 2
+
+
+def test_relational_texts_are_stored_once(spark, sf_dir):
+    from vacanta.plans.catalog_prep import _relational
+
+    _, details, *_, texts = _relational(spark, sf_dir)
+    assert details.columns == ["advertisement_id", "text_id"] and texts.columns == ["text_id", "title", "raw_text"]
+    assert texts.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_rows_leave_by_their_place(spark):
+    """Bits over more than one row of them, and none for a file."""
+    path = new_path(spark, "placed")
+    spark.range(70_000).coalesce(1).write.parquet(path)
+    spark.range(70_000, 70_010).coalesce(1).write.mode("append").parquet(path)
+    placed = with_place(spark.read.parquet(path))
+    gone = "id % 7 = 3 AND id < 70000 OR id IN (0, 7, 32767, 32768, 69999)"
+    kept = _without(placed, _places(placed.where(gone)))
+    assert kept.columns == placed.columns
+    assert [r.id for r in kept.select("id").orderBy("id").collect()] == [r.id for r in placed.where(f"NOT ({gone})").select("id").orderBy("id").collect()]
+
+
+def test_long_lists_share_one_shuffle_by_pieces_of_files(spark):
+    ads = stage(postings(spark, 100), "ads")
+    short = sorted(map(str, prepare(ads).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = prepare(ads)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, out.collect())) == short
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The wide rows once and the two lists.
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Exchange hashpartitioning(_file#") == 3 and "_firm_id#" in plan
+    assert all("_part#" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)

@@ -48,8 +48,14 @@ def wide_postings(
     country: DataFrame,
     canton: DataFrame,
     company_metadata: DataFrame,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
-    """The wide posting table from its six relational sources."""
+    """The wide posting table from its six relational sources.
+
+    Where texts lie in a table of their own (``texts``: text_id, title, raw_text), ``details`` tells which one
+    an advertisement has (advertisement_id, text_id). Everything else is then nested first: rows meet their
+    texts last, in the order of these, and no text is shuffled with an advertisement.
+    """
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     place = F.struct(
         "country",
@@ -59,9 +65,8 @@ def wide_postings(
     )
     title_jobs = metadata.where("type = 'JOB' AND source = 'TITLE' AND name IS NOT NULL")
     industries = company_metadata.where("type = 'INDUSTRY'")
-    ads = advertisements.join(
-        details.withColumnRenamed("advertisement_id", "id").select("id", "title", "raw_text"), "id"
-    )
+    of_details = ("title", "raw_text") if texts is None else ("text_id",)
+    ads = advertisements.join(details.withColumnRenamed("advertisement_id", "id").select("id", *of_details), "id")
     nested = nest_children(
         ads,
         "id",
@@ -77,6 +82,8 @@ def wide_postings(
             ),
         ],
     )
+    if texts is not None:
+        nested = nested.join(texts.select("text_id", "title", "raw_text"), "text_id")
     address = "array<struct<country:string,city:string,postal_code:string,street:string,is_primary:boolean>>"
     company = F.struct(
         F.col("company_id").alias("id"),

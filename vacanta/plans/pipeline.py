@@ -36,29 +36,52 @@ def with_place(ads: DataFrame) -> DataFrame:
         return with_place(stage(ads, "ads"))
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """The places of ``rows`` as bits, 32,768 places of a file to a row."""
+    place = F.col("_row") + 1
+    return rows.groupBy("_file", F.bitmap_bucket_number(place).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+
+
+def _without(df: DataFrame, *lists: DataFrame) -> DataFrame:
+    """``df`` without the rows at the places of the lists; rows of a file that lie together stay together."""
+    place = F.col("_row") + 1
+    at = F.bitmap_bit_position(place)
+    out = df.withColumn("_part", F.bitmap_bucket_number(place))
+    listed = F.lit(False)
+    for i, places in enumerate(lists):
+        bits = f"_bits_{i}"
+        out = out.join(places.withColumnRenamed("_bits", bits), ["_file", "_part"], "left")
+        byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        listed = listed | F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return out.where(~listed).select(*df.columns)
+
+
 def prepare(ads: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
     """Wide postings to clean ones: filter, keep the first copy per year, drop outlier firm-years.
 
     Languages are restricted last. Which rows stay is found out on narrow ones, without any text: key,
     date, URL, firm, size class and the place of the row. The first copy per year and key is chosen
     among these, firm-years are counted and screened on them, and the wide rows lose what is on two
-    short lists, copies by their place and outlier firm-years. Both lists are staged, so joins know
-    their true sizes, and wide rows are not shuffled unless a list is too long to send around. Which
-    copy stays is settled by date, URL and place in the table, so every pass and every retry picks the
-    same one.
+    short lists, places of copies and of outlier firm-years. The lists are bits, one for a row of the
+    table. Both are staged, so joins know their true sizes, and wide rows are not shuffled unless a list
+    is too long to send around; then both lists take the same shuffle, by pieces of files. Which copy
+    stays is settled by date, URL and place in the table, so every pass and every retry picks the same one.
     """
     c = config.columns
     flat = flatten_and_filter(with_place(ads), config).withColumn("year", F.year(c.date))
     tie = [x for x in ("url",) if x in flat.columns]
     narrow = stage(flat.select("year", c.job_id, c.date, *tie, "_firm_id", "_size_id", *_PLACE), "narrow")
     unique = stage(dedup_within_year(narrow, c.job_id, [c.date, *tie, *_PLACE]).select("year", "_firm_id", "_size_id", *_PLACE), "unique")
-    copies = stage(narrow.select(*_PLACE).join(unique.select(*_PLACE), [*_PLACE], "left_anti"), "copies")
+    copies = stage(_places(narrow.select(*_PLACE).join(unique.select(*_PLACE), [*_PLACE], "left_anti")), "copies")
     counts = stage(firm_year_counts(unique, "_firm_id", "_size_id"), "firm-years")
     outliers = stage(
         outliers_of_counts(counts, dict(config.size_alpha), config.fallback_alpha, "_firm_id", "_size_id"), "outliers"
     )
-    first = flat.join(copies, [*_PLACE], "left_anti").drop(*_PLACE)
-    clean = drop_outlier_firm_years(first, outliers, "_firm_id")
+    usual = drop_outlier_firm_years(unique, outliers, "_firm_id").select(*_PLACE)
+    outlying = stage(_places(unique.select(*_PLACE).join(usual, [*_PLACE], "left_anti")), "outlying")
+    clean = _without(flat, copies, outlying)
+    keys = ["_firm_id", "year"]
+    clean = clean.select(*keys, *[x for x in clean.columns if x not in (*keys, *_PLACE)])
     return allow_languages(clean, config.languages, c.language)
 
 
