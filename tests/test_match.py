@@ -23,6 +23,7 @@ from vacanta.operators.match import (
     match_longest_first,
 )
 from vacanta.plans.views import TEST_DICTIONARY, ads
+from vacanta.sources.staging import stage
 
 
 def kw(name, group=1, **forms):
@@ -190,6 +191,14 @@ def test_ten_thousand_spellings_classify_as_one_by_one(spark):
         assert got == expected
 
 
+def test_short_forms_meet_the_sequences_without_a_shuffle(spark):
+    rows = stage(spark.createDataFrame([(i, f"a b c {i}", "en") for i in range(50)], "ad_id int, text string, language string"), "ads")
+    out = by_join(rows, Dictionary((kw("a b c"), kw("a"), kw("b 7"))))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(spelling" not in plan and "BroadcastHashJoin [spelling" in plan
+    assert [len(r.matches) for r in out.orderBy("ad_id").collect()] == [2] * 50
+
+
 def test_join_refuses_a_stream(spark):
     stream = spark.readStream.format("rate").load().selectExpr("'a' AS text", "'en' AS language")
     with pytest.raises(ValueError, match="stream"):

@@ -24,6 +24,7 @@ from vacanta.functions.patterns import (
     stem_tree_pattern,
 )
 from vacanta.functions.text import fold, json_literal, normalize
+from vacanta.sources.staging import stage
 
 MATCH_TYPE = T.ArrayType(
     T.StructType(
@@ -173,15 +174,18 @@ def match_by_join(
     """Result of :func:`match_keywords` for a table of forms that is data itself, of any size.
 
     ``forms``: spelling (normalised), bucket, keyword, group. Word sequences up to the longest
-    spelling are joined with it; the sequences of a text are made distinct before they are
-    shuffled, and only hits are grouped back. Hits depend on text and language alone, so they are
-    grouped and joined by a digest of the two: ids may be missing or repeated. Batch only.
+    spelling are joined with it. Forms are staged first, so that the join knows their true size: forms
+    that are short enough to send around meet the sequences where these are made, and for others the
+    sequences of a text are made distinct before they are shuffled. Only hits are grouped back. Hits
+    depend on text and language alone, so they are grouped and joined by a digest of the two: ids may be
+    missing or repeated. Batch only.
     """
     if ads.isStreaming:
         raise ValueError("match_by_join groups over the whole table and does not run on a stream; use match_keywords")
+    forms = stage(forms.select("spelling", "bucket", "keyword", "group"), "forms")
     longest = forms.agg(F.max(F.size(F.split("spelling", " ")))).first()[0] or 1
     norm = F.col(text) if normalized else normalize(F.col(text))
-    digest = F.sha2(F.concat_ws("\0", F.coalesce(F.col(language), F.lit("")), F.coalesce(F.col(text), F.lit(""))), 256)
+    digest = F.unhex(F.sha2(F.concat_ws("\0", F.coalesce(F.col(language), F.lit("")), F.coalesce(F.col(text), F.lit(""))), 256))
 
     def sequences_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1)))
@@ -191,7 +195,7 @@ def match_by_join(
     found = (
         ads.select(digest.alias("_key"), F.col(language).alias("_lang"), F.split(norm, " ").alias("_words"))
         .select("_key", "_lang", F.explode(sequences).alias("spelling"))
-        .join(forms.select("spelling", "bucket", "keyword", "group"), "spelling")
+        .join(forms, "spelling")
         .where((F.col("bucket") == "en") | (F.col("bucket") == F.col("_lang")))
         .groupBy("_key")
         .agg(F.array_sort(F.collect_set(F.struct("bucket", "keyword", "group"))).alias("_hits"))
