@@ -15,13 +15,16 @@ from vacanta.functions.patterns import (
     prefix_tree_pattern,
 )
 from vacanta.operators.match import (
+    _longest_first_pattern,
     candidates,
     classify_group,
     forms_table,
     match_by_join,
     match_keywords,
     match_longest_first,
+    passes_prefilter,
 )
+from vacanta.operators.triple_lock import beside_makers
 from vacanta.plans.views import TEST_DICTIONARY, ads
 from vacanta.sources.staging import stage
 
@@ -107,6 +110,36 @@ def test_prefilter_drops_short_only_hits(spark):
     assert hits == [set(), {("en", "GPT"), ("en", "chatbot")}, {("en", "GPT")}]
 
 
+def test_first_letters_count_in_either_case(spark):
+    words = Dictionary((kw("Kit"), kw("\u00e9tude"), kw("3d"), kw("_x")))
+    texts = ["KIT", "\u212ait", "\u00c9tude 3D", "_X", "ait kits"]
+    hits = [{k for _, k in h} for h in found(spark, words, texts, match_longest_first, prefilter=False)]
+    assert hits == [{"Kit"}, {"Kit"}, {"\u00e9tude", "3d"}, {"_x"}, set()]
+    pattern = _longest_first_pattern(["kit", "\u017fan"])
+    assert "(?-iu:[KSks[^\\x00-\\x7F]])" in pattern
+    rows = spark.createDataFrame([(t,) for t in ("KIT", "\u212ait", "it", "_ \u017fan")], "t string").select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("x")).collect()
+    assert [r.x for r in rows] == [["KIT"], ["\u212ait"], [], ["\u017fan"]]
+
+
+def test_prefilter_asks_the_passages_first(spark):
+    """The whole text is searched only where no passage has a literal itself; both ways drop the same ads."""
+    words = Dictionary((kw("GPT"), kw("chat bot"), kw("\u03bb\u03cc\u03b3\u03bf\u03c2")))
+    texts = ["GPT, chatbot", "GPT, a chat  bot", "GPT, CHAT-BOT", "chat\tbot", "\u039b\u038c\u0393\u039f\u03a3", "\u039b\u038c\u0393\u039f\u03a3-GPT", "GPT xchat botx", None]
+    expected = []
+    for text, hits in zip(texts, found(spark, words, texts[:-1], match_longest_first, prefilter=False) + [set()], strict=True):
+        row = spark.createDataFrame([(text,)], "text string").select(passes_prefilter(F.col("text"), words).alias("ok")).first()
+        expected.append(hits if row.ok else set())
+    assert found(spark, words, texts, match_longest_first) == expected and expected[2] == {("en", "GPT"), ("en", "chat bot")} and expected[0] == set()
+    out = match_longest_first(spark.createDataFrame([("a", "en")], "text string, language string"), words)
+    assert re.search(r"exists\(concat\(.*?RLIKE.*? OR ", out._jdf.queryExecution().analyzed().toString(), re.S | re.I)
+
+
+def test_makers_are_sought_beside_copilot_only(spark):
+    rows = [(1, "x", ["Copilot"]), (2, "github", ["Copilot"]), (3, "github", ["A"]), (4, None, ["Copilot"]), (5, "github", [])]
+    df = spark.createDataFrame([(i, t, [("en", k, 1) for k in ks]) for i, t, ks in rows], "ad_id int, text string, matches array<struct<bucket:string,keyword:string,group:int>>")
+    assert [r.m for r in df.select("ad_id", beside_makers().alias("m")).orderBy("ad_id").collect()] == [False, True, False, False, False]
+
+
 def test_prefilter_literals_are_minimal():
     words = Dictionary((kw("data base"), kw("base"), kw("abc")))
     assert prefilter_literals(words) == ["base"]

@@ -215,21 +215,31 @@ _GAP = r"[\s\x1C-\x1F\x85\p{Z}\-]+"
 def _longest_first_pattern(spellings: Iterable[str]) -> str:
     """Any spelling between word edges.
 
-    The start edge is tried before the tree, and on most characters the plain ASCII test settles it.
+    The start edge is tried before the tree, and on most characters the plain ASCII test settles it. Of
+    ASCII characters only those that a spelling begins with, in either case, come to the costly part of it.
     """
     words = [s for s in spellings if s[0] == "_" or s[0].isalnum()]
     others = [s for s in spellings if s not in set(words)]
-    starts = [(rf"(?<!\w)(?<!{_WORD})", words), (rf"(?<={_WORD})", others)]
+    cased = {c for s in words for x in (s[0], *s[0].lower(), *s[0].upper()) for c in (x, *x.lower(), *x.upper())}
+    first = rf"(?=(?-iu:[{''.join(sorted(c for c in cased if c.isascii()))}[^\x00-\x7F]]))"
+    starts = [(rf"(?<!\w){first}(?<!{_WORD})", words), (rf"(?<={_WORD})", others)]
     branches = [e + f"(?:{prefix_tree_pattern(part, gap=_GAP)})" for e, part in starts if part]
     return f"(?iu)(?:{'|'.join(branches)}){_EDGE}"
 
 
-def _longest_first_hits(text: Column, dictionary: Dictionary, language: str) -> Column:
+def _longest_first_found(text: Column, dictionary: Dictionary, language: str) -> Column:
+    """Distinct passages of ``text`` that are spellings of a language, as they are written."""
+    table = longest_first_table(dictionary, language)
+    if not table:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_longest_first_pattern(table)), F.lit(0)))
+
+
+def _longest_first_hits(found: Column, dictionary: Dictionary, language: str) -> Column:
     table = longest_first_table(dictionary, language)
     if not table:
         return _no_hits()
     groups = {k.keyword: k.group for k in dictionary.keywords}
-    found = F.regexp_extract_all(text, F.lit(_longest_first_pattern(table)), F.lit(0))
     spelling = F.array_distinct(
         F.transform(found, lambda s: F.lower(F.regexp_replace(s, _GAP, " ")))
     )
@@ -258,22 +268,32 @@ def match_longest_first(
     a shorter one inside it. With ``prefilter`` an ad without any literal of four or more
     characters has no hits, even if a shorter keyword occurs.
     """
-    english = _longest_first_hits(F.col(text), dictionary, "en")
-    local = None
-    for lang in LOCAL_LANGUAGES:
-        hits = _longest_first_hits(F.col(text), dictionary, lang)
-        cond = F.col(language) == lang
-        local = F.when(cond, hits) if local is None else local.when(cond, hits)
-    hits = F.array_sort(F.concat(english, local.otherwise(_no_hits())))
+    def of_language(hits: Callable[[str], Column], none: Column) -> Column:
+        local = None
+        for lang in LOCAL_LANGUAGES:
+            cond = F.col(language) == lang
+            local = F.when(cond, hits(lang)) if local is None else local.when(cond, hits(lang))
+        return local.otherwise(none)
+
+    def found(lang: str) -> Column:
+        return _longest_first_found(F.col(text), dictionary, lang)
+
+    passages = F.struct(found("en").alias("en"), of_language(found, F.array().cast("array<string>")).alias("local"))
+    out = with_once(ads, "_found", passages)
+    english = _longest_first_hits(F.col("_found.en"), dictionary, "en")
+    hits = F.array_sort(F.concat(english, of_language(lambda lang: _longest_first_hits(F.col("_found.local"), dictionary, lang), _no_hits())))
     if not prefilter:
-        return with_once(ads, "matches", hits)
-    # The literal test looks at every character, so it is left to the few ads with a hit.
-    passed = F.when(
-        F.size("_hits") > 0,
-        F.when(passes_prefilter(F.col(text), dictionary), F.col("_hits")),
-    )
-    out = with_once(ads, "_hits", hits)
-    return with_once(out, "matches", F.coalesce(passed, _no_hits())).drop("_hits")
+        return with_once(out, "matches", hits).drop("_found")
+    # The literal test looks at every character, so it is left to the few ads of whose passages none
+    # has a literal itself. Lower case of a sigma depends on what follows, which a passage does not show.
+    sure = [x for x in prefilter_literals(dictionary) if not set(x) & set("\u03c3\u03c2")]
+    passes = passes_prefilter(F.col(text), dictionary)
+    if sure:
+        own = F.exists(F.concat("_found.en", "_found.local"), lambda s: F.lower(s).rlike(prefix_tree_pattern(sure)))
+        passes = own | passes
+    out = with_once(out, "_hits", hits)
+    passed = F.when(F.size("_hits") > 0, F.when(passes, F.col("_hits")))
+    return with_once(out, "matches", F.coalesce(passed, _no_hits())).drop("_hits", "_found")
 
 
 def keywords(matches: Column | None = None) -> Column:

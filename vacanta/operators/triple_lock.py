@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacanta.functions.patterns import Dictionary
-from vacanta.operators.match import keywords
+from vacanta.operators.match import keywords, with_once
 from vacanta.operators.running import running_total
 from vacanta.operators.trend import ols, yearly_columns
 from vacanta.sources.incremental import DIGESTS, partition_digests, read_partitioned
@@ -34,6 +34,12 @@ def copilot_context(first: str, second: str) -> str:
     return COPILOT_CONTEXT.replace("microsoft", first).replace("github", second)
 
 
+def beside_makers(text: str = "text", makers: str = COPILOT_CONTEXT) -> Column:
+    """Whether an ad with "Copilot" among its ``matches`` names the makers; no other text is searched."""
+    named = F.exists("matches", lambda m: m["keyword"] == "Copilot")
+    return F.when(named, F.coalesce(F.col(text).rlike(makers), F.lit(False))).otherwise(F.lit(False))
+
+
 # Format of stored keyword counts; older files are refused.
 COUNTS_FORMAT_VERSION = 3
 _COUNTS = "year int, month int, bucket string, keyword string, n long, month_total long, language_total long, format_version int"
@@ -317,7 +323,8 @@ def flag_rules(
     pair = F.concat_ws("\u0001", "lang", "keyword")
     sets = groups.agg(
         F.struct(
-            *[F.collect_set(F.when(F.col("group") == g, pair)).alias(f"g{g}") for g in (1, 2, 4)]
+            *[F.collect_set(F.when(F.col("group") == g, pair)).alias(f"g{g}") for g in (1, 2)],
+            F.collect_set(F.when(F.col("group").isin(1, 2, 4), pair)).alias("rated"),
         ).alias("s")
     ).scalar()
     dense = intensive.agg(F.collect_set("occupation")).scalar()
@@ -330,19 +337,14 @@ def flag_rules(
         def member(m: Column) -> Column:
             if g < 3:
                 return F.array_contains(F.col("_s")[f"g{g}"], key(m))
-            rated = F.array_union(F.array_union(F.col("_s")["g1"], F.col("_s")["g2"]), F.col("_s")["g4"])
-            return ~F.array_contains(rated, key(m))
+            return ~F.array_contains(F.col("_s")["rated"], key(m))
 
         return keywords(F.filter("matches", member))
 
-    out = out.withColumns(
-        {
-            "matched_keywords": keywords(),
-            "matched_g1_keywords": of_group(1),
-            "matched_g2_keywords": of_group(2),
-            "matched_g3_keywords": of_group(3),
-        }
-    )
+    # The lists are used by several rules and taken once per row.
+    lists = {"matched_keywords": keywords(), **{f"matched_g{g}_keywords": of_group(g) for g in (1, 2, 3)}}
+    out = with_once(out, "_lists", F.struct(*[x.alias(name) for name, x in lists.items()]))
+    out = out.withColumns({name: F.col("_lists")[name] for name in lists}).drop("_lists")
     n1, n2, n3 = (F.size(f"matched_g{g}_keywords") for g in (1, 2, 3))
     aviation = F.coalesce(F.col(occupation).isin(*AVIATION_OCCUPATIONS), F.lit(False))
     not_copilot = F.filter("matched_g2_keywords", lambda k: F.lower(k) != "copilot")

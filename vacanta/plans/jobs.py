@@ -107,7 +107,7 @@ def run_rules(
     matched = match_longest_first(ads, dictionary)
     spark = ads.sparkSession
     kept = ["ad_id", "year", "month", "language", "occupation", "matches"]
-    slim = stage(matched.select(*kept, F.lit("").alias("text"), F.coalesce(F.col("text").rlike(makers), F.lit(False)).alias("makers")), "matched")
+    slim = stage(matched.select(*kept, F.lit("").alias("text"), tl.beside_makers("text", makers).alias("makers")), "matched")
     counts = tl.reusable_counts(slim, counts_path, tl.dictionary_digest(dictionary))
     groups = stage(tl.dhs_groups(dictionary_frame(spark, dictionary), counts.select("year", "bucket", "keyword", "n"), rules), "groups")
     sigs = stage(signatures(slim, "year", "occupation"), "signatures")
