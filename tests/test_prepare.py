@@ -112,6 +112,45 @@ def test_texts_that_lie_once_are_joined_last(spark):
     assert plan.count("Exchange hashpartitioning(text_id#") == 2
 
 
+def shuffled(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_storing_in_buckets_shuffles_nothing(spark):
+    """Rows of many tasks, without a key as well, lie in their buckets, and a task's rows in order of the key."""
+    df = spark.range(5_000, numPartitions=5).select(F.when(F.col("id") % 9 != 0, F.col("id") % 700).alias("k"), "id")
+    rows, before = sorted(map(str, df.collect())), shuffled(spark)
+    stored = store_buckets(df, "stored_as_they_come", "k", 4)
+    assert sorted(map(str, stored.collect())) == rows and shuffled(spark) == before
+    files = stored.select(F.input_file_name().alias("file"), F.when(F.col("k").isNotNull(), F.pmod(F.hash("k"), F.lit(4))).alias("bucket")).distinct().collect()
+    assert len({r.file for r in files}) == 20
+    assert all(int(r.file.rsplit("_", 1)[1].split(".")[0]) == r.bucket for r in files if r.bucket is not None)
+
+
+def test_measures_meet_the_texts_in_place_of_the_arrays(spark):
+    adv, details, *children = relational(spark, 3_000)
+    texts = spark.createDataFrame([(i, f"t{i}", f"text {i}") for i in (0, 1, 2, 2)], "text_id long, title string, raw_text string")
+    which = details.select("advertisement_id", (F.col("advertisement_id") % 4).alias("text_id"))
+    many = [c.crossJoin(spark.range(20).drop("id").hint("broadcast")) for c in children]
+    measures = {"n": F.size("occupations"), "places": F.size("locations"), "firm": F.size("industries"), "where": F.array_join("cantons_bonus", ",")}
+    old = [F.size("occupations").alias("n"), F.size("locations").alias("places"), F.size("company.metadata").alias("firm"), F.array_join("cantons_bonus", ",").alias("where")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = ["id", *["advertisement_id"] * 5, "text_id"]
+        stored = [store_buckets(df, f"measured_{i}", key, 4) for i, (df, key) in enumerate(zip([adv, which, *many, texts], keys, strict=True))]
+        rows, sent = [], []
+        for out in (wide_postings(*stored).select(*old), wide_postings(*stored, measures=measures).select(*measures)):
+            start = shuffled(spark)
+            rows.append(sorted(map(str, out.collect())))
+            sent.append(shuffled(spark) - start)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows[0] == rows[1] and len(rows[0]) == 3_000
+    assert 0 < 2 * sent[1] < sent[0]
+
+
 def test_relational_texts_are_stored_once(spark, sf_dir):
     from vacanta.plans.catalog_prep import _relational
 

@@ -49,12 +49,17 @@ def wide_postings(
     canton: DataFrame,
     company_metadata: DataFrame,
     texts: DataFrame | None = None,
+    measures: dict[str, Column] | None = None,
 ) -> DataFrame:
     """The wide posting table from its six relational sources.
 
     Where texts lie in a table of their own (``texts``: text_id, title, raw_text), ``details`` tells which one
     an advertisement has (advertisement_id, text_id). Everything else is then nested first: rows meet their
     texts last, in the order of these, and no text is shuffled with an advertisement.
+
+    ``measures`` are further columns over ``occupations``, ``locations``, ``cantons_bonus`` and ``industries``
+    (the company's metadata). They are taken before rows meet their texts, so a query that selects them
+    and not the arrays does not shuffle these.
     """
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     place = F.struct(
@@ -78,10 +83,12 @@ def wide_postings(
                 industries,
                 "advertisement_id",
                 F.struct(F.col("metadata_id").alias("id"), "name", "type"),
-                "_company_metadata",
+                "industries",
             ),
         ],
     )
+    measures = measures or {}
+    nested = nested.withColumns(measures)
     if texts is not None:
         nested = nested.join(texts.select("text_id", "title", "raw_text"), "text_id")
     address = "array<struct<country:string,city:string,postal_code:string,street:string,is_primary:boolean>>"
@@ -90,7 +97,7 @@ def wide_postings(
         F.col("company_name").alias("name"),
         F.col("company_uid").alias("bfs_uid"),
         F.col("company_crn").alias("crn"),
-        F.col("_company_metadata").alias("metadata"),
+        F.col("industries").alias("metadata"),
         F.array().cast(address).alias("addresses"),
         F.struct(
             F.col("company_size_id").alias("id"),
@@ -123,4 +130,5 @@ def wide_postings(
         "origin",
         company.alias("company"),
         "occupations",
+        *measures,
     )
