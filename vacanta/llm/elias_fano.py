@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cached_property
 
 import numpy as np
 
@@ -50,33 +51,33 @@ class EliasFano:
     def nbytes(self) -> int:
         return self.low.nbytes + self.words.nbytes + self.zeros.nbytes
 
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part of at most ``high``: the ones before that zero, counted from 0."""
-        block = np.searchsorted(self.zeros, high, side="right") - 1
-        block = np.minimum(block, len(self.words) - 1)
-        rest = high - self.zeros[block]
-        word = ~self.words[block]
-        at = np.zeros(len(high), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # the rest-th one of the word, by halving
-            part = np.bitwise_count((word >> at.astype(_U)) & _U((1 << width) - 1)).astype(np.int64)
-            beyond = rest >= part
-            rest = np.where(beyond, rest - part, rest)
-            at += np.where(beyond, width, 0)
-        return block * 64 + at - high
+    @cached_property
+    def _ends(self) -> np.ndarray:
+        """How many values have a high part of at most each: the ones before that zero.
 
-    def values(self, index: np.ndarray) -> np.ndarray:
-        """Low parts at the given indices."""
-        out = np.zeros(len(index), _U)
-        rows = self.low[index]
+        Batches are about as long as the sequence, so all zeros are looked up once.
+        """
+        marks = np.unpackbits(self.words.view(np.uint8), bitorder="little")
+        zeros = np.flatnonzero(marks == 0)[: self.highest + 1]
+        return zeros - np.arange(len(zeros))
+
+    @cached_property
+    def _lows(self) -> np.ndarray:
+        """Low parts as integers."""
+        out = np.zeros(self.n, _U)
         for k in range(self.low_bytes):
-            out |= rows[:, k].astype(_U) << _U(8 * k)
+            out |= self.low[:, k].astype(_U) << _U(8 * k)
         return out
 
+    def values(self, index: np.ndarray) -> np.ndarray:
+        """Low parts at the given indices."""
+        return self._lows[index]
+
     def _search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First index whose value is not below each wanted one, and the end of the run of its high part."""
         high = np.minimum((wanted >> _U(8 * self.low_bytes)).astype(np.int64), self.highest - 1)
-        start = np.where(high > 0, self._before(np.maximum(high - 1, 0)), 0)
-        end = self._before(high)
+        end = self._ends[high]
+        start = np.where(high > 0, self._ends[np.maximum(high - 1, 0)], 0)
         rest = wanted & _U((1 << (8 * self.low_bytes)) - 1)
         low, up = start, end.copy()
         while True:

@@ -8,9 +8,12 @@ these. Three rounds of requests go from blocks to shards and back:
 2. Word pairs. A shard holds successors of contexts: it sums the training counts of distinct pairs,
    builds a trie level (contexts, successors relative to their context, quantised probabilities), maps
    it from a file and answers the blocks' pairs by successor search with quantised probabilities.
-3. Word triples. Contexts are the word pairs that occur in training, named by a hash of 62 bits: a block
-   asks for the triples behind these only, with the pair's training count that the second round told it.
-   Shards work as in the second round.
+3. Word triples. Contexts are the word pairs that occur in training, named by their shard and place in the
+   second round's level: a block asks for the triples behind these only, with what that round told it, the
+   pair's place and training count. Shards work as in the second round.
+
+Blocks lie in buckets of their number: texts never move, answers come to them. Numbers and places rise in
+the order of requests and are told as steps; the code of a pair follows from its count and its context's.
 
 Probabilities are p(w | t, u) = c(t, u, w) / (c(t, u) + MASS) + MASS / (c(t, u) + MASS) * p(w | u) behind a
 pair that training has, p(w | u) = c(u, w) / (c(u) + MASS) + MASS / (c(u) + MASS) * p(w) behind another known
@@ -34,6 +37,7 @@ empty table gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,7 @@ from pyspark.sql import functions as F
 
 from vacanta.llm.batches import LOWER_BYTE, SPACE_BYTE, blocks, flat, for_texts, mix, span_hashes, spans
 from vacanta.llm.elias_fano import EliasFano, TrieLevel
+from vacanta.sources.buckets import store_buckets
 from vacanta.sources.staging import stage
 
 #: Text bytes of a block.
@@ -65,16 +70,53 @@ BLOCK_SCHEMA = "block long, ids array<long>, training array<boolean>, sizes arra
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Compressed bytes of an array: byte planes, which suit small and sorted numbers."""
-    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+    """Compressed bytes of unsigned integers: the byte planes that they need, which suit small and sorted numbers."""
+    if not len(x):
+        return b""
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    planes = np.empty((width, len(x)), np.uint8)
+    for k in range(width):
+        planes[k] = (x >> x.dtype.type(8 * k)).astype(np.uint8)
+    return bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(data: bytes, kind: str, n: int) -> np.ndarray:
     kind = np.dtype(kind)
     if not n:
         return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(data, n * kind.itemsize, "zstd", asbytes=True), np.uint8).reshape(kind.itemsize, n)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[1:], data[0] * n, "zstd", asbytes=True), np.uint8).reshape(data[0], n)
+    out = planes[0].astype(kind)
+    for k in range(1, data[0]):
+        out |= planes[k].astype(kind) << kind.type(8 * k)
+    return out
+
+
+def pack_tokens(tokens: np.ndarray) -> bytes:
+    """Compressed numbers of a block's words, counted as they first occur: a new word is 0, a known one its number and 1."""
+    before = np.maximum.accumulate(np.concatenate([[-1], tokens.astype(np.int64)]))[:-1]
+    return pack(np.where(tokens > before, 0, tokens + 1).astype(np.uint32))
+
+
+def unpack_tokens(data: bytes, n: int) -> np.ndarray:
+    coded = unpack(data, "u4", n).astype(np.int64)
+    new = coded == 0
+    return np.where(new, np.cumsum(new) - 1, coded - 1)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the distinct ones, and these in order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    codes = np.empty(len(keys), np.int64)
+    codes[order] = np.cumsum(new) - 1
+    return codes, ordered[new]
+
+
+def _by_shard(shard: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order by shard."""
+    return np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,23 +150,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         texts = pa.chunked_array(rows["text"].chunks or [pa.array([], pa.string())]).combine_chunks()
         hashes, sizes = tokens_of(texts)
-        codes, seen = pd.factorize(hashes)
-        order = np.argsort(seen)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        tokens = rank[codes].astype(np.uint32)
+        tokens, seen = pd.factorize(hashes)
         training = pc.fill_null(rows["training"], False).to_numpy().astype(bool)
-        counts = np.bincount(tokens[np.repeat(training, sizes)], minlength=len(order))
+        counts = np.bincount(tokens[np.repeat(training, sizes)], minlength=len(seen))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([(task << 24) + number], pa.int64()),
                 pa.array([rows["id"].to_pylist()], pa.list_(pa.int64())),
                 pa.array([training.tolist()], pa.list_(pa.bool_())),
                 pa.array([sizes.tolist()], pa.list_(pa.int32())),
-                pa.array([len(order)], pa.int64()),
-                pa.array([seen[order].astype(np.uint64).tobytes()], pa.binary()),
+                pa.array([len(seen)], pa.int64()),
+                pa.array([seen.astype(np.uint64).tobytes()], pa.binary()),
                 pa.array([pack(counts.astype(np.uint32))], pa.binary()),
-                pa.array([pack(tokens)], pa.binary()),
+                pa.array([pack_tokens(tokens)], pa.binary()),
             ],
             ["block", "ids", "training", "sizes", "n_words", "words", "counts", "tokens"],
         )
@@ -147,7 +185,8 @@ def _word_requests(bits: int):
         for batch in batches:
             for row in batch.to_pylist():
                 words = np.frombuffer(row["words"], np.uint64)
-                counts = unpack(row["counts"], "u4", row["n_words"])
+                order = np.argsort(words)
+                words, counts = words[order], unpack(row["counts"], "u4", row["n_words"])[order]
                 cut = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)) if bits else np.zeros(1, np.int64)
                 cut = np.append(cut, len(words))
                 full = np.flatnonzero(np.diff(cut))
@@ -156,7 +195,7 @@ def _word_requests(bits: int):
                         pa.array(full, pa.int64()),
                         pa.array(np.full(len(full), row["block"]), pa.int64()),
                         pa.array(np.diff(cut)[full], pa.int64()),
-                        pa.array([words[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()),
+                        pa.array([pack(np.diff(words[cut[s] : cut[s + 1]], prepend=_U(0))) for s in full], pa.binary()),
                         pa.array([pack(counts[cut[s] : cut[s + 1]]) for s in full], pa.binary()),
                     ],
                     ["shard", "block", "n", "words", "counts"],
@@ -170,7 +209,8 @@ def _word_shard(bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         shard, rows = table["shard"][0].as_py(), table.to_pylist()
-        words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+        asked = [np.cumsum(unpack(r["words"], "u8", r["n"])) for r in rows]
+        words = np.concatenate(asked)
         counts = np.concatenate([unpack(r["counts"], "u4", r["n"]) for r in rows]).astype(np.int64)
         codes, seen = pd.factorize(words)
         sums = np.bincount(codes, weights=counts, minlength=len(seen)).astype(np.int64)
@@ -181,15 +221,14 @@ def _word_shard(bits: int):
         base = _U(shard << (64 - bits)) if bits else _U(0)
         level = EliasFano((names - base) >> _U(1 if not bits else 0), 1 << (64 - max(bits, 1)))
         out = []
-        for r in rows:
-            own = (np.frombuffer(r["words"], np.uint64) - base) >> _U(1 if not bits else 0)
-            at = level.find(own)
+        for r, own in zip(rows, asked, strict=True):
+            at = level.find((own - base) >> _U(1 if not bits else 0))
             found = at >= 0
-            number = np.where(found, at * (1 << bits) + shard + 1, 0).astype(np.uint64)
+            number = (at[found] * (1 << bits) + shard + 1).astype(np.uint64)
             if int(number.max(initial=0)) >= 1 << 40:
                 raise ValueError("too many words for five-byte numbers")
             count = np.where(found, sums[np.maximum(at, 0)] if len(sums) else 0, 0).astype(np.uint64)
-            out.append({"block": r["block"], "shard": shard, "n": r["n"], "numbers": pack(number), "found": pack(count), "total": 0, "distinct": 0})
+            out.append({"block": r["block"], "shard": shard, "n": r["n"], "numbers": pack(np.diff(number, prepend=_U(0))), "found": pack(count), "total": 0, "distinct": 0})
         out.append({"block": -1, "shard": shard, "n": 0, "numbers": b"", "found": b"", "total": int(sums.sum()), "distinct": len(names)})
         return pa.Table.from_pylist(out, ANSWER)
 
@@ -200,28 +239,47 @@ ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("n", pa.int64
 ANSWER_SCHEMA = "block long, shard long, n long, numbers binary, found binary, total long, distinct long"
 
 
+def _rising(told: list[dict], found: np.ndarray) -> np.ndarray:
+    """Numbers that answers tell as steps, one for each that was found; 0 for the others."""
+    out, at = np.zeros(len(found), np.int64), 0
+    for a in told:
+        there = np.flatnonzero(found[at : at + a["n"]]) + at
+        out[there] = np.cumsum(unpack(a["numbers"], "u8", len(there)).astype(np.int64))
+        at += a["n"]
+    return out
+
+
+def _found(told: list[dict]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(a["found"], "u8", a["n"]).astype(np.int64) for a in told)])
+
+
 class _Pairs:
     """A block's texts as word numbers, and its distinct pairs of known words, in the order of requests."""
 
     def __init__(self, row: dict, answers: list[dict], bits: int):
-        answers = sorted(answers, key=lambda r: r["shard"])
-        empty = np.zeros(0, np.uint64)
-        self.number = np.concatenate([empty, *(unpack(a["numbers"], "u8", a["n"]) for a in answers)]).astype(np.int64)
-        self.count = np.concatenate([empty, *(unpack(a["found"], "u8", a["n"]) for a in answers)]).astype(np.int64)
+        order = np.argsort(np.frombuffer(row["words"], np.uint64))
+        found = _found(answers)
+        #: Number and training count of each of the block's words.
+        self.number, self.count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        self.number[order], self.count[order] = _rising(answers, found > 0), found
+        del order, found
+        self.by_number = np.argsort(self.number)
+        self.rank = np.empty(len(self.number), np.int64)
+        self.rank[self.by_number] = np.arange(len(self.number))
         self.sizes = np.array(row["sizes"], np.int64)
         self.training = np.array(row["training"], bool)
-        self.tokens = unpack(row["tokens"], "u4", int(self.sizes.sum()))
+        self.tokens = unpack_tokens(row["tokens"], int(self.sizes.sum()))
         starts = np.zeros(len(self.tokens), bool)
         starts[np.cumsum(self.sizes) - self.sizes] = True
         known = self.count[self.tokens] > 0
         self.at = np.flatnonzero(~starts[1:] & known[1:] & known[:-1]) + 1
         del known, starts
-        codes, seen = pd.factorize((self.tokens[self.at - 1].astype(np.int64) << 32) | self.tokens[self.at])
-        left, right = seen >> 32, seen & 0xFFFFFFFF
+        codes, seen = _distinct((self.rank[self.tokens[self.at - 1]] << 32) | self.rank[self.tokens[self.at]])
+        left, right = self.by_number[seen >> 32], self.by_number[seen & 0xFFFFFFFF]
         context, word = self.number[left], self.number[right]
         parts = 1 + self.count[left] // CONTEXT_PART
         shard = (mix((context.astype(np.uint64) << _U(20)) + (word % parts).astype(np.uint64)) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64)
-        order = np.lexsort((word, context, shard))
+        order = _by_shard(shard, bits)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         #: For every token in ``at``: its pair's place in the order of requests.
@@ -235,7 +293,8 @@ class _Pairs:
 class _Triples:
     """A block's distinct triples of known words behind pairs that training has, in the order of requests."""
 
-    def __init__(self, p: _Pairs, pair_count: np.ndarray, bits: int):
+    def __init__(self, p: _Pairs, told: list[dict], bits: int):
+        pair_count = _found(told)
         place = np.full(len(p.tokens), -1, np.int32)
         place[p.at] = p.pair
         starts = np.zeros(len(p.tokens), bool)
@@ -247,14 +306,15 @@ class _Triples:
         self.before = pair_count[place[self.after - 1]]
         self.asked = place[self.after] >= 0
         at = self.after[self.asked]
-        codes, seen = pd.factorize((place[at - 1].astype(np.int64) << 32) | p.tokens[at])
+        codes, seen = _distinct((place[at - 1].astype(np.int64) << 32) | p.rank[p.tokens[at]])
         del place
         left = seen >> 32
-        word = p.number[seen & 0xFFFFFFFF]
-        context = (mix(mix(p.context[left].astype(np.uint64)) + p.word[left].astype(np.uint64) * _ODD) >> _U(2)).astype(np.int64)
+        word = p.number[p.by_number[seen & 0xFFFFFFFF]]
+        # A pair is named by its shard and its place there; both rise in the order of requests.
+        context = ((p.shard << 40) | _rising(told, pair_count > 0))[left]
         parts = 1 + pair_count[left] // CONTEXT_PART
-        shard = (mix(context.astype(np.uint64) + (word % parts).astype(np.uint64) * _ODD) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64)
-        order = np.lexsort((word, context, shard))
+        shard = (p.shard[left] + word % parts) & ((1 << bits) - 1)
+        order = _by_shard(shard, bits)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         #: For every token asked for: its triple's place in the order of requests.
@@ -265,7 +325,11 @@ class _Triples:
 
 
 def _requests(block: int, bits: int, shard: np.ndarray, contexts: np.ndarray, words: np.ndarray, totals: np.ndarray, counts: np.ndarray) -> list[dict]:
-    """A block's sorted contexts and successors by shard."""
+    """A block's sorted contexts and successors by shard.
+
+    The total of a context is sent only where its successors are dealt to several shards; a shard that has
+    all of them adds their counts up, for every training occurrence of a context has a known successor.
+    """
     out = []
     cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
     for s in np.flatnonzero(np.diff(cut)):
@@ -273,14 +337,14 @@ def _requests(block: int, bits: int, shard: np.ndarray, contexts: np.ndarray, wo
         context, word = contexts[part], words[part]
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         size = np.diff(np.append(first, len(context)))
-        names = context[first]
+        names, total = context[first], totals[part][first]
         # Words as steps from the one before within their context.
         step = np.diff(word, prepend=0)
         step[first] = word[first]
         out.append(
             {
                 "shard": int(s), "block": block, "n": len(word), "n_contexts": len(names),
-                "contexts": pack(np.diff(names, prepend=0).astype(np.uint64)), "totals": pack(totals[part][first].astype(np.uint64)),
+                "contexts": pack(np.diff(names, prepend=0).astype(np.uint64)), "totals": pack(np.where(total >= CONTEXT_PART, total, 0).astype(np.uint64)),
                 "sizes": pack(size.astype(np.uint32)), "words": pack(step.astype(np.uint64)), "counts": pack(counts[part].astype(np.uint32)),
             }
         )
@@ -291,21 +355,13 @@ def _level(told: list[dict], level: int) -> list[dict]:
     return sorted((a for a in told if a["level"] == level), key=lambda a: a["shard"])
 
 
-def _codes(told: list[dict], level: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint16), *(unpack(a["numbers"], "u2", a["n"]) for a in _level(told, level))])
-
-
-def _pair_counts(told: list[dict]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(unpack(a["found"], "u8", a["n"]).astype(np.int64) for a in _level(told, 2))])
-
-
 def _pair_requests(bits: int):
     """A block and its word answers to its pairs by shard."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in block.to_pylist():
-            p = _Pairs(row, answers.to_pylist(), bits)
+            p = _Pairs(row, _level(answers.to_pylist(), 1), bits)
             out += _requests(row["block"], bits, p.shard, p.context, p.word, p.context_count, p.pair_count)
         return pa.Table.from_pylist(out, PAIRS)
 
@@ -318,7 +374,7 @@ def _triple_requests(bits: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out, told = [], answers.to_pylist()
         for row in block.to_pylist():
-            t = _Triples(_Pairs(row, _level(told, 1), bits), _pair_counts(told), bits)
+            t = _Triples(_Pairs(row, _level(told, 1), bits), _level(told, 2), bits)
             out += _requests(row["block"], bits, t.shard, t.context, t.word, t.context_count, t.count)
         return pa.Table.from_pylist(out, PAIRS)
 
@@ -355,7 +411,11 @@ def _request(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _successor_shard(mass: float, counted: bool):
-    """Sum a shard's successors, build its trie level, answer its blocks by successor search, with counts if wanted."""
+    """Sum a shard's successors, build its trie level, answer its blocks by successor search.
+
+    ``counted``: with places and counts, which name the contexts of the next level and have the quantised
+    probability in them; else with the probabilities' codes.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -374,17 +434,23 @@ def _successor_shard(mass: float, counted: bool):
         new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(context) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         sums = np.add.reduceat(count, at, dtype=np.int64) if len(at) else count
-        code = quantised(sums / (total[at] + mass))
-        level = TrieLevel(context[at], word[at], code, int(word.max(initial=0)) + 1)
-        del context, word, count, total, contexts, words, counts, totals
+        context, word, total = context[at], word[at], total[at]
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(at) else at
+        whole = np.repeat(np.add.reduceat(sums, first), np.diff(np.append(first, len(at)))) if len(at) else total
+        code = quantised(sums / (np.where(total > 0, total, whole) + mass))
+        level = TrieLevel(context, word, code, int(word.max(initial=0)) + 1)
+        del context, word, count, total, whole, contexts, words, counts, totals
         out = []
         for r in rows:
             context, size, word, _ = _request(r)
             inside = word < level.n_words
             found = level.find(context, size, np.where(inside, word, 0))
             there = inside & (found >= 0)
-            answer = np.where(there, code[np.maximum(found, 0)] if len(code) else 0, 0).astype(np.uint16)
-            count = pack(np.where(there, sums[np.maximum(found, 0)] if len(sums) else 0, 0).astype(np.uint64)) if counted else b""
+            if counted:
+                answer = np.diff(found[there], prepend=0).astype(np.uint64)
+                count = pack(np.where(there, sums[np.maximum(found, 0)] if len(sums) else 0, 0).astype(np.uint64))
+            else:
+                answer, count = np.where(there, code[np.maximum(found, 0)] if len(code) else 0, 0).astype(np.uint16), b""
             out.append({"block": r["block"], "shard": r["shard"], "n": r["n"], "numbers": pack(answer), "found": count, "total": 0, "distinct": 0})
         return pa.Table.from_pylist(out, ANSWER)
 
@@ -399,7 +465,11 @@ def _scores(bits: int, total: int, distinct: int, mass: float):
         for row in block.to_pylist():
             told = answers.to_pylist()
             p = _Pairs(row, _level(told, 1), bits)
-            code = _codes(told, 2)
+            pairs, triples = _level(told, 2), _level(told, 3)
+            pair_count = _found(pairs)
+            code = np.zeros(len(pair_count), np.uint16)
+            seen = pair_count > 0
+            code[seen] = quantised(pair_count[seen] / (p.context_count[seen] + mass))
             count = p.count[p.tokens].astype(np.float64)
             single = (count + 1) / (total + distinct + 1)
             joint = single.copy()
@@ -414,9 +484,10 @@ def _scores(bits: int, total: int, distinct: int, mass: float):
             rest = rest[count[rest - 1] > 0]
             joint[rest] = mass / (count[rest - 1] + mass) * single[rest]
             # Behind a pair of training: what the trie's third level has, and the rest from the pair alone.
-            third, t = joint.copy(), _Triples(p, _pair_counts(told), bits)
+            third, t = joint.copy(), _Triples(p, pairs, bits)
+            code = np.concatenate([np.zeros(0, np.uint16), *(unpack(a["numbers"], "u2", a["n"]) for a in triples)])
             third[t.after] *= mass / (t.before + mass)
-            third[t.after[t.asked]] += probability(_codes(told, 3)[t.triple])
+            third[t.after[t.asked]] += probability(code[t.triple])
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
             base, by_pairs, score = (np.add.reduceat(np.log10(x), starts) for x in (single, joint, third))
             out.append(
@@ -449,20 +520,23 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", traini
     The model is learnt from the rows whose column ``training`` is true; all rows are scored.
     """
     for_texts(docs.sparkSession)
-    made = stage(
-        docs.select(F.col(key).cast("long").alias("id"), F.col(training).alias("training"), F.col(text).alias("text")).mapInArrow(_blocks, BLOCK_SCHEMA), "lm_blocks"
-    )
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(training).alias("training"), F.col(text).alias("text"))
+    # In buckets of the block: the answers of every round come to it, its texts are never shuffled.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = store_buckets(rows.mapInArrow(_blocks, BLOCK_SCHEMA), f"lm_blocks_{uuid.uuid4().hex}", "block", buckets)
     n_words, n_tokens = made.select(F.sum("n_words"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     word_bits, pair_bits = _bits(n_words or 0, SHARD), _bits(n_tokens or 0, 2 * SHARD)
     asked = made.select("block", "n_words", "words", "counts").mapInArrow(_word_requests(word_bits), "shard long, block long, n long, words binary, counts binary")
     words = stage(asked.groupBy("shard").applyInArrow(_word_shard(word_bits), ANSWER_SCHEMA), "lm_words")
     total, distinct = words.where("block = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    answers = words.where("block >= 0").select("block", "shard", "n", "numbers", "found")
-    texts = made.select("block", "ids", "training", "sizes", "tokens")
-    pairs = texts.select("block", "training", "sizes", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_pair_requests(pair_bits), PAIRS_SCHEMA)
+    told = words.where("block >= 0").select("block", "shard", "n", "numbers", "found", F.lit(1).alias("level"))
+    texts = made.select("block", "training", "sizes", "words", "tokens").groupBy("block")
+    pairs = texts.cogroup(told.groupBy("block")).applyInArrow(_pair_requests(pair_bits), PAIRS_SCHEMA)
     codes = stage(pairs.groupBy("shard").applyInArrow(_successor_shard(mass, True), ANSWER_SCHEMA), "lm_pairs")
-    told = answers.withColumn("level", F.lit(1)).unionByName(codes.select("block", "shard", "n", "numbers", "found", F.lit(2).alias("level")))
-    triples = texts.select("block", "training", "sizes", "tokens").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_triple_requests(pair_bits), PAIRS_SCHEMA)
+    told = told.unionByName(codes.select("block", "shard", "n", "numbers", "found", F.lit(2).alias("level")))
+    triples = texts.cogroup(told.groupBy("block")).applyInArrow(_triple_requests(pair_bits), PAIRS_SCHEMA)
     third = triples.groupBy("shard").applyInArrow(_successor_shard(mass, False), ANSWER_SCHEMA)
     told = told.unionByName(third.select("block", "shard", "n", "numbers", "found", F.lit(3).alias("level")))
-    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(pair_bits, total, distinct, mass), SCORE_SCHEMA)
+    texts = made.select("block", "ids", "training", "sizes", "words", "tokens").groupBy("block")
+    return texts.cogroup(told.groupBy("block")).applyInArrow(_scores(pair_bits, total, distinct, mass), SCORE_SCHEMA)
