@@ -1,19 +1,21 @@
 """Language identification, quality, BPE, decontamination and language model."""
 
+from types import SimpleNamespace
 
 import brute
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vacanta.llm import bpe, language_id, quality
+from vacanta.llm import bpe, language_id, language_model, quality
 from vacanta.llm.batches import table
 from vacanta.llm.decontaminate import Benchmark, decontaminate, find_benchmark, judged, suffix_array
 from vacanta.llm.elias_fano import EliasFano
-from vacanta.llm.language_model import MASS, STEPS_PER_OCTAVE, quantised, probability, score_texts
+from vacanta.llm.language_model import MASS, STEPS_PER_OCTAVE, pack, pack_tokens, probability, quantised, score_texts, unpack, unpack_tokens
 from vacanta.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -279,6 +281,51 @@ def test_language_model_third_level_equals_counting(spark, monkeypatch, shard):
     assert got[texts.index("a b d")] < got[texts.index("a b c")] - 0.3 and got[texts.index("x b c")] < got[texts.index("x b d")] - 0.3
 
 
+def test_language_model_texts_are_not_shuffled(spark, sf_dir):
+    """Two rounds in the last job; only answers come to the blocks."""
+    plan = QUERIES["op10_lm_score"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 2 and plan.count("Exchange hashpartitioning(block#") == 2
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_language_model_rounds_with_split_contexts(monkeypatch, bits):
+    """The rounds in this process: blocks of two partitions, successors of hot words and pairs dealt to several shards."""
+    monkeypatch.setattr(language_model, "CONTEXT_PART", 7)
+    texts = ["a b c", "a b d", "a b e"] * 30 + ["a b", "b a b a b", "c", "", None, "new b c"] + [t for _, t, *_ in brute.AWKWARD]
+    rows = [(i, i % 5 != 2, t) for i, t in enumerate(texts)]
+    made = []
+    for k in (0, 1):
+        monkeypatch.setattr(language_model, "TaskContext", SimpleNamespace(get=lambda k=k: SimpleNamespace(partitionId=lambda: k)))
+        part = pa.RecordBatch.from_pylist([dict(zip(("id", "training", "text"), r, strict=True)) for r in rows[k::2]], pa.schema([("id", pa.int64()), ("training", pa.bool_()), ("text", pa.string())]))
+        made += [pa.Table.from_batches([b]) for b in language_model._blocks(iter([part]))]
+    groups = lambda t, key: [t.filter(pc.equal(t[key], k)) for k in sorted(set(t[key].to_pylist()))]
+    level = lambda t, n: t.append_column("level", pa.array([n] * t.num_rows, pa.int64()))
+    asked = pa.concat_tables(pa.Table.from_batches(language_model._word_requests(bits)(iter(b.to_batches()))) for b in made)
+    words = pa.concat_tables(language_model._word_shard(bits)(g) for g in groups(asked, "shard"))
+    total, distinct = (sum(words[c].to_pylist()) for c in ("total", "distinct"))
+    told = level(words, 1)
+    of = lambda b: told.filter(pc.equal(told["block"], b["block"][0]))
+    for n, requests in ((2, language_model._pair_requests), (3, language_model._triple_requests)):
+        sent = pa.concat_tables(requests(bits)(b, of(b)) for b in made)
+        if bits:
+            assert any(sum(unpack(r["totals"], "u8", r["n_contexts"])) for r in sent.to_pylist()) and len(groups(sent, "shard")) > 1
+        told = pa.concat_tables([told, *(level(language_model._successor_shard(MASS, n == 2)(g), n) for g in groups(sent, "shard"))])
+    got = {r["id"]: r for b in made for r in language_model._scores(bits, total, distinct, MASS)(b, of(b)).to_pylist()}
+    for (i, *_), e in zip(rows, brute.language_model([(r[1], r[2]) for r in rows], MASS, STEPS_PER_OCTAVE), strict=True):
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == e[:3]
+        assert [got[i][c] for c in ("base_score", "score", "pair_score")] == pytest.approx(e[3:], rel=1e-9, abs=1e-9)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for kind, most in (("u2", 3), ("u2", 65535), ("u4", 70000), ("u8", 2**40), ("u8", 2**64 - 1)):
+        for n in (0, 1, 500):
+            x = rng.integers(0, most, n, np.dtype(kind), endpoint=True)
+            assert unpack(pack(x), kind, n).tolist() == x.tolist()
+    tokens = np.array([0, 1, 0, 2, 2, 3, 1])
+    assert unpack_tokens(pack_tokens(tokens), 7).tolist() == tokens.tolist()
+
+
 def test_language_model_without_training_or_rows(spark, awkward, nothing):
     rows = score_texts(awkward.withColumn("training", F.lit(None).cast("boolean"))).collect()
     assert len(rows) == len(brute.AWKWARD) and all(r.base_score == 0 and r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in rows)
